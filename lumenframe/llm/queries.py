@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm import linefreq
 from lumenframe.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,13 +16,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.quality(_read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_secret_scan,)}
+    return {f.__name__: f for f in (op6_line_frequency, op7_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_frequency": linefreq.oracle()}
