@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.tables import settle
+
 # Fixed values of the base rule.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
@@ -22,6 +24,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 LINE_LIMIT = 100
 MIN_LEFT_SHARE = 0.3
 MIN_LEFT_WORDS = 5
+#: Keys of 8 bytes that are broadcast at most; more are joined by key.
+BROADCAST_ROWS = 200_000
 
 # Windows of eight word hashes; positions in windows found twice or more; the words that they cover.
 # An array of one element binds a value to a name, so that it is computed once.
@@ -54,9 +58,9 @@ def normalised_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(_flat(line)), F.lit("[0-9]"), F.lit("0")))
 
 
-def line_key(line: Column) -> Column:
-    n = normalised_line(line)
-    return F.xxhash64(n)
+def line_key(host: Column, line: Column) -> Column:
+    """One number for a host's normalised line (a null host differs from an empty one)."""
+    return F.xxhash64(host, normalised_line(line))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -64,40 +68,45 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("__host"), text.alias("__text"), F.md5(text).alias("__md5"))
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(lines of each distinct text, lines above the limit).
+def _lines(texts: DataFrame) -> DataFrame:
+    """Every line with a word: doc_id, __host, __md5, the raw line, its key."""
+    return (
+        texts.select("doc_id", "__host", "__md5", F.explode(F.split("__text", "\n")).alias("__l"))
+        .filter(_has_word(F.col("__l")))
+        .withColumn("__line", line_key(F.col("__host"), F.col("__l")))
+    )
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+    """For each distinct text that loses lines: __vhost, __vmd5, keys of its removed lines, their words.
 
-    The first has __host, __md5, __line, __words (of all its occurrences); the second __host, __line, n_texts, and the
-    text that keeps the line.  Copies of a line collapse before each exchange, so a line that most texts share costs
-    one row per task.
+    A first pass counts occurrences by key, summed in each task before the exchange; lines that don't occur more often
+    than the limit can't stand in more texts.  The rest, settled and counted, is broadcast if it is small and joined by
+    its key otherwise; only its lines go on to the exact count of distinct texts.
     """
-    words = F.size(F.array_remove(F.split(_flat(F.col("__l")), " "), ""))
+    texts = _texts(docs, id_col, text_col, host_col)
+    often = settle(_lines(texts).groupBy("__line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_limit).select("__line"))
+    words = F.size(F.array_remove(F.split(_flat(F.col("__l")), " "), "")).cast("long")
     lines = (
-        _texts(docs, id_col, text_col, host_col)
-        .select("doc_id", "__host", "__md5", F.explode(F.split("__text", "\n")).alias("__l"))
-        .filter(_has_word(F.col("__l")))
-        .select("doc_id", "__host", "__md5", line_key(F.col("__l")).alias("__line"), words.cast("long").alias("__words"))
-        # rows of equal copies (and equal ids) must not add up: one row of each text is enough
-        .groupBy("__host", "__line", "__md5", "doc_id")
+        _lines(texts)
+        .join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "__line")
+        .withColumn("__words", words)
+        # copies of a text must not add up: one of them is enough
+        .groupBy("__line", "__host", "__md5", "doc_id")
         .agg(F.sum("__words").alias("__words"))
-        .groupBy("__host", "__line", "__md5")
+        .groupBy("__line", "__host", "__md5")
         .agg(F.min("doc_id").alias("doc_id"), F.max("__words").alias("__words"))
     )
+    lines = settle(lines)
     frequent = (
-        lines.groupBy("__host", "__line")
+        lines.groupBy("__line")
         .agg(F.count(F.lit(1)).alias("n_texts"), F.min(F.struct("doc_id", "__md5")).alias("__keeper"))
         .filter(F.col("n_texts") > line_limit)
-        .select(F.col("__host").alias("__fhost"), F.col("__line").alias("__fline"), "n_texts", F.col("__keeper.__md5").alias("__kmd5"))
+        .select("__line", F.col("__keeper.__md5").alias("__kmd5"))
     )
-    return lines, frequent
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
-    """For each distinct text that loses lines: __vhost, __vmd5, keys of its removed lines, their words."""
-    lines, frequent = frequent_lines(docs, id_col, text_col, host_col, line_limit)
-    same = F.col("__host").eqNullSafe(F.col("__fhost")) & (F.col("__line") == F.col("__fline")) & (F.col("__md5") != F.col("__kmd5"))
     return (
-        lines.join(frequent, same)
+        lines.join(frequent, "__line")
+        .filter(F.col("__md5") != F.col("__kmd5"))
         .groupBy(F.col("__host").alias("__vhost"), F.col("__md5").alias("__vmd5"))
         .agg(F.collect_set("__line").alias("__removed"), F.sum("__words").alias("removed_words"))
     )
@@ -150,7 +159,7 @@ def quality_filtered(
     """The rows that pass, all columns, with boilerplate lines cut from their texts (and ``chars_col`` set anew)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     removed = removed_lines(docs, id_col, text_col, host_col, line_limit)
-    kept_lines = F.filter(F.split(text, "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__removed"), line_key(x))))
+    kept_lines = F.filter(F.split(text, "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__removed"), line_key(F.col(host_col), x))))
     clean = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines, "\n"))
     signals = (
         docs.withColumns({"__md5": F.md5(text), "__flat": _flat(text)})

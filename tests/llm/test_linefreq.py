@@ -3,7 +3,7 @@ from lumenframe.llm import linefreq as L
 from .util import duck, table
 
 BOILER = "All rights reserved by the owner of this page 2024"
-BODY = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(8)]
+BODY = [" ".join(chr(97 + i) * 2 + chr(97 + k % 26) + "x" * (k // 26) for k in range(30)) for i in range(8)]
 LOOP = "a b c d e f g h i j " * 6
 ROWS = [
     (0, None, "h"),
