@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import linefreq
+from lumenframe.llm import linefreq, packing
 from lumenframe.llm.secrets import scan_secrets
 
+#: Names the tokenizer file where the public_tokenizers package isn't installed.
+TOKENIZER_SETTING = "LUMENFRAME_TOKENIZER"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +20,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return os.environ.get(TOKENIZER_SETTING) or public_tokenizers.path("word_bpe_49k.json")
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.quality(_read(spark, sf_dir, "documents"))
 
@@ -24,8 +34,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_line_frequency, op7_secret_scan)}
+    return {f.__name__: f for f in (op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
