@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import linefreq, packing
+from lumenframe.llm import linefreq, mixing, packing
 from lumenframe.llm.secrets import scan_secrets
 
 #: Names the tokenizer file where the public_tokenizers package isn't installed.
@@ -26,6 +26,10 @@ def tokenizer_path() -> str:
     return os.environ.get(TOKENIZER_SETTING) or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_read(spark, sf_dir, "documents"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.quality(_read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_source_mix, op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
