@@ -31,7 +31,7 @@ from lumenframe.llm.tables import running_start, settle
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps between batches, at most.
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 20
 #: Bytes of text that are tokenised at once.
 TOKEN_CHUNK = 2 << 20
 
@@ -145,57 +145,162 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
+#: Longest run of trailing punctuation that is looked up apart from its word.
+TAIL_BYTES = 4
+#: Stands between words that are encoded in one call; words with control characters are encoded alone.
+_DELIMITER = "\x01"
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans whose ids don't depend on their neighbours: words, without a short tail of punctuation, and such tails.
+
+    A tail is cut only behind a letter or digit (ASCII, or a letter of the Latin-1 block), where every pre-tokenizer
+    that separates letters from other signs has a boundary anyway.
+    """
+    starts, ends, first = A.word_spans(data, offsets)
+    if not len(starts):
+        return starts, ends, first
+    cut, at = ends.copy(), np.arange(len(ends))
+    for _ in range(TAIL_BYTES):
+        at = at[(cut[at] > starts[at]) & _TAIL[data[cut[at] - 1]]]
+        cut[at] -= 1
+    some = np.flatnonzero((cut < ends) & (cut > starts))
+    last, before = data[cut[some] - 1], data[np.maximum(cut[some] - 2, starts[some])]
+    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut[some] - 2 >= starts[some])
+    some = some[_ALNUM[last] | latin]
+    extra = np.zeros(len(starts) + 1, np.int64)
+    extra[some + 1] = 1
+    shift = np.cumsum(extra)
+    place = np.arange(len(starts)) + shift[:-1]
+    out_s, out_e = np.empty(len(starts) + len(some), np.int64), np.empty(len(starts) + len(some), np.int64)
+    out_s[place], out_e[place] = starts, ends
+    out_e[place[some]] = cut[some]
+    out_s[place[some] + 1], out_e[place[some] + 1] = cut[some], ends[some]
+    return out_s, out_e, first + shift[first]
+
+
 class WordIds:
     """Token ids of whole texts, by way of each distinct word once.
 
     It fits tokenizers that drop white space and never join what stands on its two sides (their pre-tokenizer splits
     there), so a text's ids are those of its words in order.  ``tests`` hold it against whole-text encoding.
+    Known words stand in an open-addressing table of fixed size, which a worker keeps between its tasks.
     """
 
+    BITS = 21
+
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.slot_key = np.zeros(1 << self.BITS, np.uint64)
+        self.slot_word = np.zeros(1 << self.BITS, np.int32)
+        self.starts, self.lengths = np.zeros(CACHED_WORDS, np.int32), np.zeros(CACHED_WORDS, np.int32)
+        self.words = 0
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        delimiter = self.tokenizer.encode(_DELIMITER, add_special_tokens=False).ids
+        self.delimiter = delimiter[0] if len(delimiter) == 1 else None
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each known word, -1 for others."""
+        at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        key = self.slot_key[at]
+        out = np.where(key == h, self.slot_word[at], -1)
+        todo = np.flatnonzero((key != h) & (key != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+            key = self.slot_key[at[todo]]
+            hit = key == h[todo]
+            out[todo[hit]] = self.slot_word[at[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+        return out
+
+    def _add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = self.slot_key[at[todo]] == 0
+            _, winner = np.unique(np.where(free, at[todo], -1 - np.arange(len(todo))), return_index=True)
+            winner = winner[free[winner]]
+            self.slot_key[at[todo[winner]]] = h[todo[winner]]
+            self.slot_word[at[todo[winner]]] = numbers[todo[winner]]
+            lost = np.ones(len(todo), bool)
+            lost[winner] = False
+            todo = todo[lost]
+            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+
+    def _tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and each word's number of ids."""
+        alone = [i for i, w in enumerate(words) if self.delimiter is None or not w.isprintable() or "<|" in w]
+        odd = [words[i] for i in alone]
+        for i in alone:
+            words[i] = ""
+        joined = [f" {_DELIMITER} ".join([*words[k : k + 1024], ""]) for k in range(0, len(words), 1024)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        if self.delimiter is None:
+            ids, lengths = ids[:0], np.zeros(len(words), np.int64)
+        else:
+            marks = np.flatnonzero(ids == self.delimiter)
+            ids, lengths = np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+        if odd:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            place = np.repeat(np.cumsum(lengths)[alone], [len(x) for x in coded])
+            ids = np.insert(ids, place, [i for x in coded for i in x])
+            lengths[alone] = [len(x) for x in coded]
+        return ids.astype(np.uint32, copy=False), lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and each row's first (one more than rows)."""
-        starts, ends, first = A.word_spans(data, offsets)
+        starts, ends, first = units(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes = A.span_hashes(data, starts, ends, lower=False)
-        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        words = A.strings(data, starts[where[new]], ends[where[new]]).to_pylist()
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.empty(len(keys), np.int64)
-        lengths[new] = np.fromiter(map(len, coded), np.int64, len(coded))
-        fresh = np.fromiter((i for x in coded for i in x), np.uint32, int(lengths[new].sum()))
-        old = np.flatnonzero(known)
-        lengths[old] = (self.starts[1:] - self.starts[:-1])[at[old]]
-        begin = np.empty(len(keys), np.int64)  # in the cached ids followed by the fresh ones
-        begin[old] = self.starts[:-1][at[old]]
-        begin[new] = len(self.ids) + np.cumsum(lengths[new]) - lengths[new]
-        pool = np.concatenate([self.ids, fresh])
-        n = lengths[inverse]
-        ends_at = np.cumsum(n)
-        index = np.repeat(begin[inverse] - (ends_at - n), n) + np.arange(ends_at[-1] if len(n) else 0)
-        if len(self.keys) + len(new) <= CACHED_WORDS:
-            self._remember(keys[new], lengths[new], fresh)
-        return pool[index], np.concatenate([[0], ends_at])[first]
-
-    def _remember(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
-        all_keys = np.concatenate([self.keys, keys])
-        all_lengths = np.concatenate([self.starts[1:] - self.starts[:-1], lengths])
-        begin = np.cumsum(all_lengths) - all_lengths
-        pool = np.concatenate([self.ids, ids])
-        order = np.argsort(all_keys)
-        n = all_lengths[order]
-        ends = np.cumsum(n)
-        self.ids = pool[np.repeat(begin[order] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
-        self.keys, self.starts = all_keys[order], np.concatenate([[0], ends])
+        h = A.span_hashes(data, starts, ends, lower=False)
+        h[h == 0] = 1
+        number = self._find(h)
+        unknown = np.flatnonzero(number < 0)
+        begin, length = self.starts, self.lengths
+        pool = self.pool
+        if len(unknown):
+            keys, where, inverse = np.unique(h[unknown], return_index=True, return_inverse=True)
+            source = unknown[where]
+            ids, n = self._tokenized(A.strings(data, starts[source], ends[source]).to_pylist())
+            if self.words + len(keys) <= CACHED_WORDS:
+                number[unknown] = self.words + inverse
+                self._remember(keys, ids, n)
+                begin, length, pool = self.starts, self.lengths, self.pool
+            else:
+                number[unknown] = self.words + inverse
+                pool = np.concatenate([self.pool[: self.used], ids])
+                begin = np.concatenate([self.starts[: self.words], self.used + np.cumsum(n) - n])
+                length = np.concatenate([self.lengths[: self.words], n])
+        n = length[number].astype(np.int64)
+        to = np.cumsum(n)
+        index = np.repeat(begin[number] - (to - n), n) + np.arange(to[-1])
+        return pool[index], np.concatenate([[0], to])[first]
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(self.used + len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = slice(self.words, self.words + len(keys))
+        self.starts[new] = self.used + np.cumsum(n) - n
+        self.lengths[new] = n
+        self._add(keys, np.arange(self.words, self.words + len(keys), dtype=np.int32))
+        self.words += len(keys)
+        self.used += len(ids)
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's coder for a tokenizer file."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = WordIds(path)
+    return _coders[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -208,7 +313,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer_path)
+        coder = word_ids(tokenizer_path)
         for b in batches:
             doc_ids = b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else np.array(b.column(0).to_pylist(), dtype=object)
             data, offsets = A.utf8(b.column(1))
