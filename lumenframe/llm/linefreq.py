@@ -85,11 +85,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its key otherwise; only its lines go on to the exact count of distinct texts.
     """
     texts = _texts(docs, id_col, text_col, host_col)
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if bounded else df
+
     often = settle(_lines(texts).groupBy("__line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_limit).select("__line"))
+    bounded = often.count() <= BROADCAST_ROWS
     words = F.size(F.array_remove(F.split(_flat(F.col("__l")), " "), "")).cast("long")
     lines = (
         _lines(texts)
-        .join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "__line")
+        .join(small(often), "__line")
         .withColumn("__words", words)
         # copies of a text must not add up: one of them is enough
         .groupBy("__line", "__host", "__md5", "doc_id")
@@ -105,7 +109,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("__line", F.col("__keeper.__md5").alias("__kmd5"))
     )
     return (
-        lines.join(frequent, "__line")
+        lines.join(small(frequent), "__line")
         .filter(F.col("__md5") != F.col("__kmd5"))
         .groupBy(F.col("__host").alias("__vhost"), F.col("__md5").alias("__vmd5"))
         .agg(F.collect_set("__line").alias("__removed"), F.sum("__words").alias("removed_words"))
