@@ -192,7 +192,7 @@ def mix(
 
 def mixed_pieces(m: Mix) -> DataFrame:
     """The output: shard, slot, source_number, pass, block, doc_id, start, length (words of a document)."""
-    return m.slots.join(m.pieces, ["source_number", "block"])
+    return m.slots.hint("merge").join(m.pieces, ["source_number", "block"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -202,7 +202,8 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     info = spark.createDataFrame([(s.number, s.size, s.target) for s in m.sources], "source_number int, source_size long, target double")
     uses = m.slots.groupBy("source_number", "block").agg(F.count(F.lit(1)).alias("uses"))
     taken = (
-        m.pieces.join(uses, ["source_number", "block"])
+        # slots come from a few rows of counts, which the planner would take for a small table
+        m.pieces.join(uses.hint("merge"), ["source_number", "block"])
         .groupBy("source_number", "doc_id", "first_word", "size")
         .agg(F.sum(F.col("uses") * F.col("length")).alias("taken"))
     )

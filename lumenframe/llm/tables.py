@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a numbering bucket, on average.
-BUCKET_ROWS = 4096
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -25,7 +24,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def bucket_count(rows: int) -> int:
-    return max(1, -(-rows // BUCKET_ROWS))
+    """As many numbering buckets as rows in each: the longest task sees about the root of ``rows``."""
+    return max(1, math.isqrt(rows))
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str | Column], amount: str, rows: int, out: str) -> DataFrame:
@@ -33,7 +33,7 @@ def running_start(df: DataFrame, group: list[str], order: list[str | Column], am
 
     The order inside a group is (bucket, order), where the bucket is a hash of the order columns.  Sums by bucket are
     taken first and only those are scanned by group, so a group that holds most rows is still spread over all tasks:
-    no task sorts more than one bucket of a group, or more than rows / BUCKET_ROWS bucket sums.
+    no task sorts more than one bucket of a group, or one group's bucket sums.
     Equal rows get different places; which of them gets which doesn't matter to the whole.
     """
     n = bucket_count(rows)
