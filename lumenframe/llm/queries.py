@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import circulant, linefreq, mixing, packing
+from lumenframe.llm import circulant, crf, linefreq, mixing, packing
 from lumenframe.llm.secrets import scan_secrets
 
 #: Names the tokenizer file where the public_tokenizers package isn't installed.
@@ -34,6 +34,10 @@ def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.quality(_read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
