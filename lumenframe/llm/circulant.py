@@ -5,7 +5,7 @@ second gives every place a rank.  Coordinate k is the least rank over the set af
 shifted circularly by k places, so one table serves all coordinates.
 
 1. Texts with the same words are one class; its smallest id stands for it.  Everything below is on classes.
-2. Bands of the signature are keys.  In every bucket a leader is chosen by a hash of (id, band), so that a document
+2. Bands of the signature are keys.  In every bucket a leader is chosen by a hash of (id, bucket), so that a document
    meets different leaders in different bands.  Each document is verified with the leader it shares most bands with,
    and components are formed.
 3. All pairs of a bucket that lie in different components are verified.  A bucket of thousands of copies of each other
@@ -14,10 +14,10 @@ shifted circularly by k places, so one table serves all coordinates.
 4. Components are formed again.
 
 Verification compares full sets (64-bit hashes of five-word shingles), never signatures.  A pair at the threshold is
-missed by the bands with probability (1 - 0.85**8)**32 = 4e-5, more similar ones less often; groups have other paths.
+missed by the bands with probability (1 - 0.85**7)**24 = 9e-5, more similar ones less often; groups have other paths.
 
 Null or empty texts (and texts without words) have an empty set, link with nothing and are kept.  Rows with equal ids
-are one node: linked with all that any of them links with, and each row is returned.
+are one node: linked with all that any of them links with, and each row is returned.  A null id links with nothing.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import arrowtext as A
-from lumenframe.llm.tables import settle
+from lumenframe.llm.tables import SharedTable, settle
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 85
-BANDS, BAND_ROWS = 32, 8
+BANDS, BAND_ROWS = 24, 7
 UNIVERSE_BITS = 20
 #: Copies of a hub's text, one for about so many of its pairs.
 PAIRS_PER_COPY = 64
+#: Ids of 8 bytes that are broadcast at most; more are joined by key.
+BROADCAST_IDS = 500_000
 
 _ranks: list[np.ndarray] = []
 
@@ -83,46 +85,35 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [shingles(h[first[i] : first[i + 1]]) for i in range(len(offsets) - 1)]
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, and a 128-bit digest of its word sequence (null if it has no words)."""
+def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """Per row: doc_id, n_shingles, a 128-bit digest of its words and its band keys (both null without words).
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    This is the one pass over all texts; what follows works on its short rows and on the texts of candidates.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             data, offsets = A.utf8(b.column(1))
-            counts, digests = [], []
+            counts, digests, keys = [], [], []
             for _, _, part, off in A.chunks(data, offsets):
                 starts, ends, first = A.word_spans(part, off)
                 h = A.span_hashes(part, starts, ends)
-                for i in range(len(off) - 1):
-                    own = h[first[i] : first[i + 1]]
-                    counts.append(len(shingles(own)))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(digest, "doc_id long, n_shingles long, digest binary")
-
-
-def bands_of(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, band, key) of every document of (doc_id, text) that has words."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = A.utf8(b.column(1))
-            for i, j, part, off in A.chunks(data, offsets):
-                sets = _sets_of(part, off)
-                some = [k for k, s in enumerate(sets) if len(s)]
-                if not some:
-                    continue
-                lengths = np.array([len(sets[k]) for k in some])
-                keys = band_keys(signatures(np.concatenate([sets[k] for k in some]), np.cumsum(lengths) - lengths, bands * rows), bands, rows)
-                own = np.repeat(ids[i:j][some], bands)
-                band = np.tile(np.arange(bands, dtype=np.int32), len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(band), pa.array(keys.reshape(-1).view(np.int64))], names=["doc_id", "band", "key"])
-
-    return docs.mapInArrow(sign, "doc_id long, band int, key long")
+                own = [h[first[i] : first[i + 1]] for i in range(len(off) - 1)]
+                sets = [shingles(w) for w in own]
+                some = [s for s in sets if len(s)]
+                lengths = np.array([len(s) for s in some], np.int64)
+                if some:
+                    k = band_keys(signatures(np.concatenate(some), np.cumsum(lengths) - lengths, bands * rows), bands, rows).view(np.int64)
+                    keys += list(k)
+                counts += [len(s) for s in sets]
+                digests += [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in own]
+            given = iter(keys)
+            lists = pa.array([None if d is None else next(given) for d in digests], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def _with_text(pairs: DataFrame, side: str, out: str, docs: DataFrame) -> DataFrame:
@@ -188,34 +179,32 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = BAND_ROWS
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches), kept (doc_id = component_id)."""
-    size = settle(sized(docs, id_col, text_col))
-    classes = size.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = size.filter("digest is not null").join(classes, "digest").select("doc_id", "class_id").filter("doc_id <> class_id").distinct()
-    member = settle(member)
-    # An id that stands for no class is a copy; texts of the others are read again where they are needed.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
-    own = texts.join(member.select(F.col("doc_id").alias("__m")).distinct(), F.col("doc_id") == F.col("__m"), "left_anti")
-    return _grouped(size, member, own, percent, bands, rows)
-
-
-def _grouped(size: DataFrame, member: DataFrame, own: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
-    keys = bands_of(own, bands, rows)
-    leader = F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("id"))
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(leader).alias("l")).filter("n > 1").select(F.col("band").alias("kb"), F.col("key").alias("kk"), F.col("l.id").alias("leader"))
-    joined = settle(keys.join(shared, (F.col("band") == F.col("kb")) & (F.col("key") == F.col("kk"))).select("doc_id", "band", "key", "leader"))
-    votes = joined.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", F.col("leader").alias("id"))).alias("best"))
-    first = settle(verified(best.select(_pair("doc_id", "best.id")).select("p.a", "p.b").distinct(), own, percent))
-    edges = member.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionAll(first)
-    roots = components(edges)
-    rooted = joined.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "band", "key", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
-    open_buckets = settle(rooted.join(mixed, ["band", "key"]))
-    x, y = (open_buckets.select("band", "key", F.col("doc_id").alias(i), F.col("root").alias(f"r{i}")) for i in "ab")
-    across = x.join(y, ["band", "key"]).filter("ra < rb").select(_pair("a", "b")).select("p.a", "p.b").distinct()
-    second = settle(verified(settle(across), own, percent))
+    known = settle(signed(docs, id_col, text_col, bands, rows))
+    named = known.filter("digest is not null and doc_id is not null")
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    edges = settle(named.select("doc_id", "digest").join(classes, "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).distinct())
+    first_of_class = classes.select(F.col("digest").alias("__d"), "class_id")
+    keys = named.join(first_of_class, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("class_id")), "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("leader")).filter("n > 1").select(F.col("key").alias("__k"), "leader")
+    # the planner can't know that few keys are shared, and the aggregate may hold as many rows as there are documents
+    buckets = settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "leader"))
+    candidates = settle(buckets.select(F.col("doc_id").alias("__c")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small = candidates.count() <= BROADCAST_IDS
+    with SharedTable(texts.join(F.broadcast(candidates) if small else candidates, F.col("doc_id") == F.col("__c"), "left_semi")) as own:
+        votes = buckets.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("doc_id").agg(F.max(F.struct("n", F.col("leader").alias("id"))).alias("best"))
+        first = settle(verified(best.select(F.col("doc_id").alias("a"), F.col("best.id").alias("b")), own, percent))
+        edges = edges.unionAll(first)
+        roots = components(edges)
+        rooted = settle(buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root")))
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("key").alias("__k"))
+        open_buckets = settle(rooted.join(open_keys, F.col("key") == F.col("__k"), "left_semi"))
+        x, y = (open_buckets.select("key", F.col("doc_id").alias(i), F.col("root").alias(f"r{i}")) for i in "ab")
+        across = settle(x.join(y, "key").filter("ra < rb").select(_pair("a", "b")).select("p.a", "p.b").distinct())
+        second = settle(verified(across, own, percent))
     whole = components(edges.unionAll(second))
-    return size.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return known.select("doc_id", "n_shingles").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _pair(a: str, b: str) -> Column:

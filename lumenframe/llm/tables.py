@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,12 +16,35 @@ def settle(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in spark.checkpoint.dir; a local one is set only where that is unset.
     """
-    spark = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenframe-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+class SharedTable:
+    """A table written as Parquet to the shared checkpoint folder, for the length of a ``with`` block."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    def __enter__(self) -> DataFrame:
+        spark = self.df.sparkSession
+        self.path = f"{_checkpoint_dir(spark)}/lumenframe-{uuid.uuid4().hex}"
+        self.df.write.parquet(self.path)
+        return spark.read.schema(self.df.schema).parquet(self.path)
+
+    def __exit__(self, *_) -> None:
+        spark = self.df.sparkSession
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bucket_count(rows: int) -> int:
@@ -49,7 +73,3 @@ def running_start(df: DataFrame, group: list[str], order: list[str | Column], am
         cond = cond & c
     drop = ["__b", "__in", "__gb", "__base", *[f"__g{i}" for i in range(len(group))]]
     return placed.join(base, cond).withColumn(out, F.col("__in") + F.col("__base")).drop(*drop)
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
