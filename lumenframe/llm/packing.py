@@ -31,9 +31,9 @@ from lumenframe.llm.tables import running_start, settle
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps between batches, at most.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
 #: Bytes of text that are tokenised at once.
-TOKEN_CHUNK = 2 << 20
+TOKEN_CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ class WordIds:
     Known words stand in an open-addressing table of fixed size, which a worker keeps between its tasks.
     """
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
@@ -238,7 +238,7 @@ class WordIds:
         for i in alone:
             words[i] = ""
         joined = [f" {_DELIMITER} ".join([*words[k : k + 1024], ""]) for k in range(0, len(words), 1024)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ids = np.concatenate([np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in joined])
         if self.delimiter is None:
             ids, lengths = ids[:0], np.zeros(len(words), np.int64)
         else:
