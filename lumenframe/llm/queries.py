@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import circulant, crf, linefreq, mixing, packing
+from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing
 from lumenframe.llm.secrets import scan_secrets
 
-#: Names the tokenizer file where the public_tokenizers package isn't installed.
-TOKENIZER_SETTING = "LUMENFRAME_TOKENIZER"
+#: Environment variables that name other tokenizer files than those of the public_tokenizers package.
+TOKENIZER_SETTING, VOCABULARY_SETTING = "LUMENFRAME_TOKENIZER", "LUMENFRAME_VOCABULARY"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,12 @@ def tokenizer_path() -> str:
     return os.environ.get(TOKENIZER_SETTING) or public_tokenizers.path("word_bpe_49k.json")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return os.environ.get(VOCABULARY_SETTING) or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
 
@@ -46,12 +52,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op9_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lm_scores(_read(spark, sf_dir, "documents"), lattice.read_vocabulary(vocabulary_path()))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op9_subword_lattice, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
