@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing
+from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing, template
 from lumenframe.llm.secrets import scan_secrets
 
 #: Environment variables that name other tokenizer files than those of the public_tokenizers package.
@@ -52,6 +52,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op8_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lm_scores(_read(spark, sf_dir, "documents"), lattice.read_vocabulary(vocabulary_path()))
 
@@ -61,7 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op9_subword_lattice, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
