@@ -5,13 +5,15 @@ second gives every place a rank.  Coordinate k is the least rank over the set af
 shifted circularly by k places, so one table serves all coordinates.
 
 1. Texts with the same words are one class; its smallest id stands for it.  Everything below is on classes.
-2. Bands of the signature are keys.  In every bucket a leader is chosen by a hash of (id, bucket), so that a document
-   meets different leaders in different bands.  Each document is verified with the leader it shares most bands with,
-   and components are formed.
-3. All pairs of a bucket that lie in different components are verified.  A bucket of thousands of copies of each other
-   is one component by then and has no such pair, which is what keeps step 3 from growing with the square of a group;
-   pairs inside a component can't change the result.
-4. Components are formed again.
+2. Bands of the signature are keys.  A document's weight is the size of all its buckets together; the original of a
+   group of copies is nearest to all of them and has the largest.  The heaviest document leads a bucket.  Each document
+   is verified with the leader it shares most bands with, components are formed, and those not yet joined to their
+   other leaders are verified with these too.
+3. Pairs of a bucket in different components are left.  Their members are compared by how they differ from the bucket's
+   leader: two texts can only be linked if these differences share a known number of shingles, so a join on the first
+   shingles of each difference finds every pair that may be linked (a prefix filter, exact).  Thousands of copies that
+   each lie just outside the threshold of all others share next to nothing there, and no pairs come of them.
+4. Those pairs are verified, and components are formed again.
 
 Verification compares full sets (64-bit hashes of five-word shingles), never signatures.  A pair at the threshold is
 missed by the bands with probability (1 - 0.85**7)**24 = 9e-5, more similar ones less often; groups have other paths.
@@ -125,32 +127,90 @@ def _with_text(pairs: DataFrame, side: str, out: str, docs: DataFrame) -> DataFr
     return keyed.join(copies.drop("__n"), (F.col(side) == F.col("__id")) & (F.col("__salt") == F.col("__copy"))).drop("__id", "__copy", "__salt")
 
 
+def _pair_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row and the two shingle sets of (a, b, text of a, text of b), some rows at a time."""
+    sides, at, rows = [A.utf8(batch.column(k)) for k in (2, 3)], 0, batch.num_rows
+    size = np.cumsum(np.diff(sides[0][1]) + np.diff(sides[1][1]))
+    while at < rows:
+        done = size[at - 1] if at else 0
+        to = min(rows, max(at + 1, int(np.searchsorted(size, done + A.CHUNK_BYTES))))
+        left, right = (_sets_of(d[o[at] : o[to]], o[at : to + 1] - o[at]) for d, o in sides)
+        for k in range(to - at):
+            yield at + k, left[k], right[k]
+        at = to
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both sorted, y not empty."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            sides = [A.utf8(batch.column(k)) for k in (2, 3)]
-            keep = np.zeros(len(a), bool)
-            at = 0
-            size = np.diff(sides[0][1]) + np.diff(sides[1][1])
-            while at < len(a):  # some rows at a time
-                to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), A.CHUNK_BYTES)) + at)
-                left, right = (_sets_of(d[o[at] : o[min(to, len(a))]], o[at : to + 1] - o[at]) for d, o in sides)
-                for k, (x, y) in enumerate(zip(left, right)):
-                    small, large = sorted((len(x), len(y)))
-                    if small and 100 * small >= percent * large:
-                        place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        both = int((y[place] == x).sum())
-                        keep[at + k] = 100 * both >= percent * (len(x) + len(y) - both)
-                at = to
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            keep = np.zeros(batch.num_rows, bool)
+            for k, x, y in _pair_sets(batch):
+                small, large = sorted((len(x), len(y)))
+                if small and 100 * small >= percent * large:
+                    both = int(_common(x, y).sum())
+                    keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     both = _with_text(_with_text(pairs.select("a", "b"), "a", "ta", docs), "b", "tb", docs)
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def differences(family: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """How each document a differs from its leader b: (a, b, size, n, probe, answer, tokens).
+
+    n is the size of the symmetric difference of their sets, tokens its first elements (shingles that the leader lacks
+    come first, as few others share them).  Two documents are linked if their own symmetric difference is at most
+    c * (sum of their sizes), c = (100 - percent) / (100 + percent).  That difference is n + n' - 2 * (shared elements of
+    their differences from a common leader), so a pair of which one isn't linked to the leader must share
+
+        o = (n - c * size + n' - c * size') / 2 > 0
+
+    elements.  ``probe`` is how many first elements of a document not linked to its leader must be looked up so that
+    no partner is missed (0 if it is linked), and ``answer`` how many must be found by others.
+    """
+    c = (100 - percent) / (100 + percent)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, counts, probes, answers, tokens = [], [], [], [], []
+            for _, x, y in _pair_sets(batch):
+                extra = x[~_common(x, y)] if len(y) else x
+                lacking = y[~_common(y, x)] if len(x) else y
+                n = len(extra) + len(lacking)
+                over = n - c * (len(x) + len(y))
+                probe = n - max(1, int(np.ceil(over / (1 + c) - 1e-9))) + 1 if over > 0 else 0
+                answer = n - max(1, int(np.ceil((n - c * (len(x) - len(y))) / 2 - 1e-9))) + 1
+                sizes.append(len(x))
+                counts.append(n)
+                probes.append(max(0, probe))
+                answers.append(max(0, answer))
+                tokens.append(np.concatenate([extra, lacking])[: max(probe, answer, 0)].view(np.int64))
+            longs = [pa.array(v, pa.int64()) for v in (sizes, counts, probes, answers)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, pa.array(tokens, pa.list_(pa.int64()))], names=["a", "b", "size", "n", "probe", "answer", "tokens"])
+
+    both = _with_text(_with_text(family.select("a", "b"), "a", "ta", docs), "b", "tb", docs)
+    return both.select("a", "b", "ta", "tb").mapInArrow(differ, "a long, b long, size long, n long, probe long, answer long, tokens array<long>")
+
+
+def across(family: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under a common leader that may be linked (and all that are)."""
+    c = (100 - percent) / (100 + percent)
+    rows = settle(_rooted(differences(family, docs, percent), roots, "a", "root").select("*", F.posexplode("tokens").alias("at", "token")).drop("tokens"))
+    asks = rows.filter("at < probe").select("b", "token", *[F.col(k).alias(f"u_{k}") for k in ("a", "root", "size", "n", "at")])
+    answers = rows.filter("at < answer").select("b", "token", "a", "root", "size", "n", "at")
+    # o elements at least are shared; with this one the first of them, no more can be than either has from here on
+    needed = (F.col("u_n") + F.col("n") - c * (F.col("u_size") + F.col("size"))) / 2 - 1e-6
+    possible = F.least(F.col("u_n") - F.col("u_at"), F.col("n") - F.col("at")) >= needed
+    return asks.join(answers, ["b", "token"]).filter((F.col("u_root") != F.col("root")) & possible).select(_pair("a", "u_a")).select("p.a", "p.b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest id it reaches.
 
@@ -185,28 +245,39 @@ def near_duplicates(
     edges = settle(named.select("doc_id", "digest").join(classes, "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).distinct())
     first_of_class = classes.select(F.col("digest").alias("__d"), "class_id")
     keys = named.join(first_of_class, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("class_id")), "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("leader")).filter("n > 1").select(F.col("key").alias("__k"), "leader")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("__k"), "n")
     # the planner can't know that few keys are shared, and the aggregate may hold as many rows as there are documents
-    buckets = settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "leader"))
+    buckets = settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "n"))
+    central = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight")).withColumnRenamed("doc_id", "__w")
+    leaders = buckets.join(central, F.col("doc_id") == F.col("__w")).groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("l"))
+    votes = buckets.join(leaders.select(F.col("key").alias("__k"), (-F.col("l.id")).alias("leader"), F.col("l.weight").alias("weight")), F.col("key") == F.col("__k"))
+    votes = settle(votes.filter("doc_id <> leader").groupBy("doc_id", "leader", "weight").agg(F.count(F.lit(1)).alias("n")))
+    buckets = buckets.drop("n")
     candidates = settle(buckets.select(F.col("doc_id").alias("__c")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = candidates.count() <= BROADCAST_IDS
     with SharedTable(texts.join(F.broadcast(candidates) if small else candidates, F.col("doc_id") == F.col("__c"), "left_semi")) as own:
-        votes = buckets.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("doc_id").agg(F.max(F.struct("n", F.col("leader").alias("id"))).alias("best"))
-        first = settle(verified(best.select(F.col("doc_id").alias("a"), F.col("best.id").alias("b")), own, percent))
-        edges = edges.unionAll(first)
+        best = votes.groupBy("doc_id").agg(F.max(F.struct("n", "weight", F.col("leader").alias("id"))).alias("best"))
+        edges = edges.unionAll(settle(verified(best.select(F.col("doc_id").alias("a"), F.col("best.id").alias("b")), own, percent)))
         roots = components(edges)
-        rooted = settle(buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root")))
+        apart = _rooted(_rooted(votes, roots, "doc_id", "ra"), roots, "leader", "rb").filter("ra <> rb").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+        edges = edges.unionAll(settle(verified(settle(apart), own, percent)))
+        roots = components(edges)
+        rooted = settle(_rooted(buckets, roots, "doc_id", "root"))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("key").alias("__k"))
-        open_buckets = settle(rooted.join(open_keys, F.col("key") == F.col("__k"), "left_semi"))
-        x, y = (open_buckets.select("key", F.col("doc_id").alias(i), F.col("root").alias(f"r{i}")) for i in "ab")
-        across = settle(x.join(y, "key").filter("ra < rb").select(_pair("a", "b")).select("p.a", "p.b").distinct())
-        second = settle(verified(across, own, percent))
-    whole = components(edges.unionAll(second))
+        led = leaders.join(open_keys, F.col("key") == F.col("__k")).select("__k", (-F.col("l.id")).alias("b"))
+        family = settle(buckets.join(led, F.col("key") == F.col("__k")).select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
+        edges = edges.unionAll(settle(verified(settle(across(family, roots, own, percent)), own, percent)))
+    whole = components(edges)
     return known.select("doc_id", "n_shingles").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the root of ``column`` (itself, if it has no links)."""
+    r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    return df.join(r, F.col(column) == F.col("__n"), "left").withColumn(out, F.coalesce("__r", column)).drop("__n", "__r")
+
+
 def _pair(a: str, b: str) -> Column:
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("p")
 
