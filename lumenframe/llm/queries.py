@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing, template
+from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing, template, urltree
 from lumenframe.llm.secrets import scan_secrets
 
 #: Environment variables that name other tokenizer files than those of the public_tokenizers package.
@@ -36,6 +36,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.filter_urls(_read(spark, sf_dir, "pages"))
+
+
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_source_mix, op3_url_templates, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
