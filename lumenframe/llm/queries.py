@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenframe.llm import circulant, crf, lattice, linefreq, mixing, packing, template, urltree
+from lumenframe.llm import chroma, circulant, crf, lattice, linefreq, mixing, packing, template, urltree
 from lumenframe.llm.secrets import scan_secrets
+from lumenframe.llm.tables import settle
 
 #: Environment variables that name other tokenizer files than those of the public_tokenizers package.
 TOKENIZER_SETTING, VOCABULARY_SETTING = "LUMENFRAME_TOKENIZER", "LUMENFRAME_VOCABULARY"
@@ -32,6 +34,11 @@ def vocabulary_path() -> str:
     return os.environ.get(VOCABULARY_SETTING) or public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = settle(chroma.spoken_turns(_read(spark, sf_dir, "conversations")))
+    return chroma.align(prints, F.floor(F.col("rec_id") / chroma.TURNS) % chroma.QUERY_STEP == 0)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
 
@@ -69,7 +76,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op3_url_templates, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chroma_fingerprints, op2_source_mix, op3_url_templates, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
