@@ -2,25 +2,56 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes it as Parquet and reads it again as
 the docs of the next stage.
+
+1. quality_rules: documents that the rules reject go; boilerplate lines are cut from the others.
+2. near_duplicates: one document of each near-duplicate group stays (the smallest id).
+3. secret_scans: secrets in the texts are replaced by their kind.
+4. source_mix: documents are repeated or left out so that sources meet their target weights.
+5. best_fit_packing: token pieces with their place in sequences of 2048 tokens.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.circulant import deduplicated
+from lumenframe.llm.linefreq import quality_filtered
+from lumenframe.llm.mixing import mixed_documents
+from lumenframe.llm.packing import pack_documents
+from lumenframe.llm.queries import tokenizer_path
 from lumenframe.llm.secrets import redact_secrets
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_filtered(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced by their kind in brackets."""
     return redact_secrets(docs)
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("secret_scans", secret_stage),
+    ("source_mix", mix_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
-#: Tokenisation and near-duplicate groups have no SQL form.
+#: Tokenisation, near-duplicate groups and the mix's permutations have no SQL form; tests/llm/test_pipeline.py holds the
+#: stages against brute force.
 ORACLE_SQL: str | None = None
 
 
