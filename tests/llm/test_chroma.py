@@ -29,7 +29,7 @@ def brute(prints, asks, min_votes, max_error):
             a, b = prints[q], prints[r]
             if q == r or not len(a) or not len(b):
                 continue
-            votes = Counter(j - i for i, x in enumerate(a) for j, y in enumerate(b) if x == y)
+            votes = Counter(j - i for i in range(len(a) - C.KEY_GAP) for j in range(len(b) - C.KEY_GAP) if a[i] == b[j] and a[i + C.KEY_GAP] == b[j + C.KEY_GAP])
             if not votes or max(votes.values()) < min_votes:
                 continue
             n, _, offset = max((n, -abs(o), o) for o, n in votes.items())
