@@ -30,6 +30,8 @@ from lumenframe.llm.tables import settle
 
 DEPTH = 6
 LITERAL_SHARE, LITERAL_ROWS = 0.01, 5
+#: Tasks that the URLs of one host are dealt to, at most.
+HOST_COPIES = 64
 STRENGTH, PRIOR, MIN_PURITY = 4.0, 0.5, 0.8
 #: Critical value of the likelihood-ratio test (two degrees of freedom, one in a hundred).
 CRITICAL = 9.21
@@ -98,7 +100,10 @@ def templates(urls: DataFrame, depth: int = DEPTH, literal_share: float = LITERA
         .groupBy("host").agg(F.collect_set(F.concat("at", F.lit("/"), "s")).alias("literals"))
         .withColumnRenamed("host", "__h")
     )
-    known = cut.join(literal, F.col("host") == F.col("__h"), "left").withColumn("literals", F.coalesce("literals", F.array().cast("array<string>")))
+    # a host's literals are copied, so that one host's URLs go to as many tasks
+    copied = literal.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_COPIES - 1))))
+    salted = cut.withColumn("__u", F.pmod(F.xxhash64("path"), F.lit(HOST_COPIES)).cast("int"))
+    known = salted.join(copied, (F.col("host") == F.col("__h")) & (F.col("__u") == F.col("__salt")), "left").withColumn("literals", F.coalesce("literals", F.array().cast("array<string>")))
     general = F.transform("seg", lambda s, i: F.when(F.array_contains(F.col("literals"), F.concat(i.cast("string"), F.lit("/"), s)), s).otherwise(_wildcard(s)))
     first_is_literal = F.array_contains(F.col("literals"), F.concat(F.lit("0/"), F.col("seg")[0]))
     return (
