@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import chroma, circulant, crf, lattice, linefreq, mixing, packing, template, urltree
 from lumenframe.llm.secrets import scan_secrets
-from lumenframe.llm.tables import settle
+from lumenframe.llm.tables import bound_batches, settle
 
 #: Environment variables that name other tokenizer files than those of the public_tokenizers package.
 TOKENIZER_SETTING, VOCABULARY_SETTING = "LUMENFRAME_TOKENIZER", "LUMENFRAME_VOCABULARY"
@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 
 
 
+#: Rows of an Arrow batch between the JVM and Python, at most.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows: whole texts stand in them, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors don't cost its lineage again.
 
