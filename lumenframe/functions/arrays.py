@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 AXES = ("c", "r", "s", "t")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside lambdas a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def volume(dims: Column) -> Column:
     return dims["c"].cast("long") * dims["r"] * dims["s"] * dims["t"]
 
@@ -48,7 +53,7 @@ def splice(values: Column, block: int | Column) -> Column:
     """Blocks of ``block`` elements; the last may be shorter."""
     b = F.lit(block) if isinstance(block, int) else block
     starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), b)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(values, i, b))
+    return bind(values, lambda v: F.transform(starts, lambda i: F.slice(v, i, b)))
 
 
 def copy_range(target: Column, source: Column, source_start: Column, source_end: Column, at: Column) -> Column:
@@ -71,7 +76,7 @@ def flip(values: Column, dims: Column, axis: str) -> Column:
         below = below * dims[a]
     n = dims[axis]
     here = lambda i: F.floor(i / below).cast("int") % n
-    return F.transform(values, lambda _, i: F.get(values, (i + below * (n - 1 - 2 * here(i))).cast("int")))
+    return bind(values, lambda v: F.transform(v, lambda _, i: F.get(v, (i + below * (n - 1 - 2 * here(i))).cast("int"))))
 
 
 def count_different(a: Column, b: Column) -> Column:

@@ -14,81 +14,94 @@ def _c(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def vector(x: Number, y: Number, z: Number) -> Column:
-    return F.struct(_c(x).alias("x"), _c(y).alias("y"), _c(z).alias("z"))
+class Vec(dict):
+    """Three component Columns.  Steps of arithmetic stay apart from structs, whose fields would carry all three along."""
 
 
-def each(f, *vectors: Column) -> Column:
+Vector = Column | Vec
+
+
+def vector(x: Number, y: Number, z: Number) -> Vec:
+    return Vec(x=_c(x), y=_c(y), z=_c(z))
+
+
+def struct(v: Vector) -> Column:
+    """A struct column of a vector."""
+    return F.struct(*[v[k].alias(k) for k in "xyz"]) if isinstance(v, Vec) else v
+
+
+def each(f, *vectors: Vector) -> Vec:
     """f over the components of some vectors."""
     return vector(*[f(*[v[k] for v in vectors]) for k in "xyz"])
 
 
-def add(a: Column, b: Column) -> Column:
+def add(a: Vector, b: Vector) -> Vec:
     return each(lambda x, y: x + y, a, b)
 
 
-def subtract(a: Column, b: Column) -> Column:
+def subtract(a: Vector, b: Vector) -> Vec:
     return each(lambda x, y: x - y, a, b)
 
 
-def scaled(a: Column, k: Number) -> Column:
+def scaled(a: Vector, k: Number) -> Vec:
     return each(lambda x: x * _c(k), a)
 
 
-def negated(a: Column) -> Column:
+def negated(a: Vector) -> Vec:
     return each(lambda x: -x, a)
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Vector, b: Vector) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def cross(a: Column, b: Column) -> Column:
+def cross(a: Vector, b: Vector) -> Vec:
     return vector(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
 
 
-def square_length(a: Column) -> Column:
+def square_length(a: Vector) -> Column:
     return dot(a, a)
 
 
-def length(a: Column) -> Column:
+def length(a: Vector) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def normalized(a: Column, zero: Column | None = None) -> Column:
+def normalized(a: Vector, zero: Vector | None = None) -> Vec:
     """Unit vector; a zero vector gives ``zero`` (null by default)."""
     n = length(a)
-    unit = scaled(a, F.lit(1.0) / F.nullif(n, F.lit(0.0)))
-    return F.when(n > 0, unit).otherwise(zero) if zero is not None else F.when(n > 0, unit)
+    if zero is None:
+        return each(lambda x: F.when(n > 0, x / F.nullif(n, F.lit(0.0))), a)
+    return each(lambda x, o: F.when(n > 0, x / F.nullif(n, F.lit(0.0))).otherwise(o), a, zero)
 
 
-def product(a: Column) -> Column:
+def product(a: Vector) -> Column:
     return a["x"] * a["y"] * a["z"]
 
 
-def total(a: Column) -> Column:
+def total(a: Vector) -> Column:
     return a["x"] + a["y"] + a["z"]
 
 
-def lexical_key(a: Column) -> list[Column]:
+def lexical_key(a: Vector) -> list[Column]:
     """Sort columns: the last component counts most."""
     return [a["z"], a["y"], a["x"]]
 
 
-def largest_component(a: Column) -> Column:
+def largest_component(a: Vector) -> Column:
     """Index of the component that is largest in size; of equals the first."""
     x, y, z = F.abs(a["x"]), F.abs(a["y"]), F.abs(a["z"])
     return F.when((x >= y) & (x >= z), 0).when(y >= z, 1).otherwise(2)
 
 
-Matrix = tuple[Column, Column, Column]  # rows
+Matrix = tuple[Vec, Vec, Vec]  # rows
 
 
 def matrix(rows: list[list[float]]) -> Matrix:
     return tuple(vector(*r) for r in rows)  # type: ignore[return-value]
 
 
-def from_columns(a: Column, b: Column, c: Column) -> Matrix:
+def from_columns(a: Vector, b: Vector, c: Column) -> Matrix:
     return tuple(vector(a[k], b[k], c[k]) for k in "xyz")  # type: ignore[return-value]
 
 
@@ -96,7 +109,7 @@ def transposed(m: Matrix) -> Matrix:
     return from_columns(*m)
 
 
-def apply(m: Matrix, v: Column) -> Column:
+def apply(m: Matrix, v: Vector) -> Vec:
     return vector(*[dot(r, v) for r in m])
 
 
@@ -116,34 +129,34 @@ def inverse(m: Matrix) -> Matrix:
     return from_columns(*[scaled(v, F.lit(1.0) / d) for v in (a, b, c)])
 
 
-def spacing(size: Column, gap: Column | None = None) -> Column:
+def spacing(size: Vector, gap: Vector | None = None) -> Vec:
     """Voxel size and gap together; 0 counts as 1."""
     both = add(size, gap) if gap is not None else size
     return each(lambda x: F.when(x == 0, 1.0).otherwise(x), both)
 
 
-def orientation(row: Column, column: Column, slice_: Column, step: Column) -> Matrix:
+def orientation(row: Vector, column: Vector, slice_: Vector, step: Vector) -> Matrix:
     """Columns are the direction vectors times the spacing along them."""
     return from_columns(scaled(row, step["x"]), scaled(column, step["y"]), scaled(slice_, step["z"]))
 
 
-def index_to_physical(m: Matrix, origin: Column, index: Column) -> Column:
+def index_to_physical(m: Matrix, origin: Vector, index: Vector) -> Vec:
     return add(apply(m, index), origin)
 
 
-def physical_to_index(inverse_m: Matrix, origin: Column, place: Column) -> Column:
+def physical_to_index(inverse_m: Matrix, origin: Vector, place: Vector) -> Column:
     """Nearest voxel, half away from zero."""
     raw = apply(inverse_m, subtract(place, origin))
     near = lambda x: F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)).cast("int")
     return F.struct(*[near(raw[k]).alias(k) for k in "xyz"])
 
 
-def transform_about_origin(t: Matrix, origin: Column, r: Matrix) -> tuple[Column, Matrix]:
+def transform_about_origin(t: Matrix, origin: Vector, r: Matrix) -> tuple[Vec, Matrix]:
     """Origin and orientation after a transform of physical space."""
     return apply(t, origin), multiply(t, r)
 
 
-def transform_about_center(t: Matrix, origin: Column, r: Matrix, dims: tuple[Column, Column, Column], step: Column) -> tuple[Column, Matrix]:
+def transform_about_center(t: Matrix, origin: Vector, r: Matrix, dims: tuple[Column, Column, Column], step: Vector) -> tuple[Vec, Matrix]:
     """Origin and orientation after a transform of the image's own axes about its center."""
     half = vector(*[(n * step[k] - step[k]) * 0.5 for n, k in zip(dims, "xyz")])
     center = add(apply(r, half), origin)
@@ -151,7 +164,7 @@ def transform_about_center(t: Matrix, origin: Column, r: Matrix, dims: tuple[Col
     return add(apply(r, apply(transposed(t), local)), center), multiply(r, t)
 
 
-def main_orientation(row: Column, column: Column) -> Column:
+def main_orientation(row: Vector, column: Vector) -> Column:
     """Name of the axis the image plane stands on, within 45 degrees; ``reversed_`` if it points the other way."""
     n = cross(normalized(row), normalized(column))
     angle = {k: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), n[k]))) / math.pi for k in "xyz"}
@@ -162,17 +175,17 @@ def main_orientation(row: Column, column: Column) -> Column:
     return out
 
 
-def image_dimension_of_axis(row: Column, column: Column, slice_: Column, axis: str) -> Column:
+def image_dimension_of_axis(row: Vector, column: Vector, slice_: Vector, axis: str) -> Column:
     """Which image dimension (0, 1, 2) runs most along a scanner axis (x, y or z)."""
     return largest_component(vector(row[axis], column[axis], slice_[axis]))
 
 
-def flipped_geometry(origin: Column, direction: Column, step: Column, count: Column) -> tuple[Column, Column]:
+def flipped_geometry(origin: Vector, direction: Vector, step: Vector, count: Column) -> tuple[Vec, Vec]:
     """Origin and direction after the axis is walked from its other end."""
     return add(origin, scaled(direction, step * (count - 1))), negated(direction)
 
 
-def quaternion_to_matrix(b: Column, c: Column, d: Column, qfac: Column) -> Matrix:
+def quaternion_to_matrix(b: Vector, c: Column, d: Column, qfac: Column) -> Matrix:
     """Rotation of a unit quaternion whose real part follows from the others; ``qfac`` -1 turns the third axis."""
     a = F.sqrt(F.greatest(F.lit(0.0), 1 - (b * b + c * c + d * d)))
     q = F.when(qfac < 0, -1.0).otherwise(1.0)

@@ -27,7 +27,8 @@ def array_range(values: Column) -> Column:
 
 def channel_range(values: Column, fields: list[str]) -> Column:
     """Box around colours or complex numbers: a struct<low, high> for each field."""
-    return F.struct(*[array_range(F.transform(values, lambda x, f=f: x[f])).alias(f) for f in fields])
+    field = lambda f: F.transform(values, lambda x: x[f])
+    return F.struct(*[array_range(field(f)).alias(f) for f in fields])
 
 
 def image_range(low: Column, high: Column) -> Column:

@@ -46,8 +46,10 @@ def valid_chunks(chunks: DataFrame, needed: tuple[str, ...] = NEEDED) -> Column:
 def projected_position(chunks: DataFrame) -> Column:
     """Origin in the chunk's own axes; a missing slice direction is the cross product of the others."""
     o, r, c = F.col("indexOrigin"), F.col("rowVec"), F.col("columnVec")
-    s = F.coalesce(F.col("sliceVec"), G.cross(r, c)) if "sliceVec" in chunks.columns else G.cross(r, c)
-    return G.vector(G.dot(o, r), G.dot(o, c), G.dot(o, s))
+    s = G.cross(r, c)
+    if "sliceVec" in chunks.columns:
+        s = G.each(lambda own, made: F.when(F.col("sliceVec").isNotNull(), own).otherwise(made), F.col("sliceVec"), s)
+    return G.struct(G.vector(G.dot(o, r), G.dot(o, c), G.dot(o, s)))
 
 
 def placed(chunks: DataFrame, equality: tuple[str, ...] = EQUALITY, secondary: str = "acquisitionNumber") -> DataFrame:
@@ -134,14 +136,21 @@ def repaired_geometry(images: DataFrame) -> DataFrame:
     slice direction runs from first to last origin, or else is the cross product; an unknown gap along the slices
     follows from that distance.
     """
-    row = G.normalized(F.col("rowVec"), G.vector(1, 0, 0))
-    column = G.normalized(F.col("columnVec"), G.vector(0, 1, 0))
     usable = lambda x: F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), 1.0).otherwise(x)
-    d = images.withColumns({"rowVec": row, "columnVec": column, "voxelSize": G.each(usable, F.col("voxelSize"))})
-    span = G.subtract(F.col("last_origin"), F.col("first_origin"))
-    made = F.coalesce(G.normalized(span), G.normalized(G.cross(F.col("rowVec"), F.col("columnVec"))), G.vector(0, 0, 1))
-    d = d.withColumn("sliceVec", F.when(F.col("sliceVec").isNotNull() & (G.length(F.col("sliceVec")) > 0), G.normalized(F.col("sliceVec"))).otherwise(made))
+    d = images.withColumns(
+        {
+            "rowVec": G.struct(G.normalized(F.col("rowVec"), G.vector(1, 0, 0))),
+            "columnVec": G.struct(G.normalized(F.col("columnVec"), G.vector(0, 1, 0))),
+            "voxelSize": G.struct(G.each(usable, F.col("voxelSize"))),
+            "__span": G.struct(G.subtract(F.col("last_origin"), F.col("first_origin"))),
+        }
+    )
+    given, span, normal = F.col("sliceVec"), F.col("__span"), G.cross(F.col("rowVec"), F.col("columnVec"))
+    own = given.isNotNull() & (G.length(given) > 0)
+    pick = lambda g, s, n, z: F.when(own, g).otherwise(F.coalesce(s, n, z))
+    d = d.withColumn("sliceVec", G.struct(G.each(pick, G.normalized(given), G.normalized(span), G.normalized(normal), G.vector(0, 0, 1))))
     apart = G.length(span) / F.nullif(F.col("dims")["s"] - 1, F.lit(0)) - F.col("voxelSize")["z"]
-    known = F.coalesce(F.col("voxelGap"), G.vector(0, 0, 0))
-    gap = F.when(F.col("voxelGap").isNull() & (F.col("dims")["s"] > 1), G.vector(known["x"], known["y"], F.when(apart > 1e-6, apart).otherwise(0.0))).otherwise(known)
-    return d.withColumn("voxelGap", gap).withColumn("fov", A.field_of_view(F.col("dims"), F.col("voxelSize"), F.col("voxelGap")))
+    gap = G.each(lambda x: F.coalesce(x, F.lit(0.0)), F.col("voxelGap"))
+    found = F.when(F.col("voxelGap").isNull() & (F.col("dims")["s"] > 1) & (apart > 1e-6), apart).otherwise(gap["z"])
+    d = d.withColumn("voxelGap", G.struct(G.vector(gap["x"], gap["y"], found))).drop("__span")
+    return d.withColumn("fov", A.field_of_view(F.col("dims"), F.col("voxelSize"), F.col("voxelGap")))

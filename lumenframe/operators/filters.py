@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.arrays import AXES
+from lumenframe.functions.arrays import AXES, bind
 
 FWHM_PER_SIGMA = 2 * math.sqrt(2 * math.log(2))
 
@@ -51,7 +51,7 @@ def convolve(values: Column, dims: Column, kernel: list[float], axis: str = "c",
         return out
 
     if not sequential:
-        return F.transform(values, lambda _, i: at(values, i, place(i)))
+        return bind(values, lambda v: F.transform(v, lambda _, i: at(v, i, place(i))))
     index = F.sequence(F.lit(0), F.size(values) - 1)
     start = F.transform(values, lambda x: x.cast("double"))
     return F.aggregate(index, start, lambda a, i: F.transform(a, lambda x, j: F.when(j == i, at(a, i, place(i))).otherwise(x)))
@@ -61,10 +61,9 @@ def gauss(chunks: DataFrame, sigma: float | None = None, fwhm: float | None = No
     """Separable Gauss filter over chunks (voxels, dims); with ``spacing`` (by axis) sigma is in physical units."""
     s = sigma if sigma is not None else fwhm_to_sigma(fwhm)
     d = chunks
-    for i, a in enumerate(axes):  # a step of its own each, so that no expression holds the one before
+    for a in axes:
         kernel = gauss_kernel(s / (spacing or {}).get(a, 1.0))
         d = d.withColumn("voxels", convolve(F.col("voxels"), F.col("dims"), kernel, a))
-        d = d.select(*d.columns, F.explode(F.array(F.lit(i))).alias("__step")).drop("__step") if i + 1 < len(axes) else d
     return d
 
 
@@ -97,11 +96,12 @@ def frequency_filter(series: DataFrame, keys: list[str], order: str, value: str,
 
     ``low`` and ``high`` are wavelengths' frequencies in 1 / unit of ``step`` (seconds between samples).
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema if f.name in (*keys, order)) + ", filtered double"
+    kept = [f.name for f in series.schema if f.name in (*keys, order)]
+    schema = ", ".join(f"`{n}` {series.schema[n].dataType.simpleString()}" for n in kept) + ", filtered double"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order, kind="stable")
-        out = g[[*[f.name for f in series.schema if f.name in (*keys, order)]]].copy()
+        out = g[kept].copy()
         out["filtered"] = filter_series(g[value].to_numpy(float), step, low, high, steepness, stop)
         return out
 

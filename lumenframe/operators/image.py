@@ -89,10 +89,15 @@ def auto_splice(chunks: DataFrame, stride: int = 1) -> DataFrame:
     less = F.struct(*[F.when(F.col("__top") == k + 1, 1).otherwise(dims[a]).alias(a) for k, a in enumerate(A.AXES)])
     block = (F.size("voxels") / count).cast("int")
     d = d.select("*", F.posexplode(A.splice(F.col("voxels"), block)).alias("__i", "__v"))
-    step = G.add(F.col("voxelSize"), F.coalesce(F.col("voxelGap"), G.vector(0, 0, 0))) if "voxelGap" in chunks.columns else F.col("voxelSize")
-    slice_ = F.coalesce(F.col("sliceVec"), G.cross(F.col("rowVec"), F.col("columnVec"))) if "sliceVec" in chunks.columns else G.cross(F.col("rowVec"), F.col("columnVec"))
-    along = F.when(F.col("__top") == 3, G.scaled(slice_, step["z"] * F.col("__i"))).when(F.col("__top") == 2, G.scaled(F.col("columnVec"), step["y"] * F.col("__i"))).when(F.col("__top") == 1, G.scaled(F.col("rowVec"), step["x"] * F.col("__i"))).otherwise(G.vector(0, 0, 0))
-    return d.withColumns({"voxels": F.col("__v"), "dims": less, "indexOrigin": G.add(F.col("indexOrigin"), along), "acquisitionNumber": F.col("acquisitionNumber") + F.lit(stride) * F.col("__i")}).drop("__top", "__i", "__v")
+    step = F.col("voxelSize")
+    if "voxelGap" in chunks.columns:
+        step = G.each(lambda size, gap: size + F.coalesce(gap, F.lit(0.0)), step, F.col("voxelGap"))
+    normal = G.cross(F.col("rowVec"), F.col("columnVec"))
+    if "sliceVec" in chunks.columns:
+        normal = G.each(lambda own, made: F.coalesce(own, made), F.col("sliceVec"), normal)
+    along = lambda x, r, c, s: x + F.col("__i") * (F.when(F.col("__top") == 3, s * step["z"]).when(F.col("__top") == 2, c * step["y"]).when(F.col("__top") == 1, r * step["x"]).otherwise(0.0))
+    moved = G.struct(G.each(along, F.col("indexOrigin"), F.col("rowVec"), F.col("columnVec"), normal))
+    return d.withColumns({"voxels": F.col("__v"), "dims": less, "indexOrigin": moved, "acquisitionNumber": F.col("acquisitionNumber") + F.lit(stride) * F.col("__i")}).drop("__top", "__i", "__v")
 
 
 def splice_down_to(chunks: DataFrame, dim: int) -> DataFrame:
