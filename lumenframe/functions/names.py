@@ -40,7 +40,7 @@ def file_name(pattern: str, columns: dict[str, Column], types: dict[str, str] |
 
 def split_suffix(name: Column, suffixes: list[str]) -> tuple[Column, Column]:
     """Stem and suffix (with its dot); of the known suffixes the longest that fits, else the last dot's."""
-    known = sorted(suffixes, key=len, reverse=True)
+    known = sorted((s.lstrip(".") for s in suffixes), key=len, reverse=True)
     pattern = "|".join(re.escape(s) for s in known)
     generic = r"\.[^./]*"
     full = rf"^(.*?)(\.(?:{pattern}))$" if known else rf"^(.*)({generic})$"

@@ -374,7 +374,7 @@ def main_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", G.main_orientation(r, c).alias("orientation"), G.image_dimension_of_axis(r, c, G.cross(r, c), "x").alias("x_runs_along"))
 
 
-@register("vector_math", f"SELECT {LINE}, (a * b + b * c + c * a)::DOUBLE AS dot, (a * a + b * b + c * c)::DOUBLE AS square, (a * c - b * b)::DOUBLE AS cross_z, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN 0 WHEN abs(b) >= abs(c) THEN 1 ELSE 2 END AS largest, (a * (a * b - c * c) - b * (b * b - c * a) + c * (b * c - a * a))::DOUBLE AS det FROM (SELECT *, l_linenumber - 3 AS a, l_partkey % 7 AS b, l_suppkey % 5 - 2 AS c FROM lineitem)")
+@register("vector_math", f"SELECT {LINE}, (a * b + b * c + c * a)::DOUBLE AS dot, (a * a + b * b + c * c)::DOUBLE AS square, (a * c - b * b)::DOUBLE AS cross_z, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN 0 WHEN abs(b) >= abs(c) THEN 1 ELSE 2 END AS largest, (a * (b * c - a * a) + b * (a * c - b * b) + c * (a * b - c * c))::DOUBLE AS det FROM (SELECT *, l_linenumber - 3 AS a, l_partkey % 7 AS b, l_suppkey % 5 - 2 AS c FROM lineitem)")
 def vector_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = ((F.col("l_linenumber") - 3).cast("double"), (F.col("l_partkey") % 7).cast("double"), (F.col("l_suppkey") % 5 - 2).cast("double"))
     u, v, w = G.vector(a, b, c), G.vector(b, c, a), G.vector(c, a, b)
