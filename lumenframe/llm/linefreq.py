@@ -26,6 +26,8 @@ MIN_LEFT_SHARE = 0.3
 MIN_LEFT_WORDS = 5
 #: Keys of 8 bytes that are broadcast at most; more are joined by key.
 BROADCAST_ROWS = 200_000
+#: Texts that lose lines (a digest and some keys each) that are broadcast at most.
+BROADCAST_TEXTS = 50_000
 
 # Windows of eight word hashes; positions in windows found twice or more; the words that they cover.
 # An array of one element binds a value to a name, so that it is computed once.
@@ -162,7 +164,9 @@ def quality_filtered(
 ) -> DataFrame:
     """The rows that pass, all columns, with boilerplate lines cut from their texts (and ``chars_col`` set anew)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    removed = removed_lines(docs, id_col, text_col, host_col, line_limit)
+    removed = settle(removed_lines(docs, id_col, text_col, host_col, line_limit))
+    if removed.count() <= BROADCAST_TEXTS:  # then the texts needn't be shuffled
+        removed = F.broadcast(removed)
     kept_lines = F.filter(F.split(text, "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__removed"), line_key(F.col(host_col), x))))
     clean = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines, "\n"))
     signals = (
