@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import arrowtext as A
-from lumenframe.llm.tables import SharedTable, settle
+from lumenframe.llm.tables import SharedTable, packed, settle
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 85
@@ -218,16 +218,18 @@ def components(edges: DataFrame) -> DataFrame:
     every result is settled in the checkpoint folder.
     """
     current = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    n = current.count()
+    small = lambda d: packed(d, n)  # noqa: E731  steps never hold more rows than twice the edges
+    current, mark = small(current), None
     while True:
         both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("mu")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = settle(large)
+        large = both.join(low, F.col("u") == F.col("mu")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = settle(small(small(large).distinct()))
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m")
-        small = large.join(low, F.col("u") == F.col("mu"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = settle(small)
+        moved = large.join(low, F.col("u") == F.col("mu"))
+        moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(moved.select("u", F.col("m").alias("v"))).filter("u <> v")
+        current = settle(small(small(moved).distinct()))
         found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(found) == mark:
             break
@@ -247,31 +249,35 @@ def near_duplicates(
     keys = named.join(first_of_class, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("class_id")), "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("__k"), "n")
     # the planner can't know that few keys are shared, and the aggregate may hold as many rows as there are documents
-    buckets = settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "n"))
+    buckets = packed(settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "n")))
     central = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight")).withColumnRenamed("doc_id", "__w")
     leaders = buckets.join(central, F.col("doc_id") == F.col("__w")).groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("l"))
     votes = buckets.join(leaders.select(F.col("key").alias("__k"), (-F.col("l.id")).alias("leader"), F.col("l.weight").alias("weight")), F.col("key") == F.col("__k"))
-    votes = settle(votes.filter("doc_id <> leader").groupBy("doc_id", "leader", "weight").agg(F.count(F.lit(1)).alias("n")))
+    votes = packed(settle(votes.filter("doc_id <> leader").groupBy("doc_id", "leader", "weight").agg(F.count(F.lit(1)).alias("n"))))
     buckets = buckets.drop("n")
-    candidates = settle(buckets.select(F.col("doc_id").alias("__c")).distinct())
+    candidates = packed(settle(buckets.select(F.col("doc_id").alias("__c")).distinct()))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = candidates.count() <= BROADCAST_IDS
     with SharedTable(texts.join(F.broadcast(candidates) if small else candidates, F.col("doc_id") == F.col("__c"), "left_semi")) as own:
         best = votes.groupBy("doc_id").agg(F.max(F.struct("n", "weight", F.col("leader").alias("id"))).alias("best"))
-        edges = edges.unionAll(settle(verified(best.select(F.col("doc_id").alias("a"), F.col("best.id").alias("b")), own, percent)))
+        edges = edges.unionAll(settled(verified(best.select(F.col("doc_id").alias("a"), F.col("best.id").alias("b")), own, percent)))
         roots = components(edges)
         apart = _rooted(_rooted(votes, roots, "doc_id", "ra"), roots, "leader", "rb").filter("ra <> rb").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-        edges = edges.unionAll(settle(verified(settle(apart), own, percent)))
+        edges = edges.unionAll(settled(verified(settled(apart), own, percent)))
         roots = components(edges)
-        rooted = settle(_rooted(buckets, roots, "doc_id", "root"))
+        rooted = packed(settle(_rooted(buckets, roots, "doc_id", "root")))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("key").alias("__k"))
         led = leaders.join(open_keys, F.col("key") == F.col("__k")).select("__k", (-F.col("l.id")).alias("b"))
-        family = settle(buckets.join(led, F.col("key") == F.col("__k")).select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
-        edges = edges.unionAll(settle(verified(settle(across(family, roots, own, percent)), own, percent)))
+        family = packed(settle(buckets.join(led, F.col("key") == F.col("__k")).select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct()))
+        edges = edges.unionAll(settled(verified(settled(across(family, roots, own, percent)), own, percent)))
     whole = components(edges)
     return known.select("doc_id", "n_shingles").join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    return packed(settle(df))
+
+
 def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the root of ``column`` (itself, if it has no links)."""
     r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))

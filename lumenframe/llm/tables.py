@@ -31,6 +31,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition that small settled tables are put together to.
+SMALL_PARTITION, LEAST_PARTITIONS = 100_000, 4
+
+
+def packed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A settled table in fewer partitions if it is small, so that what is built on it has no swarm of tiny tasks and files."""
+    n = df.count() if rows is None else rows
+    return df.coalesce(max(LEAST_PARTITIONS, -(-n // SMALL_PARTITION)))
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
