@@ -89,7 +89,7 @@ def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     e.select("sender", F.posexplode(parts).alias("k", "payload"), "event_id").select("sender", (F.col("event_id") * 4 + F.col("k")).alias("seq"), "payload").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("sender string, seq long, payload binary").parquet(f"{folder}/in")
-    query = reassemble(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = reassemble(stream, timeout_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     done = spark.read.parquet(f"{folder}/out").filter("complete")
     return done.select("sender", "acquisition", "columns", "rows", F.aggregate("voxels", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))

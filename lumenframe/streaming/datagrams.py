@@ -45,11 +45,12 @@ OUT = "sender string, acquisition long, columns int, rows int, images int, voxel
 STATE = "acquisition long, columns int, rows int, images int, size long, data binary"
 
 
-def reassemble(datagrams: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def reassemble(datagrams: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Records of a stream (or table) of (sender, seq, payload), in the order of ``seq`` inside a batch.
 
     A record comes out when its bytes are there; one that a new header, the series' end or a timeout cuts short comes out
-    with complete = false and no voxels.  State is one open record per sender.
+    with complete = false and no voxels.  State is one open record per sender.  Without a timeout (None) open records wait
+    for ever; a query that processes what is there and stops needs that, as a timeout keeps it running.
     """
 
     def emit(sender: str, s: tuple, complete: bool) -> dict:
@@ -64,7 +65,7 @@ def reassemble(datagrams: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sender, out = key[0], []
         names = ["sender", "acquisition", "columns", "rows", "images", "voxels", "complete"]
-        if state.hasTimedOut:
+        if timeout_ms is not None and state.hasTimedOut:
             out.append(emit(sender, state.get, False))
             state.remove()
             yield pd.DataFrame(out, columns=names)
@@ -89,12 +90,13 @@ def reassemble(datagrams: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
                     open_record = None
         if open_record:
             state.update(open_record)
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=names)
 
-    return datagrams.groupBy("sender").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return datagrams.groupBy("sender").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class DatagramSource(DataSource):
