@@ -115,9 +115,7 @@ def swap_bytes(x: Column, width: int) -> Column:
     word = F.lpad(F.substring(F.hex(x.cast("bigint")), -2 * width, 2 * width), 2 * width, "0") if width < 8 else F.lpad(F.hex(x.cast("bigint")), 16, "0")
     swapped = F.concat(*[F.substring(word, 2 * k + 1, 2) for k in reversed(range(width))])
     value = F.conv(swapped, 16, 10).cast("decimal(20,0)")
-    half, whole = F.lit(1 << (8 * width - 1)).cast("decimal(20,0)"), F.lit(str(1 << (8 * width))).cast("decimal(20,0)")
-    if width == 8:
-        half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    half, whole = (F.lit(str(1 << (8 * width - k))).cast("decimal(20,0)") for k in (1, 0))
     return F.when(value >= half, value - whole).otherwise(value).cast("bigint")
 
 
