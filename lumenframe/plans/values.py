@@ -379,5 +379,5 @@ def vector_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = ((F.col("l_linenumber") - 3).cast("double"), (F.col("l_partkey") % 7).cast("double"), (F.col("l_suppkey") % 5 - 2).cast("double"))
     u, v, w = G.vector(a, b, c), G.vector(b, c, a), G.vector(c, a, b)
     return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", G.dot(u, v).alias("dot"), G.square_length(u).alias("square"), G.cross(u, v)["z"].alias("cross_z"), G.largest_component(u).alias("largest"), G.determinant((u, v, w)).alias("det")
+        "l_orderkey", "l_partkey", "l_linenumber", *[(x + 0.0).alias(n) for n, x in (("dot", G.dot(u, v)), ("square", G.square_length(u)), ("cross_z", G.cross(u, v)["z"]), ("det", G.determinant((u, v, w))))], G.largest_component(u).alias("largest")
     )
