@@ -42,6 +42,8 @@ UNIVERSE_BITS = 20
 PAIRS_PER_COPY = 64
 #: Ids of 8 bytes that are broadcast at most; more are joined by key.
 BROADCAST_IDS = 500_000
+#: Tasks that the copies of one text are dealt to.
+CLASS_SALTS = 16
 
 _ranks: list[np.ndarray] = []
 
@@ -243,10 +245,15 @@ def near_duplicates(
     """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches), kept (doc_id = component_id)."""
     known = settle(signed(docs, id_col, text_col, bands, rows))
     named = known.filter("digest is not null and doc_id is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    edges = settle(named.select("doc_id", "digest").join(classes, "digest").filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).distinct())
-    first_of_class = classes.select(F.col("digest").alias("__d"), "class_id")
-    keys = named.join(first_of_class, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("class_id")), "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    copied = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # texts with copies stand there once for each salt, so that thousands of copies of one text go to several tasks
+    salted = copied.select(F.col("digest").alias("__d"), "class_id", F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))).alias("__s"))
+    own_salt = F.pmod(F.xxhash64("doc_id"), F.lit(CLASS_SALTS)).cast("int")
+    members = named.select("doc_id", "digest", own_salt.alias("salt")).join(salted, (F.col("digest") == F.col("__d")) & (F.col("salt") == F.col("__s")))
+    members = settled(members.filter("doc_id <> class_id").select("doc_id", "class_id", "digest").distinct())
+    edges = members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    standing_for = members.select(F.col("doc_id").alias("__m"), F.col("digest").alias("__d"))
+    keys = named.join(standing_for, (F.col("doc_id") == F.col("__m")) & (F.col("digest") == F.col("__d")), "left_anti").select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("__k"), "n")
     # the planner can't know that few keys are shared, and the aggregate may hold as many rows as there are documents
     buckets = packed(settle(keys.join(shared.hint("merge"), F.col("key") == F.col("__k")).select("doc_id", "key", "n")))
