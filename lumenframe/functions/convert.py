@@ -209,3 +209,13 @@ def fuzzy_equal(a: Column, b: Column, scale: int = 1, single: bool = True) -> Co
     eps, tiny = (2.0**-23, 2.0**-126) if single else (2.0**-52, 2.0**-1022)
     big, small = F.greatest(F.abs(a), F.abs(b)), F.least(F.abs(a), F.abs(b))
     return F.when(small == 0, big < tiny * scale).otherwise(big / small <= 1 + eps * scale)
+
+
+def strict(x: Column, target: str | LogicalType) -> Column:
+    """A literal reading of text or numbers: what isn't exactly of the type raises under ANSI mode."""
+    return x.cast(of(target).carrier)
+
+
+def clamped_copy(x: Column, target: str | LogicalType) -> Column:
+    """The converted value whatever its flag says."""
+    return to_number(x, target)

@@ -138,3 +138,31 @@ def voxel_at(chunks: DataFrame, images: DataFrame, places: DataFrame) -> DataFra
     found = d.join(chunks.select("image_id", "lookup", "voxels"), ["image_id", "lookup"], "left")
     inside = A.in_range(F.col("__image"), F.col("x"), F.col("y"), F.col("z"), F.col("t"))
     return found.select("image_id", "x", "y", "z", "t", F.when(inside, F.get("voxels", F.col("__in"))).alias("value"))
+
+
+def for_each_chunk(chunks: DataFrame, f, schema: str | None = None) -> DataFrame:
+    """f(frame) -> frame on batches of chunk rows, where built-in functions don't do; each row is a whole chunk."""
+
+    def run(frames):
+        for frame in frames:
+            yield f(frame)
+
+    return chunks.mapInPandas(run, schema or chunks.schema)
+
+
+def count_failures(chunks: DataFrame, holds, group: str = "image_id") -> DataFrame:
+    """(group, failures): voxels for which holds(value, x, y, z, t) is false or null."""
+    failed = F.size(F.filter(A.map_voxels(F.col("voxels"), F.col("dims"), holds), lambda ok: ~F.coalesce(ok, F.lit(False))))
+    return chunks.groupBy(group).agg(F.sum(failed).cast("long").alias("failures"))
+
+
+def repetition_time(times: Column) -> Column:
+    """Largest step between neighbouring slice times of an array."""
+    steps = F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0))), lambda a, b: F.abs(b - a))
+    return F.array_max(steps)
+
+
+def duplicate_metadata(chunks: DataFrame, columns: list[str], order: str = "image_id") -> DataFrame:
+    """(digest, ids): images whose listed properties are all equal; pairs are never built."""
+    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    return chunks.groupBy(digest.alias("digest")).agg(F.sort_array(F.collect_set(order)).alias("ids")).filter(F.size("ids") > 1)

@@ -302,3 +302,9 @@ def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spliced_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("vec_id") + i).alias("values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("p"))
     return e.select("vec_id", "p", F.get(A.spliced_property(F.col("values"), F.lit(4), F.col("p").cast("int")), F.lit(0)).alias("value"))
+
+
+@register("duplicate_metadata", "SELECT min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority HAVING count(*) > 1")
+def duplicate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = image.duplicate_metadata(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey")
+    return d.select(F.element_at("ids", 1).alias("first"), F.size("ids").cast("long").alias("n"))

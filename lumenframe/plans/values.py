@@ -381,3 +381,13 @@ def vector_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", *[(x + 0.0).alias(n) for n, x in (("dot", G.dot(u, v)), ("square", G.square_length(u)), ("cross_z", G.cross(u, v)["z"]), ("det", G.determinant((u, v, w))))], G.largest_component(u).alias("largest")
     )
+
+
+@register("count_failures", f"SELECT label::BIGINT AS image_id, sum(len(list_filter(range(64), lambda i: NOT (v[i + 1] < i % 8 * 20))))::BIGINT AS failures FROM (SELECT label, {FIXED} AS v FROM embeddings) GROUP BY label")
+def count_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image.count_failures(_fixed(spark, sf_dir), lambda v, x, y, z, t: v < x * 20)
+
+
+@register("repetition_time", f"SELECT vec_id, list_max(list_transform(range(63), lambda i: abs(v[i + 2] - v[i + 1]))) AS step FROM (SELECT vec_id, {FIXED} AS v FROM embeddings)")
+def repetition_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixed(spark, sf_dir).select(F.col("lookup").alias("vec_id"), image.repetition_time(F.col("voxels")).alias("step"))

@@ -40,7 +40,13 @@ def register_format(f: Format) -> None:
 register_format(Format("raw", ("raw",), lambda d, _, __: raw.decode(d), encode=raw.encode))
 register_format(Format("vista", ("v",), lambda d, dialect, _: vista.decode(d, dialect), vista.DIALECTS, vista.encode))
 register_format(Format("dicom", ("dcm", "ima"), lambda d, dialect, _: dicom.decode(d, dialect), ("keepmosaic",)))
-register_format(Format("png", ("png",), lambda d, dialect, name: png.decode(d, dialect, name), ("stacked", "middle")))
+def _one_png(chunks: list[Chunk]) -> bytes:
+    if len(chunks) != 1 or chunks[0].dims[2] * chunks[0].dims[3] != 1:
+        raise FormatError("a PNG file holds one slice; name chunks one by one, or take png.slices")
+    return png.encode(chunks[0])
+
+
+register_format(Format("png", ("png",), lambda d, dialect, name: png.decode(d, dialect, name), ("stacked", "middle"), _one_png))
 register_format(Format("nifti", ("nii",), lambda d, dialect, _: nifti.decode(d, dialect), ("slices", "fsl", "spm"), nifti.encode))
 
 

@@ -120,6 +120,10 @@ def test_load_assemble_write_and_read_again(spark, tmp_path):
     assert again.voxels == want
     spark.dataSource.register(load.ChunkSource)
     assert spark.read.format("chunks").load(str(tmp_path / "out")).count() == 1
+    pngs = load.write(chunks.withColumn("file_name", F.concat(F.lit("p"), F.col("indexOrigin.z").cast("int").cast("string"), F.lit(".png"))), str(tmp_path / "out"), order="arrival").collect()
+    assert all(r.error is None for r in pngs) and load.load(spark, str(tmp_path / "out"), dialect="stacked").count() == 3
+    refused = load.write(a.chunks.withColumn("file_name", F.lit("all.png")), str(tmp_path / "out")).first()
+    assert "one slice" in refused.error
     names = tmp_path / "list.txt"
     names.write_text("\n".join(str(tmp_path / "in" / f"slice{s}.nii.gz") for s in range(2)))
     assert load.load_list(spark, str(names)).count() == 2
