@@ -204,10 +204,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     taken = (
         # slots come from a few rows of counts, which the planner would take for a small table
         m.pieces.join(uses.hint("merge"), ["source_number", "block"])
-        .groupBy("source_number", "doc_id", "first_word", "size")
+        # a document with words is known by its first word's place
+        .groupBy("source_number", "first_word")
         .agg(F.sum(F.col("uses") * F.col("length")).alias("taken"))
     )
-    used = m.documents.filter("size > 0").join(taken, ["source_number", "doc_id", "first_word", "size"], "left").unionByName(m.documents.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    used = m.documents.filter("size > 0").join(taken, ["source_number", "first_word"], "left").unionByName(m.documents.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return used.join(F.broadcast(info), "source_number").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -49,7 +49,7 @@ def corpus(spark):
     for i in range(300):
         source = None if i % 50 == 0 else f"s{(i * i) % 4}"
         rows.append((i, " ".join(["w"] * (1 + i * 7 % 200)), source, 5.0))
-    rows += [(1000, None, "s1", 1.0), (1001, "", "s2", 1.0), (5, "again \t\n again", "s1", 1.0), (7, "x " * 30_000, "s3", 1.0)]
+    rows += [(1000, None, "s1", 1.0), (1001, "", "s2", 1.0), (5, "again \t\n again", "s1", 1.0), (7, "x " * 30_000, "s3", 1.0), (None, "a row without an id", "s1", 1.0)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size double")
 
 
@@ -57,7 +57,7 @@ def test_taken_words_and_documents(spark):
     docs = corpus(spark)
     rows = M.taken_words(docs, block_words=16, shard_slots=64).collect()
     assert len(rows) == docs.count()
-    assert sorted(rows) == sorted(M.taken_words(docs.repartition(7), block_words=16, shard_slots=64).collect())
+    assert sorted(map(repr, rows)) == sorted(map(repr, M.taken_words(docs.repartition(7), block_words=16, shard_slots=64).collect()))
     by_id = {}
     for d in docs.collect():
         by_id.setdefault(d.doc_id, []).append(d)
