@@ -302,3 +302,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
+def oracle(percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> str:
+    """DuckDB SQL with the rows of ``near_duplicates`` over ``documents``: all pairs that share a shingle, then their closure."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+{width - 1}], ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - {width - 2}, 2))) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= {percent} * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.doc_id = w.doc_id"""

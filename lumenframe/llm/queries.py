@@ -81,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_frequency": linefreq.oracle()}
+    return {"op4_circulant_minhash": circulant.oracle(), "op6_line_frequency": linefreq.oracle()}
