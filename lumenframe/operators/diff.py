@@ -40,7 +40,7 @@ def drop_with(images: DataFrame, name: str, value: str, type_column: str | None
 
 def nth(images: DataFrame, n: int, order: str = "image_id") -> DataFrame:
     """The n-th image, from 0."""
-    return images.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col("__n") == n).drop("__n")
+    return images.orderBy(order).offset(n).limit(1)
 
 
 def unmatched(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
