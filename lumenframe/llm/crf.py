@@ -32,7 +32,7 @@ SAMPLE_DOCS = 2500
 SAMPLE_CHARS = 20_000
 MAX_FEATURES = 1 << 16
 WINDOW = 64
-STEPS = 60
+STEPS = 150
 #: A word is a labelled token from these log odds on, in at least this share (and number) of toxic documents.
 LEAST_LOG_ODDS, LEAST_SHARE, LEAST_DOCS = 2.0, 0.02, 3
 HOLD_OUT = 5
