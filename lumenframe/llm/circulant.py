@@ -15,8 +15,9 @@ shifted circularly by k places, so one table serves all coordinates.
    each lie just outside the threshold of all others share next to nothing there, and no pairs come of them.
 4. Those pairs are verified, and components are formed again.
 
-Verification compares full sets (64-bit hashes of five-word shingles), never signatures.  A pair at the threshold is
-missed by the bands with probability (1 - 0.85**7)**24 = 9e-5, more similar ones less often; groups have other paths.
+Verification compares full sets (64-bit hashes of five-word shingles), never signatures.  There are as many bands as the
+threshold needs: a pair at it is missed with probability ``MISSED`` at most ((1 - 0.85**7)**24 = 9e-5 at 85 %, and
+(1 - 0.8**7)**40 = 8e-5 at 80 %), more similar ones less often; groups have other paths.
 
 Null or empty texts (and texts without words) have an empty set, link with nothing and are kept.  Rows with equal ids
 are one node: linked with all that any of them links with, and each row is returned.  A null id links with nothing.
@@ -24,6 +25,7 @@ are one node: linked with all that any of them links with, and each row is retur
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ from lumenframe.llm.tables import SharedTable, packed, settle
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 85
-BANDS, BAND_ROWS = 24, 7
+BAND_ROWS = 7
+#: Probability, at most, that a pair at the threshold shares no band.
+MISSED = 1e-4
 UNIVERSE_BITS = 20
 #: Copies of a hub's text, one for about so many of its pairs.
 PAIRS_PER_COPY = 64
@@ -56,6 +60,12 @@ def _rank_table(coordinates: int) -> np.ndarray:
     return _ranks[0]
 
 
+def bands_for(percent: int, rows: int = BAND_ROWS) -> int:
+    """The least number of bands that miss a pair at the threshold with probability ``MISSED`` at most."""
+    shared = min(1 - 1e-9, (percent / 100) ** rows)
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-shared)))
+
+
 def shingles(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
     """Distinct shingle hashes of a word sequence, sorted; a shorter sequence is one shingle."""
     if len(words) == 0:
@@ -89,7 +99,7 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [shingles(h[first[i] : first[i + 1]]) for i in range(len(offsets) - 1)]
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int = BAND_ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, a 128-bit digest of its words and its band keys (both null without words).
 
     This is the one pass over all texts; what follows works on its short rows and on the texts of candidates.
@@ -240,10 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = BAND_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, bands: int | None = None, rows: int = BAND_ROWS
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id it reaches), kept (doc_id = component_id)."""
-    known = settle(signed(docs, id_col, text_col, bands, rows))
+    known = settle(signed(docs, id_col, text_col, bands or bands_for(percent, rows), rows))
     named = known.filter("digest is not null and doc_id is not null")
     copied = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # texts with copies stand there once for each salt, so that thousands of copies of one text go to several tasks

@@ -78,3 +78,14 @@ def test_signature_estimates_similarity():
     a, b = np.sort(pool[:3400]), np.sort(pool[600:])
     s = C.signatures(np.concatenate([a, b]), np.array([0, len(a)]), 256)
     assert abs((s[0] == s[1]).mean() - 2800 / 4000) < 0.1
+
+
+def test_pairs_at_a_lower_threshold_are_found(spark):
+    """3000 pairs of similarity 0.8 exactly: 80 common shingles, 10 of their own each."""
+    rows = []
+    for i in range(3000):
+        common = " ".join(f"c{i}x{k}" for k in range(84))
+        rows += [(2 * i + j, common + "".join(f" t{i}x{j}x{k}" for k in range(10))) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert C.deduplicated(docs, percent=80).count() == 3000
+    assert C.bands_for(85) == 24
