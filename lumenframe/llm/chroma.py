@@ -5,11 +5,12 @@
 2. An integral image over (frame, pitch class) makes every box sum four look-ups.  Sixteen filters, each the
    log ratio of two groups of boxes, slide over it; a filter's value is put into one of four ranges (two Gray-coded bits),
    and the bits of a position are packed into one integer.
-3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by pairs of integers
-   ``KEY_GAP`` apart; every hit votes for the pair's offset; the offset with most votes (the nearest to 0 of equals) aligns
-   the pair, and the share of differing bits over the aligned stretch accepts or rejects it.
+3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by their integers;
+   every hit votes for the pair's offset; the offset with most votes (the nearest to 0 of equals) aligns the pair, and the
+   share of differing bits over the aligned stretch accepts or rejects it.  ``MIN_VOTES`` votes are asked for, or one for
+   every two integers of the shorter fingerprint if that is less.
 
-Integers over silence say nothing; pairs with one are not looked up.  Null or short recordings (under ``FRAME`` samples, or fewer
+Integers over silence say nothing and are not looked up.  Null or short recordings (under ``FRAME`` samples, or fewer
 frames than the widest filter) have an empty fingerprint and match nothing; each is a class of its own.  Repeated rows are
 members of one class.  An empty table gives an empty result.
 """
@@ -31,9 +32,9 @@ LOWEST, HIGHEST = 65.0, 1950.0
 WIDTH = 16
 SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
 MIN_VOTES, MAX_BIT_ERROR = 4, 0.35
-#: A look-up key is an integer and the one this many positions on.  One integer alone agrees by chance often enough for
-#: hits to grow with the square of the recordings.
-KEY_GAP = 8
+#: A look-up key is an integer and the one this many positions on: 0, each integer by itself.  Keys of two integers have
+#: fewer chance hits, but lose noisy copies and short recordings.
+KEY_GAP = 0
 QUERY_STEP = 20
 
 # The filters (shape, first pitch class, pitch classes, frames) and the limits of their ranges.
@@ -170,15 +171,12 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_b
     members = named.select("rec_id", "digest", F.size("items").cast("long").alias("n_items")).join(classes, "digest").select("rec_id", "class_id", "n_items")
     own = named.join(classes.select(F.col("digest").alias("__d"), "class_id", "asks"), (F.col("digest") == F.col("__d")) & (F.col("rec_id") == F.col("class_id")))
     own = settle(own.filter(F.size("items") > 0).dropDuplicates(["class_id"]).select("class_id", "asks", "items", "silent"))
-    pair = F.struct(F.get("items", F.col("at")).alias("x"), F.get("items", F.col("at") + KEY_GAP).alias("y"))
-    quiet = F.get("silent", F.col("at")) | F.get("silent", F.col("at") + KEY_GAP)
-    positions = F.explode(F.sequence(F.lit(0), F.size("items") - KEY_GAP - 1))
-    each = own.filter(F.size("items") > KEY_GAP).withColumn("at", positions).filter(~quiet)
-    # both are 32 bits wide
-    each = each.select("class_id", "asks", "at", pair.alias("i")).select("class_id", "asks", "at", F.shiftleft("i.x", 32).bitwiseOR(F.col("i.y")).alias("item"))
-    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "item")
-    hit = ask.join(each.select(F.col("class_id").alias("r"), F.col("at").alias("r_at"), "item"), "item").filter("q <> r")
-    votes = hit.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= min_votes)
+    each = own.select("class_id", "asks", F.size("items").alias("n"), F.posexplode(F.arrays_zip("items", "silent")).alias("at", "i")).filter(~F.col("i.silent"))
+    each = each.select("class_id", "asks", "n", "at", F.col("i.items").alias("item"))
+    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), "item")
+    hit = ask.join(each.select(F.col("class_id").alias("r"), F.col("n").alias("r_n"), F.col("at").alias("r_at"), "item"), "item").filter("q <> r")
+    votes = hit.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.least(F.lit(min_votes), F.ceil(F.least(F.first("q_n"), F.first("r_n")) / 2)).alias("least"))
+    votes = votes.filter(F.col("votes") >= F.col("least"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "r", "b.votes", "b.offset")
     left, right = own.select(F.col("class_id").alias("q"), F.col("items").alias("q_items")), own.select(F.col("class_id").alias("r"), F.col("items").alias("r_items"))
     start = F.greatest(-F.col("offset"), F.lit(0))

@@ -76,3 +76,28 @@ def test_noise_and_shift_are_found(spark):
     recordings = spark.createDataFrame([(0, bytearray(pcm(song))), (1, bytearray(pcm(noisy))), (2, bytearray(pcm(other))), (3, None)], "id long, pcm binary")
     got = [r for r in C.align(C.settle(C.fingerprints(recordings, "id", "pcm")), F.col("rec_id") == 0).collect() if r.match_id is not None]
     assert [(r.match_id, r.offset) for r in got] == [(1, -40)] and got[0].bit_error < 0.1
+
+
+def test_short_and_noisy_recordings_are_found(spark):
+    """Against votes of single integers, counted here: excerpts of 18 to 27 words and a noisy copy of 25."""
+    rnd, rng = random.Random(3), np.random.default_rng(4)
+    song = [f"w{rnd.randrange(3000)}".encode() for _ in range(150)]
+    sounds = {0: C.tones(song)}
+    for k, n in enumerate(range(18, 28)):
+        at = rnd.randrange(120)
+        sounds[k + 1] = C.tones(song[at : at + n])
+    sounds[20] = C.tones(song[60:85]) + rng.normal(0, 0.05, 25 * C.HOP)
+    prints = {i: C.fingerprint(C.chroma(x))[0].tolist() for i, x in sounds.items()}
+    want = set()
+    for r, b in prints.items():
+        a = prints[0]
+        votes = Counter(j - i for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])
+        if r and votes and max(votes.values()) >= min(4, -(-len(b) // 2)):
+            n, _, offset = max((n, -abs(o), o) for o, n in votes.items())
+            start = max(0, -offset)
+            both = [(a[k], b[k + offset]) for k in range(start, min(len(a), len(b) - offset))]
+            if sum(bin(x ^ y).count("1") for x, y in both) <= 0.35 * 32 * len(both):
+                want.add((r, offset))
+    rows = spark.createDataFrame([(i, [int(x) for x in p], [False] * len(p)) for i, p in prints.items()], C.SCHEMA)
+    got = {(r.match_id, r.offset) for r in C.align(C.settle(rows), F.col("rec_id") == 0).collect() if r.match_id is not None}
+    assert got == want and {*range(4, 11), 20} <= {r for r, _ in got}
