@@ -13,9 +13,10 @@ Per host, over all of its pages:
 4. Slots.  What lies between template tokens is a slot; its text differs from page to page.  Slots are labelled by the
    template tokens around them: menus, headers, footers, sidebars, notices, adverts, forms and comments by element
    names and by class, id and role names.
-5. The main text is the article element (or main, or the element whose class or id says so) that the template holds;
-   all blocks of its slots are kept, whatever they say.  On pages without such an element the blocks of all slots
-   that no label excludes are kept, and template text is left out.
+5. The main text is the article element (or main) that the page holds; all its blocks are kept, whatever they say.  An
+   element whose class or id says so is taken if it holds half of the varying text at least, and an article in a region
+   that only a name makes a side region if it holds more than the rest.  On other pages the blocks of all slots that no
+   label excludes are kept, and template text is left out.
 
 Null html counts as empty; a page of one's own host is judged by its labels alone.  Broken markup is read as browsers
 do for the elements that matter here (implied ends of p, li and the like; unclosed elements).  Repeated rows are
@@ -58,6 +59,8 @@ SIDE_WORDS = frozenset(
     "toolbar login search complementary contentinfo alert widget".split()
 )
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent".split())
+#: A side word behind one of these says what else the page has ("layout-with-sidebar", "has-header").
+MODIFIERS = frozenset("with without has have no".split())
 #: Of these, a side word in a name doesn't count (an article may be called a story with a header image).
 MAIN_ELEMENTS = ("article", "main")
 
@@ -73,6 +76,9 @@ class Element:
     path: str
     side: bool  # in a region that is never main text
     main: bool  # in an article, main or the like
+    sure: bool = False  # in an article or main element
+    named: bool = False  # side by a name only, not by an element
+    inner: bool = False  # in an article or main element of a region that is side by name
 
 
 @dataclass
@@ -81,6 +87,8 @@ class Block:
     text: str
     side: bool
     main: bool
+    sure: bool = False
+    inner: bool = False
 
 
 @dataclass
@@ -89,9 +97,18 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _roles(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Part of the path, whether the element is a side region, whether it is a main region."""
-    marks, side, main = [], name in DROPPED, name in MAIN_ELEMENTS
+def _side_name(value: str) -> bool:
+    """Whether a token of a class, id or role has a side word that no modifier stands before."""
+    for token in value.split():
+        words = [w.lower() for w in _NAME_WORD.findall(token)]
+        if any(w in SIDE_WORDS and not MODIFIERS.intersection(words[:k]) for k, w in enumerate(words)):
+            return True
+    return False
+
+
+def _roles(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Part of the path, whether the element is a side region, whether it is a main region, whether it is side by name only."""
+    marks, side, main, named = [], name in DROPPED, name in MAIN_ELEMENTS, False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -103,11 +120,11 @@ def _roles(name: str, attributes: str) -> tuple[str, bool, bool]:
             joined = {a + b for a, b in zip(words, words[1:])}
             if any(w in MAIN_WORDS for w in words) or joined & MAIN_WORDS:
                 main = True
-            if name not in MAIN_ELEMENTS and name not in ("body", "html") and any(w in SIDE_WORDS for w in words):
-                side = True
-    if side:
+            if name not in MAIN_ELEMENTS and name not in ("body", "html") and _side_name(value):
+                named = True
+    if side or named:
         main = False
-    return (f"{name}[{';'.join(sorted(marks))}]" if marks else name), side, main
+    return (f"{name}[{';'.join(sorted(marks))}]" if marks else name), side or named, main, named and not side
 
 
 def parse(html: str | None) -> Page:
@@ -124,7 +141,7 @@ def parse(html: str | None) -> Page:
             text.clear()
             if own:
                 home = block_home()
-                page.blocks.append(Block(home.path, own, home.side, home.main))
+                page.blocks.append(Block(home.path, own, home.side, home.main, home.sure, home.inner))
 
     def block_home() -> Element:
         for e in reversed(stack):
@@ -188,7 +205,8 @@ def parse(html: str | None) -> Page:
                 break
             if stack[k].name in ("ul", "ol", "dl", "table", "select"):
                 break
-        part, side, main = _roles(name, m[3] or "")
+        attributes = m[3] or ""
+        part, side, main, named = _roles(name, attributes)
         parent = stack[-1]
         if name not in INLINE or (side and not parent.side):
             flush()
@@ -196,7 +214,11 @@ def parse(html: str | None) -> Page:
         page.tags.append(path)
         if name in VOID:
             continue
-        stack.append(Element(name, path, parent.side or side, (parent.main or main) and not (parent.side or side)))
+        away = parent.side or side
+        sure = (parent.sure or name in MAIN_ELEMENTS) and not away
+        by_name = (parent.named and not (side and not named)) or (named and not parent.side)
+        inner = parent.inner and not side or name in MAIN_ELEMENTS and parent.side and by_name and not _side_name(" ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)))
+        stack.append(Element(name, path, away, (parent.main or main) and not away, sure, by_name, inner and not parent.sure))
     flush()
     return page
 
@@ -269,10 +291,24 @@ def template_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 
 
 def main_text(page: Page, template: frozenset[int] | set[int]) -> str:
-    """Blocks of the main slots, in order."""
-    if any(b.main for b in page.blocks):
+    """Blocks of the main slots, in order.
+
+    Names decide only where they hold the bulk: a labelled region at least half of the text that no label excludes, and an
+    article in a region that is side by name more than that text.
+    """
+    if any(b.sure for b in page.blocks):
         return "\n\n".join(b.text for b in page.blocks if b.main)
-    return "\n\n".join(b.text for b in page.blocks if not b.side and _key("text", b.path, b.text) not in template)
+    size = lambda blocks: sum(len(b.text) for b in blocks)
+    varying = [b for b in page.blocks if not b.side and _key("text", b.path, b.text) not in template]
+    inner = [b for b in page.blocks if b.inner]
+    labelled = [b for b in page.blocks if b.main]
+    if size(inner) > size(varying):
+        chosen = inner
+    elif labelled and 2 * size(b for b in varying if b.main) >= size(varying):
+        chosen = labelled
+    else:
+        chosen = varying
+    return "\n\n".join(b.text for b in chosen)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

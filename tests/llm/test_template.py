@@ -62,3 +62,18 @@ def test_equivalence_classes(spark):
     vector = lambda *t: tokens[T._key(*t)].vector
     assert vector("tag", "/div") == vector("text", "/div/p", "same") == vector("text", "/p", "x")
     assert vector("tag", "/li") == vector("text", "/li", "e") != vector("tag", "/div")
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<h1 class='post-title'>T</h1><div class='text'><p>The whole story.</p></div>", "T\n\nThe whole story."),
+        ("<div class='layout-with-sidebar'><article><p>a</p></article></div><p>y</p>", "a"),
+        ("<div class='content has-header'><p>a</p></div>", "a"),
+        ("<div class='widget-page'><article><p>long text</p><nav>n</nav></article></div><p>y</p>", "long text"),
+        ("<article><p>a</p></article><div class='comments'><article><p>reader says more</p></article></div>", "a"),
+        ("<div class='site-header'>h</div><aside><article>related</article></aside><p>y</p>", "y"),
+    ],
+)
+def test_names_do_not_drop_the_article(html, want):
+    assert T.main_text(T.parse(html), set()) == want
