@@ -8,10 +8,8 @@ Per host, over all of its pages:
    form an equivalence class.  Vectors are never built: a sum of hashes of (page, count) over the pages, and the
    number of pages, tell them apart, so the classes come from one grouped sum however many pages a host has.
 3. Valid classes.  A class is valid if its tokens stand on at least half of the host's pages (and on ``LEAST_PAGES``).  Classes
-   that occur once a page form the root template; classes that repeat nest inside it.  Text blocks in valid classes
-   are template text: the same words at the same place on most pages.
-4. Slots.  What lies between template tokens is a slot; its text differs from page to page.  Slots are labelled by the
-   template tokens around them: menus, headers, footers, sidebars, notices, adverts, forms and comments by element
+   aren't ordered or nested, and no template tree is built.  Text blocks in valid classes are template text: the same words at the same place on most pages.
+4. Slots.  Text blocks that are no template text stand for slots.  They are labelled by the elements around them: menus, headers, footers, sidebars, notices, adverts, forms and comments by element
    names and by class, id and role names.
 5. The main text is the article element (or main) that the page holds; all its blocks are kept, whatever they say.  An
    element whose class or id says so is taken if it holds half of the varying text at least, and an article in a region
