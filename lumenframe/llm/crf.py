@@ -3,9 +3,10 @@
 Two states (plain, toxic) along the words of a text.  A word's features are its form without outer punctuation and the
 first and last three bytes of that form, all A-Z lower-cased; neighbouring states share transition weights.
 
-Fit, on a bounded sample of labelled documents on the driver (``SAMPLE_DOCS`` per class, ``SAMPLE_CHARS`` characters of
-each; nothing else is bounded): words that stand in toxic documents far more often than in others are the labelled
-tokens; the field is fitted on windows of those texts by gradient steps on its likelihood; a logistic
+Fit, on a bounded sample of labelled documents on the driver (``SAMPLE_DOCS`` per class, whole
+texts): words that stand in toxic documents far more often than in others are the labelled
+tokens; the field is fitted on the windows that hold one and a window drawn from each text, by
+gradient steps on its likelihood; a logistic
 regression on summed marginals maps texts to scores, weighted to the classes' shares among all labels.
 
 Scoring: forward-backward over every word of every text gives each word's marginal.  Their sum, their maximum and the
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from lumenframe.llm import arrowtext as A
 
 SAMPLE_DOCS = 2500
-SAMPLE_CHARS = 20_000
 MAX_FEATURES = 1 << 16
 WINDOW = 64
 STEPS = 150
@@ -161,10 +161,11 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
     least = max(LEAST_DOCS, LEAST_SHARE * n1)
     lexicon = [w for w, n in in_toxic.items() if n >= least and np.log((n + 0.5) / (n1 + 1)) - np.log((in_clean[w] + 0.5) / (n0 + 1)) >= LEAST_LOG_ODDS]
     y = np.isin(f[0], np.array(lexicon, np.uint64)) & toxic[doc]
-    # windows of whole texts: all that hold a labelled token, and the first of each text
+    # windows of whole texts: all that hold a labelled token, and one of each text, drawn over its whole length
     window = (np.arange(len(doc)) - first[doc]) // WINDOW
+    drawn = np.random.default_rng(41).integers(0, np.maximum(1, -(-np.diff(first) // WINDOW)))
     group = doc * (int(window.max()) + 1) + window
-    use = np.isin(group, np.unique(group[y])) | (window == 0)
+    use = np.isin(group, np.unique(group[y])) | (window == drawn[doc])
     fu, yu, gu = f[:, use], y[use], group[use]
     lengths = np.diff(np.append(np.flatnonzero(np.append(True, gu[1:] != gu[:-1])), len(gu)))
     values, counts = np.unique(fu, return_counts=True)
@@ -289,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen[0].unionAll(chosen[1])
     # the chosen ids are bounded by 2 * sample_docs
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("__did"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
+        docs.select(F.col(id_col).cast("long").alias("__did"), F.col(text_col).alias("t"))
         .filter(F.col("t").isNotNull())
         .join(F.broadcast(chosen), F.col("__did") == F.col("__id"))
         .groupBy("__did", "__y").agg(F.min("t").alias("t"))

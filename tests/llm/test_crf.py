@@ -69,3 +69,14 @@ def test_no_labels_and_empty(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert C.toxicity(docs, lab).first().score < 1e-9
     assert C.toxicity(docs.limit(0), lab).collect() == []
+
+
+def test_words_late_in_long_texts_are_learnt(spark):
+    """Toxic words stand only behind 20,000 characters."""
+    rnd = random.Random(6)
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    text = lambda bad: " ".join([*(rnd.choice(words) for _ in range(5500)), *["grubtoad"] * (3 * bad), "end"])
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = [r for r in C.toxicity(docs, labels).collect() if r.held_out]
+    assert len(got) > 5 and all(r.predicted == r.doc_id % 2 and bool(r.spans) == bool(r.doc_id % 2) for r in got)
