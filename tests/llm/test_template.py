@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lumenframe.llm import template as T
@@ -47,21 +50,146 @@ def test_template_text_is_left_out_on_pages_without_an_article(spark):
     assert by[1].text == "Own text 1\n\nshared by two\n\nagain\n\nagain"
     assert by[4].text == "Own text 4\n\nonly 4\n\nagain\n\nagain"
     assert by[100].text.startswith("Site name") and by[102].text == "" and all(r.n_chars == len(r.text) for r in got)
-    T.BROADCAST_TEXTS, kept = -1, T.BROADCAST_TEXTS
+    T.BROADCAST_TOKENS, kept = -1, T.BROADCAST_TOKENS
     try:
         assert sorted(T.extract(pages).collect()) == sorted(got)
     finally:
-        T.BROADCAST_TEXTS = kept
+        T.BROADCAST_TOKENS = kept
     assert T.extract(pages.limit(0)).collect() == []
 
 
+def signed(k):
+    return k - (1 << 64) if k >> 63 else k
+
+
+def streams(spark, pages, host="http://h/"):
+    rows = spark.createDataFrame([(i, host, h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return T.settle(T.token_streams(rows))
+
+
 def test_equivalence_classes(spark):
-    rows = [(i, "http://h/", f"<div><p>same</p><p>n{i}</p></div><p>x</p>" + "<li>e</li>" * (i + 1)) for i in range(4)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    tokens = {r.token: r for r in T.token_vectors(pages).collect()}
-    vector = lambda *t: tokens[T._key(*t)].vector
-    assert vector("tag", "/div") == vector("text", "/div/p", "same") == vector("text", "/p", "x")
-    assert vector("tag", "/li") == vector("text", "/li", "e") != vector("tag", "/div")
+    pages = [f"<div><p>same</p><p>n{i}</p></div><p>x</p>" + "<li>e</li>" * (i + 1) for i in range(4)]
+    tokens = {r.token: r for r in T.token_vectors(streams(spark, pages)).collect()}
+    vector = lambda k: tokens[signed(k)].vector
+    div, p, li = T.path_key("div"), T.path_key("p"), T.path_key("li")
+    assert vector(div) == vector(T.text_key(T.path_key("div", "p"), "same")) == vector(T.text_key(p, "x")) == vector(div ^ T._M64)
+    assert vector(li) == vector(T.text_key(li, "e")) != vector(div)
+    # the same by hand: vectors written out
+    counts = {}
+    for i, h in enumerate(pages):
+        for k in T.parse(h).keys:
+            counts.setdefault(signed(k), [0] * len(pages))[i] += 1
+    groups, found = {}, {}
+    for k, v in counts.items():
+        groups.setdefault(tuple(v), set()).add(k)
+        found.setdefault((tokens[k].vector, tokens[k].pages), set()).add(k)
+        assert (tokens[k].n, tokens[k].pages) == (sum(v), sum(x > 0 for x in v))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def brute_template(pages, least_pages=3):
+    """Valid classes with their slot, from written-out vectors and plain nesting of whole sequences."""
+    tokens = [[signed(k) for k in T.parse(h).keys] for h in pages]
+    vectors = {k: tuple(t.count(k) for t in tokens) for t in tokens for k in t}
+    classes = {}
+    for k, v in vectors.items():
+        if sum(n > 0 for n in v) >= max(least_pages, len(pages) / 2):
+            classes.setdefault(v, []).append(k)
+    out = {}
+    for v, members in classes.items():
+        order = sorted(members, key=lambda k: (sum(t.index(k) for t in tokens if k in t), k))
+        whole = [[k for k in t if k in order] for t in tokens]
+        if any(w != order * (len(w) // len(order)) for w in whole):
+            continue
+        slots, crossed = set(), False
+        for t in tokens:
+            places = [i for i, k in enumerate(t) if k in order]
+            runs = [places[i : i + len(order)] for i in range(0, len(places), len(order))]
+            for u, others in classes.items():
+                if u == v:
+                    continue
+                other = sorted(others, key=lambda k: (sum(t.index(k) for t in tokens if k in t), k))
+                at = [i for i, k in enumerate(t) if k in other]
+                spans = [at[i : i + len(other)] for i in range(0, len(at), len(other))]
+                for a in runs:
+                    for b in spans:
+                        gap = lambda x, y: {sum(i > j for j in y) for i in x}
+                        if len(gap(a, b)) > 1 and len(gap(b, a)) > 1:
+                            crossed = True
+            for a in runs:  # the innermost other run around this one
+                around = []
+                for u, others in classes.items():
+                    if u != v:
+                        other = sorted(others, key=lambda k: (sum(t.index(k) for t in tokens if k in t), k))
+                        at = [i for i, k in enumerate(t) if k in other]
+                        for b in (at[i : i + len(other)] for i in range(0, len(at), len(other))):
+                            if b[0] < a[0] and a[-1] < b[-1]:
+                                around.append((b[0], frozenset(other), sum(j < a[0] for j in b)))
+                slots.add(max(around, default=(-1, frozenset(), 0), key=lambda x: x[0])[1:])
+        if not crossed and len(slots) == 1:
+            out[frozenset(order)] = next(iter(slots))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_valid_classes_and_nesting_match_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    pages = []
+    for i in range(6):
+        rows = "".join(f"<tr><td><b>k{j}{i}</b><td>v{rnd.randrange(99)}</tr>" for j in range(rnd.randrange(1, 5)))
+        items = "".join(f"<li><a href=/{i}{j}>t{i}{j}</a></li>" for j in range(rnd.randrange(1, 6)))
+        paras = "".join(f"<p>own {i} {j}</p>" for j in range(rnd.randrange(1, 4)))
+        pages.append(f"<body><ul>{items}</ul><h1>Title {i}</h1><div id=x>{paras}<i>fixed</i></div><table>{rows}</table><footer>all rights {'' if i else 'here'}</footer></body>")
+    table = T.templates(streams(spark, pages)).collect()
+    assert len(table) == 1
+    got, names = {}, {}
+    for e in table[0].entries:
+        names.setdefault(e.cls, set()).add(e.token)
+    for e in table[0].entries:
+        got[frozenset(names[e.cls])] = (frozenset(names.get(e.parent, ())), e.gap)
+    want = brute_template(pages)
+    assert got == want and len(want) >= 4 and any(v[0] for v in want.values())
+
+
+def test_crossing_and_unordered_classes_are_no_template():
+    entries = {1: (1, 0, 10, 0, 2, 9, True), 2: (1, 0, 10, 1, 2, 9, True), 3: (1, 0, 11, 0, 2, 5, False), 4: (1, 0, 11, 1, 2, 5, False)}
+    assert T.read_classes([1, 3, 4, 3, 4, 2], entries)[:2] == (set(), {10: {(0, 0)}, 11: {(10, 1)}})
+    assert T.read_classes([1, 3, 2, 4], entries)[0] == {11}  # the class on fewer pages goes
+    assert T.read_classes([3, 1, 4, 2], entries)[0] == {11}
+    assert T.read_classes([2, 1, 3, 4], entries)[0] == {10}
+    assert T.read_classes([1, 1, 2], entries)[0] == {10} and T.read_classes([1, 3, 4], entries)[0] == {10}
+    assert T.read_classes([1, 7, 2, 8], entries)[2] == [(1, (10, 1)), (3, (0, 0))]
+
+
+def extracted(spark, pages, **options):
+    rows = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in T.extract(rows, **options).orderBy("page_id").collect()]
+
+
+def test_slots_of_the_template_decide_and_names_only_weigh(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(5)]
+    # no main name anywhere: the div that holds the bulk; its fixed text and the rest are left out
+    plain = [f"<body><div id=top>Visit {i}</div><div id=m><p>{t}</p><p>Share this</p></div><div id=b>Seen {i} times</div></body>" for i, t in enumerate(own)]
+    assert extracted(spark, plain) == own
+    # a misleading name: the text weighs more than it
+    wrong = [f"<body><div class=content>Visit {i}</div><div class=sidebar><p>{t}</p></div></body>" for i, t in enumerate(own)]
+    assert extracted(spark, wrong) == own
+    # one short page among others follows the template of its host
+    assert extracted(spark, [*plain, "<body><div id=top>Much more text in the top line than below it</div><div id=m><p>x</p></div><div id=b>y</div></body>"])[-1] == "x"
+    # copies: what an article repeats on every page stays
+    same = [f"<body><nav>n{i}</nav><article><h1>T</h1><p>all the same</p><form><p>send {i}</p></form></article></body>" for i in range(4)]
+    assert extracted(spark, same) == ["T\n\nall the same"] * 4
+    # a page of the host without the region, and null html
+    got = extracted(spark, [*plain, "<p>other page</p>", None])
+    assert got[:5] == own and got[5:] == ["other page", ""]
+
+
+def test_deep_and_long_pages_take_linear_time(spark):
+    for html in ("<div>" * 50_000 + "x", "<b>" * 50_000 + "x", "<div><p>" * 20_000 + "x", "<p>a" * 50_000, "<li><ul>" * 20_000 + "x", "</div>" * 50_000, "<b><div>" * 20_000 + "</b>" * 20_000 + "x"):
+        began = time.perf_counter()
+        assert T.main_text(T.parse(html)).endswith(("x", "a", ""))
+        assert time.perf_counter() - began < 5
+    assert extracted(spark, ["<div>" * 3000 + f"x{i}" for i in range(4)]) == [f"x{i}" for i in range(4)]
 
 
 @pytest.mark.parametrize(
