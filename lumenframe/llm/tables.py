@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-
 #: Rows of an Arrow batch between the JVM and Python, at most.
 BATCH_ROWS = 1000
 
@@ -45,6 +45,8 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenframe-checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -94,3 +96,48 @@ def running_start(df: DataFrame, group: list[str], order: list[str | Column], am
         cond = cond & c
     drop = ["__b", "__in", "__gb", "__base", *[f"__g{i}" for i in range(len(group))]]
     return placed.join(base, cond).withColumn(out, F.col("__in") + F.col("__base")).drop(*drop)
+
+
+#: Tasks that the rows of one key are dealt to for a join with what is known of it.
+KEY_COPIES = 64
+
+
+def mapped_by_key(rows: DataFrame, columns: list[str], key: Column, table: DataFrame, key_col: str, values: list[str], size_col: str, most: int, make: Callable, read: Callable, schema: str) -> DataFrame:
+    """``read(batch, lookup)`` over batches of ``columns``; ``lookup(key, i)`` is ``make(*values)`` of the key of row i, None if the table lacks it.
+
+    The table (settled, one row per key) is broadcast if ``size_col`` adds up to ``most`` at most.  A larger one is joined
+    by key, with a copy for each of the ``KEY_COPIES`` tasks that a key's rows are dealt to.  Null keys match nothing.
+    """
+    if table.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("n")).first()["n"] <= most:
+        plain = lambda v: [x.asDict() for x in v] if isinstance(v, list) else v
+        known = {r[key_col]: [plain(r[v]) for v in values] for r in table.select(key_col, *values).toLocalIterator()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready: dict = {}
+
+            def lookup(k, _: int):
+                if k not in ready:
+                    ready[k] = make(*known[k]) if k in known else None
+                return ready[k]
+
+            for b in batches:
+                yield read(b, lookup)
+
+        return rows.select(*columns).mapInArrow(run, schema)
+    copies = table.select(F.col(key_col).alias("__tk"), *[F.col(v).alias(f"__t{i}") for i, v in enumerate(values)], F.explode(F.sequence(F.lit(0), F.lit(KEY_COPIES - 1))).alias("__copy"))
+    salted = rows.select(*columns, key.alias("__rk"), F.pmod(F.xxhash64(*columns), F.lit(KEY_COPIES)).cast("int").alias("__salt"))
+    joined = salted.join(copies, (F.col("__rk") == F.col("__tk")) & (F.col("__salt") == F.col("__copy")), "left").select(*columns, *[f"__t{i}" for i in range(len(values))], F.col("__tk").isNotNull().alias("__known"))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ready: dict = {}
+            own = b.columns[len(columns) :]
+
+            def lookup(k, i: int):
+                if k not in ready:
+                    ready[k] = make(*(c[i].as_py() for c in own[:-1])) if own[-1][i].as_py() else None
+                return ready[k]
+
+            yield read(pa.RecordBatch.from_arrays(b.columns[: len(columns)], names=columns), lookup)
+
+    return joined.mapInArrow(run_joined, schema)

@@ -41,10 +41,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.tables import settle
+from lumenframe.llm.tables import mapped_by_key, settle
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
@@ -56,8 +56,6 @@ NAME_WEIGHT = 4.0
 BULK = 0.9
 #: Template tokens that are broadcast at most; beyond that pages are joined to them by host.
 BROADCAST_TOKENS = 200_000
-#: Tasks that a host's pages are dealt to for that join.
-HOST_COPIES = 64
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -462,6 +460,10 @@ def weighted_text(keys: np.ndarray, info: np.ndarray, entries: Entry, weight: fl
     return [(k, above, w) for k, (above, w) in out.items()]
 
 
+def _by_host(rows: DataFrame, columns: list[str], host: Column, table: DataFrame, read: Callable, schema: str) -> DataFrame:
+    return mapped_by_key(rows, columns, host, table, "host", ["entries", "region"], "n", BROADCAST_TOKENS, lambda entries, region: (_entries(entries), region), read, schema)
+
+
 _CHECKED = "host string, what int, a long, b long, c long, x double"
 
 
@@ -475,9 +477,10 @@ def checked(streams: DataFrame, table: DataFrame, name_weight: float) -> DataFra
     def read(b: pa.RecordBatch, table: Callable) -> pa.RecordBatch:
         sums: dict[tuple, float] = {}
         for host, _, keys, info, i in _streams_of(b):
-            entries = table(host, i)
-            if not entries:
+            known = table(host, i)
+            if known is None:
                 continue
+            entries, _ = known
             broken, slots, _ = read_classes(keys.tolist(), entries)
             for c in broken:
                 sums[host, 1, c, 0, 0] = sums.get((host, 1, c, 0, 0), 0) + 1
@@ -493,52 +496,7 @@ def checked(streams: DataFrame, table: DataFrame, name_weight: float) -> DataFra
                 sums[key] = sums.get(key, 0) + w
         return pa.RecordBatch.from_arrays([pa.array([k[j] for k in sums], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))] + [pa.array(list(sums.values()), pa.float64())], names=["host", "what", "a", "b", "c", "x"])
 
-    return by_host(streams, ["host", "page", "keys", "info"], F.col("host"), table, read, _CHECKED).groupBy("host", "what", "a", "b", "c").agg(F.sum("x").alias("x"))
-
-
-def by_host(rows: DataFrame, columns: list[str], host, table: DataFrame, read: Callable, schema: str) -> DataFrame:
-    """``read`` applied to batches of ``rows`` with their host's entries of ``table`` (host, n, entries, region; settled).
-
-    The table is broadcast if it holds ``BROADCAST_TOKENS`` tokens at most.  A larger one is joined by host, with a copy
-    for each of ``HOST_COPIES`` tasks that a host's rows are dealt to.
-    """
-    if (table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_TOKENS:
-        known = {r["host"]: (r["entries"], r["region"]) for r in table.select("host", "entries", "region").toLocalIterator()}
-        known = {h: ([e.asDict() for e in entries], region) for h, (entries, region) in known.items()}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready: dict[str, Entry] = {}
-
-            def entries(host: str, _: int, region: bool = False):
-                if host not in known:
-                    return None
-                if host not in ready:
-                    ready[host] = _entries(known[host][0])
-                return (ready[host], known[host][1]) if region else ready[host]
-
-            for b in batches:
-                yield read(b, entries)
-
-        return rows.select(*columns).mapInArrow(run, schema)
-    copies = table.select(F.col("host").alias("__h"), "entries", "region", F.explode(F.sequence(F.lit(0), F.lit(HOST_COPIES - 1))).alias("__copy"))
-    salted = rows.select(*columns, host.alias("__host")).withColumn("__salt", F.pmod(F.xxhash64(*columns[:2]), F.lit(HOST_COPIES)).cast("int"))
-    joined = salted.join(copies, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__copy")), "left").select(*columns, "entries", "region")
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ready: dict[str, Entry] = {}
-            listed, regions = b.column(len(columns)), b.column(len(columns) + 1)
-
-            def entries(host: str, i: int, region: bool = False):
-                if host not in ready:
-                    ready[host] = _entries(listed[i].as_py())
-                if not listed[i].is_valid:
-                    return None
-                return (ready[host], regions[i].as_py()) if region else ready[host]
-
-            yield read(b, entries)
-
-    return joined.mapInArrow(run_joined, schema)
+    return _by_host(streams, ["host", "page", "keys", "info"], F.col("host"), table, read, _CHECKED).groupBy("host", "what", "a", "b", "c").agg(F.sum("x").alias("x"))
 
 
 def main_region(elements: pd.DataFrame, bulk: float = BULK) -> int | None:
@@ -631,9 +589,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def read(b: pa.RecordBatch, table: Callable) -> pa.RecordBatch:
         texts = []
         for i, (url, html) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-            texts.append(main_text(parse(html.as_py()), *(table(host_of(url), i, True) or (None, None))))
+            texts.append(main_text(parse(html.as_py()), *(table(host_of(url), i) or (None, None))))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     after = F.substring_index(F.substring_index(F.substring_index(F.expr("substring(url, instr(url, '://') + 3)"), "/", 1), "?", 1), "#", 1)
     host = F.when(F.col("url").contains("://"), F.translate(after, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
-    return by_host(own, ["page_id", "url", "html"], host, table, read, SCHEMA)
+    return _by_host(own, ["page_id", "url", "html"], host, table, read, SCHEMA)
