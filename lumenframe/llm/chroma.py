@@ -4,20 +4,22 @@
    assigned to their nearest semitone), smoothed over five frames and normalised.
 2. An integral image over (frame, pitch class) makes every box sum four look-ups.  Sixteen filters, each the
    log ratio of two groups of boxes, slide over it; a filter's value is put into one of four ranges (two Gray-coded bits),
-   and the bits of a position are packed into one integer.
-3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by their integers;
-   every hit votes for the pair's offset; the offset with most votes (the nearest to 0 of equals) aligns the pair, and the
-   share of differing bits over the aligned stretch accepts or rejects it.  ``MIN_VOTES`` votes are asked for, or one for
-   every two integers of the shorter fingerprint if that is less.
+   and the bits of a position are packed into one integer.  Filters are dealt out by a rule, and the limits of their ranges are the
+   quartiles over a generated recording of ``LIMIT_NOTES`` notes (see ``limits``), so that no bit is predictable.
+3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by their integers, each also
+   with its ``DOUBTS`` least sure bits flipped in every combination; every hit votes for the pair's offset.  Each offset with ``MIN_VOTES`` votes, or one vote for
+   every two integers of the shorter fingerprint if that is less, is verified: the share of differing bits over the whole aligned
+   stretch is ``MAX_BIT_ERROR`` at most.  Of a pair's offsets that pass, the one with most votes aligns it (the nearest to 0 of equals).
 
 Integers over silence say nothing and are not looked up.  Null or short recordings (under ``FRAME`` samples, or fewer
-frames than the widest filter) have an empty fingerprint and match nothing; each is a class of its own.  Repeated rows are
-members of one class.  An empty table gives an empty result.
+frames than the widest filter) have an empty fingerprint and no class, and match nothing.  Every row is returned as a member, repeated ones and those
+with null or equal ids included; equal ids with different sounds are in different classes.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,22 +32,23 @@ from lumenframe.llm.tables import settle
 RATE, FRAME, HOP = 4000, 1024, 512
 LOWEST, HIGHEST = 65.0, 1950.0
 WIDTH = 16
-SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
+#: Five frames under a Hann window.
+SMOOTHING = tuple(np.hanning(7)[1:-1].tolist())
 MIN_VOTES, MAX_BIT_ERROR = 4, 0.35
-#: A look-up key is an integer and the one this many positions on: 0, each integer by itself.  Keys of two integers have
-#: fewer chance hits, but lose noisy copies and short recordings.
-KEY_GAP = 0
 QUERY_STEP = 20
 
-# The filters (shape, first pitch class, pitch classes, frames) and the limits of their ranges.
-FILTERS = (
-    ("all", 0, 3, 15), ("halves_pitch", 4, 6, 15), ("halves_time", 0, 4, 16), ("cross", 8, 2, 12),
-    ("halves_pitch", 3, 4, 8), ("cross", 4, 6, 10), ("halves_time", 9, 2, 16), ("thirds_pitch", 7, 3, 4),
-    ("cross", 6, 2, 16), ("halves_time", 1, 3, 8), ("thirds_pitch", 1, 9, 16), ("cross", 3, 4, 14),
-    ("halves_pitch", 10, 2, 4), ("thirds_time", 6, 3, 15), ("thirds_time", 2, 2, 6), ("halves_time", 5, 6, 6),
-)
-LIMITS = (-0.12, 0.0, 0.12)
-GRAY = (0, 1, 3, 2)
+SHAPES = ("all", "halves_pitch", "halves_time", "cross", "thirds_pitch", "thirds_time")
+#: The filters, dealt out by a rule over shapes, places and sizes: shape, first pitch class, pitch classes, frames.
+FILTERS = tuple((SHAPES[k % 6], 5 * k % 12, 3 + 3 * k % 5, 4 + 4 * (k % 4)) for k in range(16))
+#: Notes of the generated recording on which the limits of the filters' ranges are taken.
+LIMIT_NOTES = 4096
+#: Chroma is held in units of 1 / SCALE, so that box sums are exact in any order.
+SCALE = 1 << 16
+#: Bits of a query's integer that are also looked up flipped, in every combination.
+DOUBTS = 4
+#: Frames that are worked on at once.
+TILE = 1 << 15
+NOTES = 24
 
 
 @functools.cache
@@ -58,80 +61,123 @@ def _pitch_matrix(frame: int, rate: int) -> np.ndarray:
     return out
 
 
-def chroma(samples: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
-    """Frames by twelve pitch classes; silent frames are all zero."""
+def raw_chroma(samples: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
+    """Energies: frames by twelve pitch classes."""
     if len(samples) < frame:
-        return np.zeros((0, 12))
+        return np.zeros((0, 12), np.float32)
     views = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32, copy=False), frame)[::hop]
-    window = np.hanning(frame).astype(np.float32)
-    matrix = _pitch_matrix(frame, rate)
-    raw = np.concatenate([(np.abs(np.fft.rfft(views[i : i + 512] * window, axis=1)) ** 2).astype(np.float32) @ matrix for i in range(0, len(views), 512)]).astype(float)
-    padded = np.pad(raw, ((2, 2), (0, 0)))
+    window, matrix = np.hanning(frame).astype(np.float32), _pitch_matrix(frame, rate)
+    return np.concatenate([(np.abs(np.fft.rfft(views[i : i + 512] * window, axis=1)) ** 2).astype(np.float32) @ matrix for i in range(0, len(views), 512)])
+
+
+def normalised(raw: np.ndarray, frame: int = FRAME) -> np.ndarray:
+    """Smoothed over five frames and scaled to length ``SCALE``, in whole numbers; silent frames are all zero."""
+    padded = np.pad(raw.astype(float), ((2, 2), (0, 0)))
     smooth = sum(w * padded[k : k + len(raw)] for k, w in enumerate(SMOOTHING))
     norm = np.sqrt((smooth**2).sum(axis=1, keepdims=True))
-    return np.where(norm > 1e-6 * frame, smooth / np.maximum(norm, 1e-300), 0.0)
+    return np.round(SCALE * np.where(norm > 1e-6 * frame, smooth / np.maximum(norm, 1e-300), 0.0)).astype(np.int64)
+
+
+def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
+    return normalised(raw_chroma(samples, rate))
+
+
+def integral(features: np.ndarray) -> np.ndarray:
+    """The integral image with a zero border; pitch classes are a circle, so they stand there twice."""
+    wide = np.concatenate([features, features], axis=1)
+    return np.pad(wide.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
 
 
 def _box(image: np.ndarray, x0: int, x1: int, y0: int, y1: int, n: int) -> np.ndarray:
-    """Sums over frames x0..x1 and classes y0..y1 at n positions; image is integral with a zero border."""
+    """Sums over frames x0..x1 and classes y0..y1 at n positions."""
     return image[x1 : x1 + n, y1] - image[x0 : x0 + n, y1] - image[x1 : x1 + n, y0] + image[x0 : x0 + n, y0]
 
 
 def filter_values(image: np.ndarray, shape: str, y: int, h: int, w: int, n: int) -> np.ndarray:
+    """Log ratio of the filter's two groups of boxes at n positions; one group is a part of the whole box, the other its rest."""
     box = lambda x0, x1, a, b: _box(image, x0, x1, y + a, y + b, n)
-    half_h, half_w, third_h, third_w = h // 2, w // 2, h // 3, w // 3
     whole = box(0, w, 0, h)
     if shape == "all":
-        a, b = whole, np.full(n, w * h / 12**0.5)
-    elif shape == "halves_pitch":
-        a = box(0, w, half_h, h)
-        b = whole - a
-    elif shape == "halves_time":
-        a = box(half_w, w, 0, h)
-        b = whole - a
-    elif shape == "cross":
-        a = box(0, half_w, half_h, h) + box(half_w, w, 0, half_h)
-        b = whole - a
-    elif shape == "thirds_pitch":
-        a = box(0, w, third_h, 2 * third_h)
-        b = whole - a
+        part, rest = whole, np.full(n, SCALE * w * h / 12**0.5)
     else:
-        a = box(third_w, 2 * third_w, 0, h)
-        b = whole - a
-    return np.log((1 + a) / (1 + b))
+        if shape == "halves_pitch":
+            part = box(0, w, h // 2, h)
+        elif shape == "halves_time":
+            part = box(w // 2, w, 0, h)
+        elif shape == "cross":
+            part = box(0, w // 2, h // 2, h) + box(w // 2, w, 0, h // 2)
+        elif shape == "thirds_pitch":
+            part = box(0, w, h // 3, h - h // 3)
+        else:
+            part = box(w // 3, w - w // 3, 0, h)
+        rest = whole - part
+    return np.log((SCALE + part) / (SCALE + rest))
 
 
-def fingerprint(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed integers of a chroma image, and which of them stand over silence only."""
-    n = len(features) - WIDTH + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    # pitch classes are a circle: filters that reach past the last go on with the first
-    wide = np.concatenate([features, features], axis=1)
-    image = np.pad(wide.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    out = np.zeros(n, np.int64)
-    gray = np.array(GRAY)
-    for shape, y, h, w in FILTERS:
-        out = out << 2 | gray[np.searchsorted(LIMITS, filter_values(image, shape, y, h, w, n))]
-    energy = _box(image, 0, WIDTH, 0, 12, n)
-    return out, energy < 1e-9
-
+@functools.cache
+def limits() -> np.ndarray:
+    """Limits of the four ranges of each filter: quartiles over a recording of random notes."""
+    features = normalised(note_chroma(np.random.default_rng(LIMIT_NOTES).integers(0, NOTES, LIMIT_NOTES)))
+    image, n = integral(features), len(features) - WIDTH + 1
+    return np.array([np.round(np.quantile(filter_values(image, *f, n), (0.25, 0.5, 0.75)), 6) for f in FILTERS])
 
-def tones(words: list[bytes], rate: int = RATE, note: int = HOP) -> np.ndarray:
-    """A deterministic recording of words: one tone each, its pitch drawn from two octaves by the word's checksum."""
-    import zlib
 
-    if not words:
-        return np.zeros(0, np.float32)
-    table = _tone_table(rate, note)
-    return table[[zlib.crc32(w) % len(table) for w in words]].ravel()
+def fingerprint(features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed integers of a chroma image, which of them stand over silence only, and the places of each one's ``DOUBTS`` least
+    sure bits (five binary digits each): the bits that flip if the filter's value crosses the limit next to it.
+    """
+    whole = max(0, len(features) - WIDTH + 1)
+    items, silent, doubts = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+    for at in range(0, whole, TILE):
+        n = min(TILE, whole - at)
+        image = integral(features[at : at + n + WIDTH - 1])
+        out = np.zeros(n, np.int64)
+        far, place = np.empty((len(FILTERS), n), np.float32), np.empty((len(FILTERS), n), np.int64)
+        for i, (f, limit) in enumerate(zip(FILTERS, limits())):
+            values = filter_values(image, *f, n)
+            k = np.searchsorted(limit, values)
+            out = out << 2 | (k ^ k >> 1)  # Gray code
+            gaps = np.abs(values[:, None] - limit)
+            nearest = gaps.argmin(axis=1)
+            far[i] = gaps[np.arange(n), nearest] / (limit[2] - limit[0])
+            place[i] = 2 * (len(FILTERS) - 1 - i) + (nearest == 1)
+        least = np.argsort(far, axis=0, kind="stable")[:DOUBTS]
+        packed = np.zeros(n, np.int64)
+        for row in np.take_along_axis(place, least, axis=0):
+            packed = packed << 5 | row
+        items.append(out)
+        silent.append(_box(image, 0, WIDTH, 0, 12, n) == 0)
+        doubts.append(packed)
+    return np.concatenate(items), np.concatenate(silent), np.concatenate(doubts)
 
 
 @functools.cache
 def _tone_table(rate: int, note: int) -> np.ndarray:
     t = np.arange(note) / rate
     fade = np.minimum(1, np.minimum(np.arange(note), np.arange(note)[::-1]) / 32)
-    return np.array([(np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) * fade for f in 220 * 2 ** (np.arange(24) / 12)], np.float32)
+    return np.array([(np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) * fade for f in 220 * 2 ** (np.arange(NOTES) / 12)], np.float32)
+
+
+def notes_of(words: list[bytes]) -> np.ndarray:
+    """A note for each word, drawn from two octaves by the word's checksum."""
+    return np.array([zlib.crc32(w) % NOTES for w in words], np.int64)
+
+
+def tones(words: list[bytes], rate: int = RATE, note: int = HOP) -> np.ndarray:
+    """A deterministic recording of words: one tone each."""
+    return _tone_table(rate, note)[notes_of(words)].ravel()
+
+
+@functools.cache
+def _pair_chroma() -> np.ndarray:
+    """Energies of a frame over each pair of notes."""
+    table = _tone_table(RATE, HOP)
+    return np.array([[raw_chroma(np.concatenate([a, b]))[0] for b in table] for a in table])
+
+
+def note_chroma(notes: np.ndarray) -> np.ndarray:
+    """``raw_chroma`` of the notes' recording: a frame is two notes long, so its spectrum is one of a table."""
+    return _pair_chroma()[notes[:-1], notes[1:]] if len(notes) > 1 else np.zeros((0, 12), np.float32)
 
 
 def pcm16(data: bytes) -> np.ndarray:
@@ -139,64 +185,88 @@ def pcm16(data: bytes) -> np.ndarray:
     return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float32) / 32768
 
 
-SCHEMA = "rec_id long, items array<long>, silent array<boolean>"
-
-
-def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, decode: Callable[[object], np.ndarray] = pcm16, rate: int = RATE) -> DataFrame:
-    """(rec_id, items, silent) per row; ``decode`` makes samples of a value of ``audio_col``."""
+def fingerprints(recordings: DataFrame, id_cols: list[str], audio_col: str, energies: Callable[[object], np.ndarray] = lambda data: raw_chroma(pcm16(data))) -> DataFrame:
+    """The id columns (as long), items, silent and doubts per row; ``energies`` makes raw chroma of a value of ``audio_col``."""
+    ids = [x for x in id_cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((0, 12), np.float32)
         for b in batches:
-            items, silent = [], []
-            for value in b.column(1):
+            items, silent, doubts = [], [], []
+            group: list[np.ndarray] = []
+
+            def finish() -> None:
+                """All rows of the group at once: silence of the smoothing's width stands between them."""
+                if not group:
+                    return
+                gap = np.zeros((2, 12), np.float32)
+                parts = [x for raw in group for x in (raw, gap)]
+                found, quiet, unsure = fingerprint(normalised(np.concatenate(parts)))
+                at = 0
+                for raw in group:
+                    n = max(0, len(raw) - WIDTH + 1)
+                    items.append(found[at : at + n])
+                    silent.append(quiet[at : at + n])
+                    doubts.append(unsure[at : at + n])
+                    at += len(raw) + len(gap)
+                group.clear()
+
+            frames = 0
+            for value in b.column(len(ids)):
                 v = value.as_py()
-                x, s = fingerprint(chroma(decode(v), rate)) if v is not None else (np.zeros(0, np.int64), np.zeros(0, bool))
-                items.append(x)
-                silent.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(silent, pa.list_(pa.bool_()))], names=["rec_id", "items", "silent"])
+                raw = energies(v) if v is not None else none
+                if frames + len(raw) > TILE:
+                    finish()
+                    frames = 0
+                group.append(raw)
+                frames += len(raw)
+            finish()
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], pa.array(items, pa.list_(pa.int64())), pa.array(silent, pa.list_(pa.bool_())), pa.array(doubts, pa.list_(pa.int64()))], names=[*ids, "items", "silent", "doubts"])
 
-    return recordings.select(F.col(id_col).cast("long").alias("rec_id"), F.col(audio_col).alias("audio")).mapInArrow(run, SCHEMA)
+    schema = ", ".join([*(f"{c} long" for c in ids), "items array<long>", "silent array<boolean>", "doubts array<long>"])
+    return recordings.select(*[F.col(c).cast("long").alias(c) for c in ids], F.col(audio_col).alias("audio")).mapInArrow(run, schema)
 
 
 def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
-    """Members and matches over settled ``prints`` (rec_id, items, silent).
+    """Members and matches over settled ``prints`` (id columns, items, silent, doubts).
 
-    A row (rec_id, class_id, n_items) per recording, its other columns null; and a row per match of a query class with another
-    class: rec_id and class_id of the query class, match_id, offset (place in the match minus place in the
-    query), votes, overlap, bit_error.
+    A row (id columns, class_id, n_items) per recording, its other columns null; and a row per match of a query class with another
+    class, its id columns null: class_id of the query class, match_id, offset (place in the match minus place in the
+    query), votes, overlap, bit_error.  A class_id is the first 128 bits of a SHA-256 of the fingerprint.
     """
-    digest = F.when(F.size("items") > 0, F.sha2(F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))), 256)).otherwise(F.concat(F.lit("-"), F.col("rec_id").cast("string")))
-    named = prints.withColumn("digest", digest)
-    classes = settle(named.groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.max(is_query).alias("asks")))
-    members = named.select("rec_id", "digest", F.size("items").cast("long").alias("n_items")).join(classes, "digest").select("rec_id", "class_id", "n_items")
-    own = named.join(classes.select(F.col("digest").alias("__d"), "class_id", "asks"), (F.col("digest") == F.col("__d")) & (F.col("rec_id") == F.col("class_id")))
-    own = settle(own.filter(F.size("items") > 0).dropDuplicates(["class_id"]).select("class_id", "asks", "items", "silent"))
-    each = own.select("class_id", "asks", F.size("items").alias("n"), F.posexplode(F.arrays_zip("items", "silent")).alias("at", "i")).filter(~F.col("i.silent"))
-    each = each.select("class_id", "asks", "n", "at", F.col("i.items").alias("item"))
-    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), "item")
+    ids = [c for c in prints.columns if c not in ("items", "silent", "doubts")]
+    text = F.concat_ws(",", F.transform(F.arrays_zip("items", "silent"), lambda x: F.concat(x["items"].cast("string"), F.when(x["silent"], "-").otherwise(""))))
+    named = prints.withColumn("class_id", F.when(F.size("items") > 0, F.substring(F.sha2(text, 256), 1, 32)))
+    members = named.select(*ids, "class_id", F.size("items").cast("long").alias("n_items"))
+    # a class has one fingerprint, so any of its rows will do
+    own = named.filter("class_id is not null").groupBy("class_id").agg(F.max(F.coalesce(is_query, F.lit(False))).alias("asks"), F.first(F.struct("items", "silent", "doubts")).alias("f")).select("class_id", "asks", "f.*")
+    own = settle(own)
+    each = own.select("class_id", "asks", F.size("items").alias("n"), F.posexplode(F.arrays_zip("items", "silent", "doubts")).alias("at", "i")).filter(~F.col("i.silent"))
+    each = each.select("class_id", "asks", "n", "at", F.col("i.items").alias("item"), F.col("i.doubts").alias("doubts"))
+    flips = [F.lit(0).cast("long")]
+    for k in range(DOUBTS):
+        bit = F.expr(f"shiftleft(1L, cast(shiftright(doubts, {5 * k}) & 31 as int))")
+        flips += [f.bitwiseXOR(bit) for f in flips]
+    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), "item", F.explode(F.array(*flips)).alias("flip")).withColumn("item", F.col("item").bitwiseXOR(F.col("flip"))).drop("flip")
     hit = ask.join(each.select(F.col("class_id").alias("r"), F.col("n").alias("r_n"), F.col("at").alias("r_at"), "item"), "item").filter("q <> r")
-    votes = hit.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.least(F.lit(min_votes), F.ceil(F.least(F.first("q_n"), F.first("r_n")) / 2)).alias("least"))
-    votes = votes.filter(F.col("votes") >= F.col("least"))
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "r", "b.votes", "b.offset")
+    least = F.least(F.lit(min_votes), F.ceil(F.least(F.first("q_n"), F.first("r_n")) / 2))
+    votes = hit.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), least.alias("least")).filter(F.col("votes") >= F.col("least")).drop("least")
     left, right = own.select(F.col("class_id").alias("q"), F.col("items").alias("q_items")), own.select(F.col("class_id").alias("r"), F.col("items").alias("r_items"))
     start = F.greatest(-F.col("offset"), F.lit(0))
     overlap = F.least(F.size("q_items"), F.size("r_items") - F.col("offset")) - start
-    placed = best.join(left, "q").join(right, "r").withColumns({"start": start, "overlap": overlap})
+    placed = votes.join(left, "q").join(right, "r").withColumns({"start": start, "overlap": overlap})
     bits = F.aggregate(
         F.zip_with(F.slice("q_items", F.col("start") + 1, F.col("overlap")), F.slice("r_items", F.col("start") + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
-    matched = placed.withColumn("bit_error", bits / (2.0 * len(FILTERS) * F.col("overlap"))).filter(F.col("bit_error") <= max_bit_error)
-    none = {"match_id": "long", "offset": "long", "votes": "long", "overlap": "long", "bit_error": "double"}
+    checked = placed.select("q", "r", "offset", "votes", "overlap", F.size("q_items").cast("long").alias("n_items"), (bits / (2.0 * len(FILTERS) * F.col("overlap"))).alias("bit_error")).filter(F.col("bit_error") <= max_bit_error)
+    best = checked.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset", "overlap", "n_items", "bit_error")).alias("b")).select("q", "r", "b.*")
+    none = {"match_id": "string", "offset": "long", "votes": "long", "overlap": "long", "bit_error": "double"}
     return members.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}).unionByName(
-        matched.select(F.col("q").alias("rec_id"), F.col("q").alias("class_id"), F.size("q_items").cast("long").alias("n_items"), F.col("r").alias("match_id"), F.col("offset").cast("long").alias("offset"), "votes", F.col("overlap").cast("long").alias("overlap"), "bit_error")
+        best.select(*[F.lit(None).cast("long").alias(c) for c in ids], F.col("q").alias("class_id"), "n_items", F.col("r").alias("match_id"), F.col("offset").cast("long").alias("offset"), "votes", F.col("overlap").cast("long").alias("overlap"), "bit_error")
     )
 
 
-TURNS = 1_000_000
-
-
 def spoken_turns(conversations: DataFrame) -> DataFrame:
-    """Fingerprints of conversation turns as tones: rec_id = conv_id * 1,000,000 + turn."""
-    rows = conversations.select((F.col("conv_id").cast("long") * TURNS + F.coalesce(F.col("turn").cast("long"), F.lit(0))).alias("rec_id"), F.col("text"))
-    return fingerprints(rows, "rec_id", "text", decode=lambda text: tones(text.encode("utf-8", "surrogatepass").split()))
+    """Fingerprints of conversation turns (conv_id, turn) as tones, one for each word of their text."""
+    return fingerprints(conversations, ["conv_id", "turn"], "text", lambda text: note_chroma(notes_of(text.encode("utf-8", "surrogatepass").split())))

@@ -37,7 +37,7 @@ def vocabulary_path() -> str:
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = settle(chroma.spoken_turns(_read(spark, sf_dir, "conversations")))
-    return chroma.align(prints, F.floor(F.col("rec_id") / chroma.TURNS) % chroma.QUERY_STEP == 0)
+    return chroma.align(prints, F.col("conv_id") % chroma.QUERY_STEP == 0)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
