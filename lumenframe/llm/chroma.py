@@ -6,12 +6,13 @@
    log ratio of two groups of boxes, slide over it; a filter's value is put into one of four ranges (two Gray-coded bits),
    and the bits of a position are packed into one integer.  Filters are dealt out by a rule, and the limits of their ranges are the
    quartiles over a generated recording of ``LIMIT_NOTES`` notes (see ``limits``), so that no bit is predictable.
-3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by their integers, each also
-   with its ``DOUBTS`` least sure bits flipped in every combination; every hit votes for the pair's offset.  Each offset with ``MIN_VOTES`` votes, or one vote for
-   every two integers of the shorter fingerprint if that is less, is verified: the share of differing bits over the whole aligned
+3. Recordings with equal fingerprints are one class.  Query classes are looked up against all classes by keys of two neighbouring integers, those of queries also
+   with the ``DOUBTS`` least sure bits of both flipped in every combination; every hit votes for the pair's offset.  (Single integers have chance hits that
+   grow with the square of the recordings; two have next to none.)  Each offset with ``MIN_VOTES`` votes, or one vote for
+   every four keys of the shorter fingerprint if that is less, is verified: the share of differing bits over the whole aligned
    stretch is ``MAX_BIT_ERROR`` at most.  Of a pair's offsets that pass, the one with most votes aligns it (the nearest to 0 of equals).
 
-Integers over silence say nothing and are not looked up.  Null or short recordings (under ``FRAME`` samples, or fewer
+Integers over silence say nothing and are not looked up.  A fingerprint of a single integer matches equal ones only (as members of its class).  Null or short recordings (under ``FRAME`` samples, or fewer
 frames than the widest filter) have an empty fingerprint and no class, and match nothing.  Every row is returned as a member, repeated ones and those
 with null or equal ids included; equal ids with different sounds are in different classes.  An empty table gives an empty result.
 """
@@ -34,7 +35,7 @@ LOWEST, HIGHEST = 65.0, 1950.0
 WIDTH = 16
 #: Five frames under a Hann window.
 SMOOTHING = tuple(np.hanning(7)[1:-1].tolist())
-MIN_VOTES, MAX_BIT_ERROR = 4, 0.35
+MIN_VOTES, MAX_BIT_ERROR = 2, 0.35
 QUERY_STEP = 20
 
 SHAPES = ("all", "halves_pitch", "halves_time", "cross", "thirds_pitch", "thirds_time")
@@ -44,8 +45,8 @@ FILTERS = tuple((SHAPES[k % 6], 5 * k % 12, 3 + 3 * k % 5, 4 + 4 * (k % 4)) for
 LIMIT_NOTES = 4096
 #: Chroma is held in units of 1 / SCALE, so that box sums are exact in any order.
 SCALE = 1 << 16
-#: Bits of a query's integer that are also looked up flipped, in every combination.
-DOUBTS = 4
+#: Bits of each integer of a query that are also looked up flipped, in every combination.
+DOUBTS = 2
 #: Frames that are worked on at once.
 TILE = 1 << 15
 NOTES = 24
@@ -241,15 +242,17 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_b
     # a class has one fingerprint, so any of its rows will do
     own = named.filter("class_id is not null").groupBy("class_id").agg(F.max(F.coalesce(is_query, F.lit(False))).alias("asks"), F.first(F.struct("items", "silent", "doubts")).alias("f")).select("class_id", "asks", "f.*")
     own = settle(own)
-    each = own.select("class_id", "asks", F.size("items").alias("n"), F.posexplode(F.arrays_zip("items", "silent", "doubts")).alias("at", "i")).filter(~F.col("i.silent"))
-    each = each.select("class_id", "asks", "n", "at", F.col("i.items").alias("item"), F.col("i.doubts").alias("doubts"))
+    pairs = F.expr("transform(sequence(0, size(items) - 2), i -> struct(i as at, items[i] as x, items[i + 1] as y, doubts[i] as u, doubts[i + 1] as v, silent[i] or silent[i + 1] as quiet))")
+    each = own.filter(F.size("items") > 1).select("class_id", "asks", F.size("items").alias("n"), F.explode(pairs).alias("p")).filter("not p.quiet")
+    each = each.select("class_id", "asks", "n", F.col("p.at").alias("at"), F.expr("shiftleft(p.x, 32) | p.y").alias("key"), "p.u", "p.v")
     flips = [F.lit(0).cast("long")]
-    for k in range(DOUBTS):
-        bit = F.expr(f"shiftleft(1L, cast(shiftright(doubts, {5 * k}) & 31 as int))")
-        flips += [f.bitwiseXOR(bit) for f in flips]
-    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), "item", F.explode(F.array(*flips)).alias("flip")).withColumn("item", F.col("item").bitwiseXOR(F.col("flip"))).drop("flip")
-    hit = ask.join(each.select(F.col("class_id").alias("r"), F.col("n").alias("r_n"), F.col("at").alias("r_at"), "item"), "item").filter("q <> r")
-    least = F.least(F.lit(min_votes), F.ceil(F.least(F.first("q_n"), F.first("r_n")) / 2))
+    for doubts, above in (("u", 32), ("v", 0)):
+        for k in range(DOUBTS):
+            bit = F.expr(f"shiftleft(1L, cast((shiftright({doubts}, {5 * k}) & 31) + {above} as int))")
+            flips += [f.bitwiseXOR(bit) for f in flips]
+    ask = each.filter("asks").select(F.col("class_id").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), "key", F.explode(F.array(*flips)).alias("flip")).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    hit = ask.join(each.select(F.col("class_id").alias("r"), F.col("n").alias("r_n"), F.col("at").alias("r_at"), "key"), "key").filter("q <> r")
+    least = F.least(F.lit(min_votes), F.ceil((F.least(F.first("q_n"), F.first("r_n")) - 1) / 4))
     votes = hit.groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), least.alias("least")).filter(F.col("votes") >= F.col("least")).drop("least")
     left, right = own.select(F.col("class_id").alias("q"), F.col("items").alias("q_items")), own.select(F.col("class_id").alias("r"), F.col("items").alias("r_items"))
     start = F.greatest(-F.col("offset"), F.lit(0))
