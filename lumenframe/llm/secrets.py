@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,10 @@ def find_spans(text: str | None, automaton) -> list[Span]:
             after[k] = m.end()
             if holds(m):
                 found.append((start, k, m.end()))
-    if not data.isascii():
-        found = [(len(data[:s].decode("utf-8", "surrogatepass")), k, len(data[:e].decode("utf-8", "surrogatepass"))) for s, k, e in found]
+    if found and not data.isascii():
+        lead = np.zeros(len(data) + 1, np.int64)  # code points that begin before each byte
+        np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=lead[1:])
+        found = [(int(lead[s]), k, int(lead[e])) for s, k, e in found]
     return [Span(s, k, e) for s, k, e in sorted(found)]
 
 

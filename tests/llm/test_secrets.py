@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -54,3 +55,36 @@ def test_redaction_and_empty_table(spark):
     assert got[1].text == 'é [assign]" ß' and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[2].n_chars is None and got[3].text == "clean"
     assert S.scan_secrets(docs.limit(0)).collect() == []
+
+
+def test_checksummed_keys_are_found_and_wrong_ones_are_not():
+    body = b"aB3" * 10
+    npm = "npm_" + body.decode() + S.base62_crc32(body).decode()
+    automaton = S._automaton()
+    kinds = lambda t: [S.KINDS[s.kind] for s in S.find_spans(t, automaton)]
+
+    def bech32(prefix, payload):
+        """A whole key: the payload's checksum by trying none of the rest of the module."""
+        values = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + [S.BECH32.index(c) for c in payload] + [0] * 6
+        check = 1
+        for v in values:
+            top = check >> 25
+            check = (check & 0x1FFFFFF) << 5 ^ v
+            for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+                check ^= g if top >> i & 1 else 0
+        check ^= 1
+        return f"{prefix}1{payload}" + "".join(S.BECH32[check >> 5 * (5 - k) & 31] for k in range(6))
+
+    age = bech32("age-secret-key-", "qpzry9x8gf2tvdw0s3jn54khce6mua7l" + "qpzry9x8gf2tvdw0s3jn")
+    age = age.upper()
+    nsec = bech32("nsec", "l7aum6echk45nj3s0wdvt2fg8x9yrzpq" + "l7aum6echk45nj3s0wdv")
+    assert kinds(f"x {npm} é {age}, {nsec}.") == ["npm", "age", "nsec"]
+    assert kinds(npm[:-1] + ("0" if npm[-1] != "0" else "1")) == [] == kinds(age[:-1] + ("Q" if age[-1] != "Q" else "P")) == kinds(nsec[:20] + ("q" if nsec[20] != "q" else "p") + nsec[21:])
+
+
+def test_many_spans_beyond_ascii_take_linear_time():
+    text = "é password=abcdef1 " * 40_000
+    began = time.perf_counter()
+    spans = S.find_spans(text, S._automaton())
+    assert len(spans) == 40_000 and text[spans[-1].start : spans[-1].end] == "password=abcdef1"
+    assert time.perf_counter() - began < 5
