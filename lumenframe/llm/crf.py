@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from lumenframe.llm import arrowtext as A
 
 SAMPLE_DOCS = 2500
-MAX_FEATURES = 1 << 16
 WINDOW = 64
 STEPS = 150
 #: A word is a labelled token from these log odds on, in at least this share (and number) of toxic documents.
@@ -73,6 +72,11 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """P(toxic) of every word of sequences that follow each other in ``scores`` (log odds from the word alone)."""
+    return forward_backward(scores, lengths, transition)[0]
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``marginals``, and the toxic state's share of the forward message (word included) and of the backward message (word not included)."""
     a = np.exp(transition)
     begin = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
@@ -107,7 +111,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -
             q = one / (one + zero)
         back[i] = q
     one, zero = ahead * back, (1 - ahead) * (1 - back)
-    return one / (one + zero)
+    return one / (one + zero), ahead, back
 
 
 @dataclass(frozen=True)
@@ -168,24 +172,21 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
     use = np.isin(group, np.unique(group[y])) | (window == drawn[doc])
     fu, yu, gu = f[:, use], y[use], group[use]
     lengths = np.diff(np.append(np.flatnonzero(np.append(True, gu[1:] != gu[:-1])), len(gu)))
-    values, counts = np.unique(fu, return_counts=True)
-    keys = np.sort(values[np.argsort(-counts, kind="stable")[:MAX_FEATURES]])
-    at = np.searchsorted(keys, fu)
-    at = np.where(keys[np.minimum(at, len(keys) - 1)] == fu, at, len(keys))
-    weights, bias, trans = np.zeros(len(keys) + 1), np.log((yu.sum() + 1) / (len(yu) + 2)), np.zeros((2, 2))
-    grad2 = [np.full(len(keys) + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
+    keys, at = np.unique(fu, return_inverse=True)
+    at = at.reshape(fu.shape)
+    weights, bias, trans = np.zeros(len(keys)), np.log((yu.sum() + 1) / (len(yu) + 2)), np.zeros((2, 2))
+    grad2 = [np.full(len(keys), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     joined = np.ones(len(yu), bool)
     joined[np.cumsum(lengths) - lengths] = False
     inner = np.flatnonzero(joined)
     seen = np.zeros((2, 2))
     np.add.at(seen, (yu[inner - 1].astype(int), yu[inner].astype(int)), 1)
     for _ in range(steps):
-        weights[-1] = 0
         e = bias + weights[at].sum(axis=0)
-        m = marginals(e, lengths, trans)
-        pair = _pair_counts(e, lengths, trans, m, inner)
+        m, ahead, back = forward_backward(e, lengths, trans)
+        pair = _pair_counts(e, trans, ahead, back, inner)
         d = yu - m
-        g = np.bincount(at.ravel(), weights=np.tile(d, 3), minlength=len(keys) + 1) - 0.05 * weights
+        g = np.bincount(at.ravel(), weights=np.tile(d, 3), minlength=len(keys)) - 0.05 * weights
         gb, gt = d.sum(), seen - pair - 0.05 * trans
         grad2[0] += g**2
         grad2[1] += gb**2
@@ -194,7 +195,7 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
         bias += 0.5 * gb / np.sqrt(grad2[1])
         trans += 0.2 * gt / np.sqrt(grad2[2])
         trans[0, 0] = 0
-    model = Model(keys, weights[:-1], float(bias), trans, np.zeros(4))
+    model = Model(keys, weights, float(bias), trans, np.zeros(4))
     x = document_features(marginals(model.scores(f), np.diff(first)[np.diff(first) > 0], trans), first)
     w = np.where(toxic, class_weights[1], class_weights[0])
     w = w * len(w) / w.sum()
@@ -203,7 +204,7 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
         p = _sigmoid(x @ beta)
         h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05, 0.05])
         beta += np.linalg.solve(h, x.T @ (w * (toxic - p)) - np.array([1e-3, 0.05, 0.05, 0.05]) * beta)
-    return Model(keys, weights[:-1], float(bias), trans, beta)
+    return Model(keys, weights, float(bias), trans, beta)
 
 
 def _chunked(data, offsets, starts, ends, first):
@@ -216,19 +217,12 @@ def _chunked(data, offsets, starts, ends, first):
     assert row == len(offsets) - 1
 
 
-def _pair_counts(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, m: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Expected transitions: from marginals of words and the field's own conditional of neighbours."""
-    # P(y_t=b | y_{t-1}=a, x) is proportional to exp(trans[a, b]) * (right side of t in state b); the right side follows
-    # from the marginals: m_t is proportional to sum_a P(y_{t-1}=a) * that conditional.  Solve for the ratio r.
-    a, left, right = np.exp(trans), m[inner - 1], m[inner]
-    r = np.exp(np.clip(e[inner], -30, 30))
-    for _ in range(12):  # fixed point of one monotone equation per pair
-        c0, c1 = a[0, 1] * r / (a[0, 0] + a[0, 1] * r), a[1, 1] * r / (a[1, 0] + a[1, 1] * r)
-        now = (1 - left) * c0 + left * c1
-        r = r * np.clip(right * (1 - now) / np.maximum(now * (1 - right), 1e-300), 0.1, 10)
-        r = np.clip(r, 1e-12, 1e12)
-    c0, c1 = a[0, 1] * r / (a[0, 0] + a[0, 1] * r), a[1, 1] * r / (a[1, 0] + a[1, 1] * r)
-    return np.array([[((1 - left) * (1 - c0)).sum(), ((1 - left) * c0).sum()], [(left * (1 - c1)).sum(), (left * c1).sum()]])
+def _pair_counts(e: np.ndarray, trans: np.ndarray, ahead: np.ndarray, back: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Expected transitions into the words ``inner``: forward message of the word before, transition, word, backward message."""
+    a, psi = np.exp(trans), np.exp(np.clip(e[inner], -30, 30))
+    left, right = np.stack([1 - ahead[inner - 1], ahead[inner - 1]]), np.stack([1 - back[inner], back[inner] * psi])
+    both = left[:, None] * a[:, :, None] * right[None]
+    return (both / both.sum(axis=(0, 1))).sum(axis=2)
 
 
 SCHEMA = "doc_id long, score double, predicted int, toxic_words double, spans string"
