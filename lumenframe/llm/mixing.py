@@ -3,15 +3,15 @@
 1. Targets: weights share the total; a target stops at ``max_repeats`` times its source's size and the excess goes to
    the others by weight, until none is above.
 2. Blocks: the words of a source, document after document, are cut into blocks of ``block_words``.
-3. Draws: every output shard draws multinomial source counts.  The odds are what each source still has to give, so the
-   draws of all shards together meet the targets to within half a block per source.
+3. Draws: every output shard draws multinomial source counts, on condition that all shards together give each source its slots (so
+   targets are met to within half a block per source).  Under that condition any range of shards holds a multivariate hypergeometric
+   draw of the range twice as large; a shard's counts follow from one seeded draw per halving, so each task finds its own without the others'.
 4. Slots: a source's slots are numbered through all shards.  Slot k is block perm(k mod n) of pass k div n, where perm is
    a keyed pseudorandom permutation of that pass (a Feistel network on the next power of four, walked until it falls
    below n).
 5. Slots and blocks are joined by (source, block).
 
-The driver holds one row per source and one count per (shard, source), with at most ``max_shards`` shards.  Every
-draw is seeded, so reruns agree.  Null text has no words; null source is a source of its own, last in order.
+The driver holds one row per source, whatever the number of shards.  Every draw is seeded, so reruns agree.  Null text has no words; null source is a source of its own, last in order.
 Rows with equal ids count as separate documents.  An empty table gives an empty result.
 """
 
@@ -29,7 +29,12 @@ from lumenframe.llm.tables import running_start, settle
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-MAX_SHARDS = 4096
+#: Shards that one task fills.
+TASK_SHARDS = 256
+#: Rows of sources that are broadcast at most.
+BROADCAST_SOURCES = 100_000
+#: Draws from more slots than this are split in proportion first (the sampler's own limit is 10**9).
+MOST_DRAWN = 10**9 - 1
 MAX_REPEATS = 3
 SEED = 20240501
 
@@ -80,7 +85,7 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         h, m, y = half[todo], mask[todo], x[todo]
         left, right = y >> h, y & m
         for r in range(6):
-            f = (right + key[todo] + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+            f = (right + key[todo] + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
             f = (f ^ (f >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
             left, right = right, left ^ ((f >> np.uint64(29)) & m)
         x[todo] = (left << h) | right
@@ -88,25 +93,42 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draws(slots: list[int], shard_slots: int = SHARD_SLOTS, max_shards: int = MAX_SHARDS, seed: int = SEED) -> list[list[int]]:
-    """For every shard the number of slots by source."""
-    left = np.array(slots, np.int64)
+def _half(left: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """Of ``left`` slots by source, ``want`` drawn without putting back (in proportion, if they are too many to draw)."""
     total = int(left.sum())
-    if not total:
-        return []
-    shards = min(max_shards, -(-total // shard_slots))
-    rng, out = np.random.default_rng(seed), []
-    for k in range(shards):
-        want = int(left.sum()) // (shards - k)
-        counts = np.zeros_like(left)
-        while (short := want - int(counts.sum())) > 0:
-            rest = left - counts
-            counts += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
-        left -= counts
-        out.append(counts.tolist())
+    if total <= MOST_DRAWN:
+        return rng.multivariate_hypergeometric(left, want, method="marginals")
+    exact = [divmod(int(n) * want, total) for n in left]
+    out = np.array([q for q, _ in exact], np.int64)
+    for k in sorted(range(len(exact)), key=lambda k: -exact[k][1])[: want - int(out.sum())]:
+        out[k] += 1
     return out
 
 
+def shard_total(slots: list[int], shard_slots: int = SHARD_SLOTS) -> int:
+    return -(-sum(slots) // shard_slots)
+
+
+def shard_draw(slots: list[int], shard: int, shards: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's number of slots by source, and how many of each source's slots lie in earlier shards."""
+    whole, left, before = sum(slots), np.array(slots, np.int64), np.zeros(len(slots), np.int64)
+    lo, hi = 0, shards
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = _half(left, whole * mid // shards - whole * lo // shards, np.random.default_rng([seed, lo, hi]))
+        if shard < mid:
+            left, hi = first, mid
+        else:
+            left, before, lo = left - first, before + first, mid
+    return left, before
+
+
+def draws(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[list[int]]:
+    """For every shard the number of slots by source."""
+    shards = shard_total(slots, shard_slots)
+    return [shard_draw(slots, k, shards, seed)[0].tolist() for k in range(shards)]
+
+
 def source_table(sized: DataFrame, block_words: int, weights: dict[str | None, float] | None, max_repeats: float) -> list[Source]:
     """One row per source; ``sized`` has __source and __size."""
     rows = [(r["__source"], r["n"]) for r in sized.groupBy("__source").agg(F.sum("__size").alias("n")).collect()]
@@ -140,7 +162,6 @@ def mix(
     weights: dict[str | None, float] | None = None,
     max_repeats: float = MAX_REPEATS,
     shard_slots: int = SHARD_SLOTS,
-    max_shards: int = MAX_SHARDS,
     seed: int = SEED,
 ) -> Mix:
     """The plan of a mix; ``weights`` by source (1, 2, 3 in turn by default)."""
@@ -149,8 +170,7 @@ def mix(
     sources = source_table(sized, block_words, weights, max_repeats)
     rows = sized.count()
     names = spark.createDataFrame([(s.number, s.name) for s in sources], "source_number int, __name string")
-    # one row per source: far below any broadcast limit
-    numbered = sized.join(F.broadcast(names), F.col("__source").eqNullSafe(F.col("__name"))).select("doc_id", "source_number", F.col("__size").alias("size"))
+    numbered = sized.join(F.broadcast(names) if len(sources) <= BROADCAST_SOURCES else names, F.col("__source").eqNullSafe(F.col("__name"))).select("doc_id", "source_number", F.col("__size").alias("size"))
     placed = running_start(numbered, ["source_number"], ["doc_id"], "size", rows, "first_word")
     b = F.lit(block_words).cast("long")
     first, last = F.expr(f"first_word div {block_words}L"), F.expr(f"(first_word + size - 1) div {block_words}L")
@@ -161,32 +181,23 @@ def mix(
         .withColumn("block", F.explode(F.sequence(first, last)))
         .select("source_number", "block", "doc_id", "first_word", "size", (begin - F.col("first_word")).alias("start"), (F.least((block + 1) * b, F.col("first_word") + F.col("size")) - begin).alias("length"))
     )
-    counts = draws([s.slots for s in sources], shard_slots, max_shards, seed)
-    rows_out, seen = [], [0] * len(sources)
-    for shard, by_source in enumerate(counts):
-        at = 0
-        for s, n in zip(sources, by_source):
-            if n:
-                rows_out.append((shard, at, s.number, seen[s.number], n, s.blocks))
-                seen[s.number] += n
-                at += n
-    drawn = spark.createDataFrame(rows_out, "shard int, at long, source_number int, first_slot long, n long, blocks long")
-
-    def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted, blocks = [x.slots for x in sources], np.array([x.blocks for x in sources], np.int64)
+    shards = shard_total(wanted, shard_slots)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            shard, slot, source, k, n = (c.to_numpy(zero_copy_only=False) for c in x.columns)
-            if len(k) == 0:
-                continue
-            turn = k // n
-            key = (source.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (turn.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(seed)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), pa.array(source), pa.array(turn), pa.array(permute(k % n, n, key))], names=["shard", "slot", "source_number", "pass", "block"])
-
-    slots = (
-        drawn.repartition("shard")
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .select("shard", (F.col("at") + F.col("i")).alias("slot"), "source_number", (F.col("first_slot") + F.col("i")).alias("k"), "blocks")
-        .mapInArrow(permuted, "shard int, slot long, source_number int, pass long, block long")
-    )
+            for shard in x.column(0).to_pylist():
+                counts, before = shard_draw(wanted, shard, shards, seed)
+                source = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                k = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + before[source]
+                n = blocks[source]
+                turn = k // np.maximum(n, 1)
+                key = (source.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (turn.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(seed)
+                columns = [pa.array(np.full(len(source), shard, np.int32)), pa.array(np.arange(len(source), dtype=np.int64)), pa.array(source), pa.array(turn), pa.array(permute(k - turn * n, n, key))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "source_number", "pass", "block"])
+
+    tasks = max(-(-shards // TASK_SHARDS), min(shards, spark.sparkContext.defaultParallelism), 1)
+    slots = spark.range(0, shards, 1, tasks).mapInArrow(filled, "shard int, slot long, source_number int, pass long, block long")
     return Mix(sources, placed, pieces, slots)
 
 
@@ -202,14 +213,14 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     info = spark.createDataFrame([(s.number, s.size, s.target) for s in m.sources], "source_number int, source_size long, target double")
     uses = m.slots.groupBy("source_number", "block").agg(F.count(F.lit(1)).alias("uses"))
     taken = (
-        # slots come from a few rows of counts, which the planner would take for a small table
+        # slots come from a few rows of shards, which the planner would take for a small table
         m.pieces.join(uses.hint("merge"), ["source_number", "block"])
         # a document with words is known by its first word's place
         .groupBy("source_number", "first_word")
         .agg(F.sum(F.col("uses") * F.col("length")).alias("taken"))
     )
     used = m.documents.filter("size > 0").join(taken, ["source_number", "first_word"], "left").unionByName(m.documents.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return used.join(F.broadcast(info), "source_number").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return used.join(F.broadcast(info) if len(m.sources) <= BROADCAST_SOURCES else info, "source_number").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -42,6 +42,31 @@ def test_draws_meet_the_quota():
     shards = M.draws(slots, shard_slots=100)
     assert np.array(shards).sum(axis=0).tolist() == slots
     assert shards == M.draws(slots, shard_slots=100) and len({sum(s) for s in shards}) <= 2
+    before = np.zeros(4, np.int64)
+    for k, own in enumerate(shards):
+        got, first = M.shard_draw(slots, k, len(shards))
+        assert got.tolist() == own and (first == before).all()
+        before += own
+
+
+def test_draws_beyond_the_sampler_and_without_slots(monkeypatch):
+    assert M.draws([0, 0]) == [] == M.draws([])
+    monkeypatch.setattr(M, "MOST_DRAWN", 500)
+    slots = [5, 0, 2000, 333]
+    shards = M.draws(slots, shard_slots=7)
+    assert np.array(shards).sum(axis=0).tolist() == slots and max(map(sum, shards)) <= 7
+    # many more shards than any old bound, each found by itself
+    big = [10**12, 3 * 10**12, 17]
+    n = M.shard_total(big)
+    assert n > 4096 and all(abs(int(M.shard_draw(big, k, n)[0].sum()) - 4096) <= 1 for k in (0, 1, n // 2, n - 1))
+
+
+def test_shards_are_multinomial_draws():
+    """Means and variances of a shard's counts over many seeds."""
+    slots = [3000, 1000, 6000]
+    got = np.array([M.shard_draw(slots, 7, 100, seed)[0] for seed in range(400)])
+    share = np.array(slots) / 10_000
+    assert np.allclose(got.mean(axis=0), 100 * share, atol=1.2) and np.allclose(got.var(axis=0), 100 * share * (1 - share), rtol=0.35)
 
 
 def corpus(spark):
