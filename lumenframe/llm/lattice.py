@@ -1,6 +1,7 @@
 """Language-model scores from a subword lattice over an existing vocabulary.
 
-The vocabulary's pieces are given (a tokenizer file); their probabilities are learnt from the training documents: every
+The vocabulary's pieces and their order are given (a tokenizer file).  Their probabilities fall with the rank at first and are
+then learnt from the training documents: every
 distinct word, weighted by its count, is a lattice of all its segmentations into pieces, and expectation steps give
 each piece its expected count.  A text's marginal probability is the product over its words of the sum over all their
 segmentations, by the forward recursion; a word starts with the word mark, so that pieces never cross words.
@@ -16,12 +17,13 @@ counts as empty text where the fold is taken.  An empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import arrowtext as A
@@ -33,16 +35,16 @@ SMOOTHING = 0.1
 HOT_WORDS = 1 << 19
 #: Rounds of expectation over all distinct training words.
 ROUNDS = 2
-#: Bytes of a piece at most; longer pieces of the vocabulary are left out.
-MAX_PIECE = 16
 #: Pseudo-count of every piece and byte.
 PIECE_PRIOR = 0.5
 MARK = b"\xe2\x96\x81"
 WORD_CHUNK = 1 << 14
 #: Cells of a slice's forward table at most (a longer word has a table of its own).
 TABLE_CELLS = 1 << 20
-#: Arcs are kept between the passes for words up to this many bytes, and found again for longer ones.
-KEPT_BYTES = 512
+#: Words of more bytes are walked one by one, in runs of ``RUN_BYTES``, so that their time and memory grow with their length only.
+LONG_BYTES, RUN_BYTES = 512, 1 << 16
+#: Hot words are told by their count in steps of a sixteenth of an octave.
+COUNT_STEPS = 16
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,7 @@ class Pieces:
     keys: np.ndarray
     logp: np.ndarray
     slots: np.ndarray  # open addressing: index into keys, or -1
+    lengths: tuple[int, ...]  # bytes of pieces, those that occur
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 if it is no piece."""
@@ -70,12 +73,17 @@ class Pieces:
 
 
 def read_vocabulary(path: str) -> list[bytes]:
-    """The pieces of a sentencepiece model as bytes (no control pieces; word marks as they are), and all single bytes."""
+    """The pieces of a sentencepiece model as bytes (no control pieces; word marks as they are), then all single bytes.
+
+    They come in the order of the model's own scores, best first.  Pieces of several word marks alone are left out, as a
+    word has one mark; every other piece is kept, however long.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = {sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-    return sorted({t for t in texts if 0 < len(t) <= MAX_PIECE} | {bytes([b]) for b in range(256)} | {MARK})
+    own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    texts = [sp.id_to_piece(i).encode() for i in sorted(own, key=lambda i: (-sp.get_score(i), i))]
+    return list(dict.fromkeys([*(t for t in texts if t and (t == MARK or t.replace(MARK, b""))), *(bytes([b]) for b in range(256)), MARK]))
 
 
 def pieces_from(vocabulary: list[bytes], logp: np.ndarray | None = None) -> tuple[Pieces, np.ndarray]:
@@ -93,10 +101,10 @@ def pieces_from(vocabulary: list[bytes], logp: np.ndarray | None = None) -> tupl
         while slots[at] >= 0:
             at = (at + 1) & (n - 1)
         slots[at] = i
-    if logp is None:
-        lengths = np.array([len(v) for v in vocabulary], float)
-        logp = -np.log(len(vocabulary)) - 0.1 * lengths
-    return Pieces(keys, logp[order], slots), order
+    if logp is None:  # probabilities fall with the rank in the vocabulary
+        logp = -np.log(np.arange(len(vocabulary)) + 10.0)
+        logp -= np.log(np.exp(logp).sum())
+    return Pieces(keys, logp[order], slots, tuple(sorted({len(v) for v in vocabulary}))), order
 
 
 def _marked(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +134,9 @@ def lattice(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: P
     def arcs_into(t: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         b, found = begin[: active[t]] + t, []
         to = sums[b]
-        for k in range(1, min(MAX_PIECE, t) + 1):
+        for k in pieces.lengths:
+            if k > t:
+                break
             h = A.mix64((to - sums[b - k]) * down[b - k] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
             index = pieces.find(h)
             who = np.flatnonzero(index >= 0)
@@ -134,13 +144,12 @@ def lattice(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: P
                 found.append((k, who, index[who]))
         return found
 
-    keep = weights is not None and longest <= KEPT_BYTES
     arcs = {}
     ahead = np.full((longest + 1, words), -np.inf)
     ahead[0] = 0.0
     for t in range(1, longest + 1):
         n, found = active[t], arcs_into(t)
-        if keep:
+        if weights is not None:
             arcs[t] = found
         terms = [(who, ahead[t - k, who] + pieces.logp[index]) for k, who, index in found]
         top = np.full(n, -np.inf)
@@ -162,20 +171,66 @@ def lattice(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: P
     back[lengths, np.arange(words)] = 0.0
     expected = np.zeros(len(pieces.keys))
     for t in range(longest, 0, -1):
-        for k, who, index in arcs[t] if keep else arcs_into(t):
+        for k, who, index in arcs[t]:
             through = back[t, who] + pieces.logp[index]
             back[t - k, who] = np.logaddexp(back[t - k, who], through)
             expected += np.bincount(index, weights=w[who] * np.exp(ahead[t - k, who] + through - log_p[who]), minlength=len(expected))
     return out, expected
 
 
+def long_word(word: np.ndarray, pieces: Pieces, weight: float | None = None) -> tuple[float, np.ndarray | None]:
+    """``lattice`` of one word of any length: pieces are found for a run of bytes at a time, then positions are walked in order."""
+    text = np.concatenate([np.frombuffer(MARK, np.uint8), word])
+    n, reach = len(text), max(pieces.lengths)
+    logp = pieces.logp.tolist()
+
+    def arcs_of(lo: int, hi: int) -> list[list[tuple[int, int]]]:
+        """For every position in (lo, hi] the (start, piece) that end there."""
+        base = max(0, lo - reach)
+        part, out = text[base:hi], [[] for _ in range(hi - lo)]
+        for k in pieces.lengths:
+            ends = np.arange(max(lo + 1, k), hi + 1)
+            if not len(ends):
+                continue
+            index = pieces.find(A.span_hashes(part, ends - k - base, ends - base, lower=False))
+            some = np.flatnonzero(index >= 0)
+            for t, i in zip(ends[some].tolist(), index[some].tolist()):
+                out[t - lo - 1].append((t - k, i))
+        return out
+
+    ahead = [0.0] * (n + 1)
+    for lo in range(0, n, RUN_BYTES):
+        hi = min(n, lo + RUN_BYTES)
+        for t, found in enumerate(arcs_of(lo, hi), lo + 1):
+            terms = [ahead[s] + logp[i] for s, i in found]
+            top = max(terms, default=-math.inf)
+            ahead[t] = top + math.log(sum(math.exp(x - top) for x in terms)) if top > -math.inf else -math.inf
+    if weight is None:
+        return ahead[n], None
+    expected = np.zeros(len(logp))
+    back = [-math.inf] * (n + 1)
+    back[n] = 0.0
+    for lo in reversed(range(0, n, RUN_BYTES)):
+        hi = min(n, lo + RUN_BYTES)
+        for t, found in zip(range(hi, lo, -1), reversed(arcs_of(lo, hi))):
+            if back[t] == -math.inf:
+                continue
+            for s, i in found:
+                through = back[t] + logp[i]
+                a, b = (back[s], through) if back[s] > through else (through, back[s])
+                back[s] = a + math.log1p(math.exp(b - a))
+                expected[i] += weight * math.exp(ahead[s] + through - ahead[n])
+    return ahead[n], expected
+
+
 def word_scores(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """``lattice`` over any number of words, in slices of about equal lengths."""
+    """``lattice`` over any number of words, in slices of about equal lengths; long words go by themselves."""
     order = np.argsort(lengths, kind="stable")
     out, expected = np.zeros(len(order)), (np.zeros(len(pieces.keys)) if weights is not None else None)
+    short = int(np.searchsorted(lengths[order], LONG_BYTES, "right"))
     i = 0
-    while i < len(order):
-        j = min(len(order), i + WORD_CHUNK)
+    while i < short:
+        j = min(short, i + WORD_CHUNK)
         while j > i + 1 and (lengths[order[j - 1]] + 4) * (j - i) > TABLE_CELLS:
             j = i + max(1, (j - i) // 2)
         own = order[i:j]
@@ -183,6 +238,10 @@ def word_scores(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piece
         if expected is not None:
             expected += e
         i = j
+    for k in order[short:]:
+        out[k], e = long_word(data[starts[k] : starts[k] + lengths[k]], pieces, float(weights[k]) if weights is not None else None)
+        if expected is not None:
+            expected += e
     return out, expected
 
 
@@ -260,34 +319,49 @@ def learn_pieces(words: DataFrame, vocabulary: list[bytes], end_count: int, roun
         for r in rows:
             expected[r["piece"]] += r["e"]
         whole = expected.sum() + end_count + PIECE_PRIOR
-        pieces = Pieces(pieces.keys, np.log(expected / whole), pieces.slots)
+        pieces = Pieces(pieces.keys, np.log(expected / whole), pieces.slots, pieces.lengths)
         end = float(np.log((end_count + PIECE_PRIOR) / whole))
     return pieces, end
 
 
+def count_step(c: Column) -> Column:
+    return F.floor(F.log2(c) * COUNT_STEPS)
+
+
 def hot_threshold(words: DataFrame, most: int) -> int:
-    """The least count c such that at most ``most`` words have it or more."""
+    """The least count step such that at most ``most`` words are in it or above; a thousand rows at most come to the driver."""
     left, least = most, None
-    for r in sorted(words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):
+    for r in sorted(words.groupBy(count_step(F.col("c")).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
         left -= r["n"]
         if left < 0:
             break
-        least = r["c"]
-    return least if least is not None else 1 << 62
+        least = r["step"]
+    return least if least is not None else 64 * COUNT_STEPS
+
+
+def scored_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(key, c, log_p): the lattice score of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = A.utf8(b.column(0))
+            log_p = word_scores(data, offsets[:-1], np.diff(offsets), pieces)[0] if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(log_p)], names=["key", "c", "log_p"])
+
+    return words.select("word", "key", "c").mapInArrow(run, "key long, c long, log_p double")
 
 
 def train(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text", folds: int = HOLD_OUT, rounds: int = ROUNDS, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame, int]:
-    """The model, the settled words (word, key, c) of the training documents, and the count from which words are hot."""
+    """The model, the settled words (word, key, c) of the training documents, and the count step from which words are hot."""
     words = settle(training_counts(docs, id_col, text_col, folds))
     ends = docs.filter(fold(F.col(id_col), folds) != 0).count()
     totals = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     pieces, end = learn_pieces(words, vocabulary, ends, rounds)
     least = hot_threshold(words, hot_words)
-    hot = words.filter(F.col("c") >= least).select("word", "key", "c").toArrow()
-    data, offsets = A.utf8(hot["word"])
-    order = np.argsort(hot["key"].to_numpy().view(np.uint64))
-    log_p = word_scores(data, offsets[:-1], np.diff(offsets), pieces)[0] if len(order) else np.zeros(0)
-    model = Model(hot["key"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy()[order].astype(float), log_p[order], pieces, int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends, end)
+    hot = scored_words(words.filter(count_step(F.col("c")) >= least), pieces).toArrow()
+    keys, counts, log_p = (hot[c].to_numpy() for c in ("key", "c", "log_p"))
+    order = np.argsort(keys.view(np.uint64))
+    model = Model(keys.view(np.uint64)[order], counts[order].astype(float), log_p[order], pieces, int(totals["n"]) + ends, int(totals["v"]) + (ends > 0), ends, end)
     return model, words, least
 
 
@@ -336,7 +410,7 @@ def lm_scores(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id",
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram words), score (lattice), both log10."""
     model, words, least = train(docs, vocabulary, id_col, text_col, folds, rounds, hot_words)
     scored = settle(score_texts(docs, model, id_col, text_col).withColumn("__row", F.monotonically_increasing_id()))
-    rare_words = words.filter(F.col("c") < least).select(F.col("key").alias("__k"), "c")
+    rare_words = words.filter(count_step(F.col("c")) < least).select(F.col("key").alias("__k"), "c")
     unit = F.lit(model.train_tokens + SMOOTHING * (model.distinct + 1))
     rare = (
         scored.select("__row", F.explode("rare").alias("key"))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -19,7 +20,7 @@ def all_segmentations(word: bytes, p: dict[bytes, float]):
     def walk(at, w, used):
         if at == len(text):
             out.append((w, used))
-        for k in range(1, L.MAX_PIECE + 1):
+        for k in range(1, len(text) + 1):
             piece = text[at : at + k]
             if len(piece) == k and piece in p:
                 walk(at + k, w * p[piece], [*used, piece])
@@ -87,3 +88,71 @@ def test_probabilities_sum_to_at_most_one():
     data, offsets = A.utf8(pa.array(words))
     got, _ = L.word_scores(data, offsets[:-1], np.diff(offsets), pieces)
     assert np.exp(got).sum() < 1
+
+
+def brute_text(text, p, end):
+    """Log10 of the end token's probability times those of the words, each summed over its segmentations by plain dynamic programming."""
+    out = math.log10(end)
+    for word in text.encode().lower().split():
+        t = L.MARK + word
+        ways = [1.0] + [0.0] * len(t)
+        for j in range(1, len(t) + 1):
+            ways[j] = sum(ways[i] * p.get(t[i:j], 0.0) for i in range(j))
+        out += math.log10(ways[-1])
+    return out
+
+
+def test_text_scores_after_learning(spark):
+    """Both learning rounds and the scores of whole texts, recomputed; among them words of pieces beyond 16 bytes."""
+    rnd = random.Random(6)
+    words = ["representation", "responsibility", "Области", "который", "the", "Of", "ab", "x-y"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(12)))) for i in range(40)] + [(7, "the the"), (None, "of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = L.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, vocabulary)) > 16 and L.MARK + b"representation" in vocabulary
+    start, order = L.pieces_from(vocabulary)
+    p = {vocabulary[i]: float(np.exp(v)) for i, v in zip(order, start.logp)}
+    train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    counts = Counter(w for t in train for w in t.encode().split() for w in [bytes(A.LOWER[np.frombuffer(w, np.uint8)])])
+    for _ in range(L.ROUNDS):
+        expected = dict.fromkeys(p, L.PIECE_PRIOR)
+        for w, c in counts.items():
+            t = L.MARK + w
+            f, b = [1.0] + [0.0] * len(t), [0.0] * len(t) + [1.0]
+            for j in range(1, len(t) + 1):
+                f[j] = sum(f[i] * p.get(t[i:j], 0.0) for i in range(j))
+            for i in range(len(t) - 1, -1, -1):
+                b[i] = sum(p.get(t[i:j], 0.0) * b[j] for j in range(i + 1, len(t) + 1))
+            for i in range(len(t)):
+                for j in range(i + 1, len(t) + 1):
+                    if t[i:j] in p:
+                        expected[t[i:j]] += c * f[i] * p[t[i:j]] * b[j] / f[-1]
+        whole = sum(expected.values()) + len(train) + L.PIECE_PRIOR
+        p, end = {k: v / whole for k, v in expected.items()}, (len(train) + L.PIECE_PRIOR) / whole
+    for hot in (2, 1 << 19):
+        got = L.lm_scores(docs, vocabulary, hot_words=hot).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            texts = [t for i, t in rows if i == r.doc_id]
+            assert any(math.isclose(r.score, brute_text("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t), p, end), rel_tol=1e-6) for t in texts)
+
+
+def test_long_words_take_linear_time_and_score_alike():
+    pieces, _ = L.pieces_from(VOCABULARY)
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abé") for _ in range(n)) for n in (3, 300, 511, 900)]
+    data, offsets = A.utf8(pa.array(words))
+    weights = np.array([1.0, 2.0, 3.0, 0.5])
+    score, expected = L.lattice(data, offsets[:-1], np.diff(offsets), pieces, weights)
+    L.RUN_BYTES, kept = 64, L.RUN_BYTES
+    try:
+        each = [L.long_word(data[a:b], pieces, w) for a, b, w in zip(offsets, offsets[1:], weights)]
+        assert np.allclose([x for x, _ in each], score) and np.allclose(sum(e for _, e in each), expected, atol=1e-9)
+    finally:
+        L.RUN_BYTES = kept
+    vocabulary = L.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    pieces, _ = L.pieces_from(vocabulary)
+    word = np.frombuffer("".join(rnd.choice("ABCDEFabcdef0123456789+/") for _ in range(1 << 20)).encode(), np.uint8)
+    began = time.perf_counter()
+    assert L.word_scores(word, np.array([0]), np.array([len(word)]), pieces)[0][0] < 0
+    assert time.perf_counter() - began < 60
