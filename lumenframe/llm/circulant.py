@@ -37,7 +37,8 @@ from lumenframe.llm import arrowtext as A
 from lumenframe.llm.tables import SharedTable, packed, settle
 
 SHINGLE_WORDS = 5
-THRESHOLD_PERCENT = 85
+#: Of the operator and the pipeline's stage; the registered query's contract has its own.
+THRESHOLD_PERCENT, QUERY_PERCENT = 80, 85
 BAND_ROWS = 7
 #: Probability, at most, that a pair at the threshold shares no band.
 MISSED = 1e-4
@@ -314,7 +315,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
 
 
-def oracle(percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> str:
+def oracle(percent: int = QUERY_PERCENT, width: int = SHINGLE_WORDS) -> str:
     """DuckDB SQL with the rows of ``near_duplicates`` over ``documents``: all pairs that share a shingle, then their closure."""
     return rf"""
 WITH RECURSIVE w AS (

@@ -49,7 +49,7 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return circulant.near_duplicates(_read(spark, sf_dir, "documents"))
+    return circulant.near_duplicates(_read(spark, sf_dir, "documents"), percent=circulant.QUERY_PERCENT)
 
 
 def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

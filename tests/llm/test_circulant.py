@@ -5,7 +5,7 @@ import numpy as np
 from lumenframe.llm import circulant as C
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=80):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()

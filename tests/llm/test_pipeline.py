@@ -65,7 +65,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             inter = len(sets[a] & sets[b])
-            if 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
+            if 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert sorted(r.doc_id for r in near) == sorted({find(i) for i in ids}) and len(near) < len(quality)
