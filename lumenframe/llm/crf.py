@@ -18,7 +18,6 @@ Without any usable labels all scores are next to 0.  Labels, language, source an
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,29 +147,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS) -> Model:
+def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, class_weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS) -> Model:
     """Lexicon, field and logistic regression from labelled texts."""
     if len(texts) == 0 or toxic.all() or not toxic.any():
         return EMPTY
-    data, offsets = A.utf8(pa.array(texts, pa.string()))
-    starts, ends, first = A.word_spans(data, offsets)
-    if not len(starts):
+    data, offsets = A.utf8(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string()))
+
+    def runs() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, features of all words, and first word of each row, for some rows at a time."""
+        for i, _, part, off in A.chunks(data, offsets):
+            starts, ends, first = A.word_spans(part, off)
+            yield i, features(part, starts, ends), first
+
+    seen, n_words = ([], []), []
+    for i, f, first in runs():
+        n = np.diff(first)
+        n_words.append(n)
+        for k in np.flatnonzero(n):
+            seen[int(toxic[i + k])].append(np.unique(f[0, first[k] : first[k + 1]]))
+    n_words = np.concatenate(n_words)
+    if not n_words.any():
         return EMPTY
-    f = np.concatenate([features(d, s, e) for d, s, e in _chunked(data, offsets, starts, ends, first)], axis=1)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    pairs = np.unique(np.stack([f[0], doc.astype(np.uint64)], axis=1), axis=0)
-    in_toxic: Counter = Counter(pairs[toxic[pairs[:, 1].astype(np.int64)], 0].tolist())
-    in_clean: Counter = Counter(pairs[~toxic[pairs[:, 1].astype(np.int64)], 0].tolist())
+    (clean, in_clean), (words, in_toxic) = (np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(1, np.uint64), np.zeros(1, np.int64)) for x in seen)
+    del seen
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    least = max(LEAST_DOCS, LEAST_SHARE * n1)
-    lexicon = [w for w, n in in_toxic.items() if n >= least and np.log((n + 0.5) / (n1 + 1)) - np.log((in_clean[w] + 0.5) / (n0 + 1)) >= LEAST_LOG_ODDS]
-    y = np.isin(f[0], np.array(lexicon, np.uint64)) & toxic[doc]
+    place = np.minimum(np.searchsorted(clean, words), len(clean) - 1)
+    odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((np.where(clean[place] == words, in_clean[place], 0) + 0.5) / (n0 + 1))
+    lexicon = words[(in_toxic >= max(LEAST_DOCS, LEAST_SHARE * n1)) & (odds >= LEAST_LOG_ODDS)]
     # windows of whole texts: all that hold a labelled token, and one of each text, drawn over its whole length
-    window = (np.arange(len(doc)) - first[doc]) // WINDOW
-    drawn = np.random.default_rng(41).integers(0, np.maximum(1, -(-np.diff(first) // WINDOW)))
-    group = doc * (int(window.max()) + 1) + window
-    use = np.isin(group, np.unique(group[y])) | (window == drawn[doc])
-    fu, yu, gu = f[:, use], y[use], group[use]
+    drawn, most = np.random.default_rng(41).integers(0, np.maximum(1, -(-n_words // WINDOW))), int(n_words.max()) // WINDOW + 1
+    used: list[tuple] = []
+    for i, f, first in runs():
+        doc = np.repeat(np.arange(i, i + len(first) - 1), np.diff(first))
+        y = np.isin(f[0], lexicon) & toxic[doc]
+        window = (np.arange(len(doc)) - first[doc - i]) // WINDOW
+        group = doc * most + window
+        use = np.isin(group, np.unique(group[y])) | (window == drawn[doc])
+        used.append((f[:, use], y[use], group[use]))
+    fu, yu, gu = (np.concatenate(x, axis=-1) for x in zip(*used))
+    del used
     lengths = np.diff(np.append(np.flatnonzero(np.append(True, gu[1:] != gu[:-1])), len(gu)))
     keys, at = np.unique(fu, return_inverse=True)
     at = at.reshape(fu.shape)
@@ -179,15 +194,15 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
     joined = np.ones(len(yu), bool)
     joined[np.cumsum(lengths) - lengths] = False
     inner = np.flatnonzero(joined)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (yu[inner - 1].astype(int), yu[inner].astype(int)), 1)
+    steps_seen = np.zeros((2, 2))
+    np.add.at(steps_seen, (yu[inner - 1].astype(int), yu[inner].astype(int)), 1)
     for _ in range(steps):
         e = bias + weights[at].sum(axis=0)
         m, ahead, back = forward_backward(e, lengths, trans)
         pair = _pair_counts(e, trans, ahead, back, inner)
         d = yu - m
         g = np.bincount(at.ravel(), weights=np.tile(d, 3), minlength=len(keys)) - 0.05 * weights
-        gb, gt = d.sum(), seen - pair - 0.05 * trans
+        gb, gt = d.sum(), steps_seen - pair - 0.05 * trans
         grad2[0] += g**2
         grad2[1] += gb**2
         grad2[2] += gt**2
@@ -196,7 +211,7 @@ def fit(texts: list[str], toxic: np.ndarray, class_weights: tuple[float, float]
         trans += 0.2 * gt / np.sqrt(grad2[2])
         trans[0, 0] = 0
     model = Model(keys, weights, float(bias), trans, np.zeros(4))
-    x = document_features(marginals(model.scores(f), np.diff(first)[np.diff(first) > 0], trans), first)
+    x = np.concatenate([document_features(marginals(model.scores(f), np.diff(first)[np.diff(first) > 0], trans), first) for _, f, first in runs()])
     w = np.where(toxic, class_weights[1], class_weights[0])
     w = w * len(w) / w.sum()
     beta = np.zeros(4)
@@ -290,11 +305,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("__did", "__y").agg(F.min("t").alias("t"))
         .orderBy(F.xxhash64("__did"), "__did")
         .limit(2 * sample_docs)
-        .collect()
+        .toArrow()
     )
-    toxic = np.array([r["__y"] == 1 for r in rows], bool)
+    toxic = rows["__y"].to_numpy() == 1
     share = [counts.get(y, 0) / max(1, int((toxic == bool(y)).sum())) for y in (0, 1)]
-    return fit([r["t"] for r in rows], toxic, (share[0], share[1]))
+    return fit(rows["t"], toxic, (share[0], share[1]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = HOLD_OUT, **options) -> DataFrame:
