@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenframe.functions.convert import fuzzy_equal as number_fuzzy_equal
+
 Number = Column | float | int
 
 
@@ -215,3 +217,19 @@ def matrix_to_quaternion(m: Matrix) -> Column:
     picks = [by_a, sign(by_b), sign(by_c), sign(by_d)]
     choose = lambda i: F.when(trace > 0.5, picks[0][i]).when(sizes["b"] > 1, picks[1][i]).when(sizes["c"] > 1, picks[2][i]).otherwise(picks[3][i])
     return F.struct(choose(0).alias("b"), choose(1).alias("c"), choose(2).alias("d"), q.alias("qfac"))
+
+
+def least(a: Vector, b: Vector) -> Vec:
+    """The smaller of each component."""
+    return each(F.least, a, b)
+
+
+def greatest(a: Vector, b: Vector) -> Vec:
+    """The larger of each component."""
+    return each(F.greatest, a, b)
+
+
+def fuzzy_equal(a: Vector, b: Vector, scale: int = 1, single: bool = True) -> Column:
+    """Whether all components are apart by no more than ``scale`` rounding steps; other than for numbers, signs count."""
+    near = [(a[k] * b[k] >= 0) & number_fuzzy_equal(_c(a[k]), _c(b[k]), scale, single) for k in "xyz"]
+    return near[0] & near[1] & near[2]

@@ -324,10 +324,22 @@ def convolve_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lookup").alias("vec_id"), F.posexplode("voxels").alias("at", "value")).select("vec_id", "at", F.round("value", 6).alias("value"))
 
 
-@register("gauss_filter")
+def _kernel_sql(axis: str, source: str, kernel: list[float]) -> str:
+    """One pass of a centred kernel along x or y of 8 x 8 voxels; neighbours outside count 0."""
+    half, n = len(kernel) // 2, "p % 8" if axis == "c" else "p // 8"
+    step = 1 if axis == "c" else 8
+    terms = " + ".join(f"CASE WHEN {n} + {k - half} BETWEEN 0 AND 7 THEN v[p + 1 + {(k - half) * step}] * {w!r} ELSE 0 END" for k, w in enumerate(kernel))
+    return f"SELECT vec_id, list_transform(range(64), lambda p: {terms}) AS v FROM ({source})"
+
+
+_GAUSS = filters.gauss_kernel(filters.fwhm_to_sigma(2.0))
+_GAUSSED = _kernel_sql("r", _kernel_sql("c", f"SELECT vec_id, {V} AS v FROM embeddings", _GAUSS), _GAUSS)
+
+
+@register("gauss_filter", f"SELECT vec_id, i::INT AS \"at\", round(v[i + 1], 6) AS value FROM ({_GAUSSED}), range(64) AS g(i)")
 def gauss_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = filters.gauss(vector_chunks(spark, sf_dir), fwhm=2.0, axes="cr")
-    return d.select(F.col("lookup").alias("vec_id"), F.posexplode("voxels").alias("at", "value"))
+    return d.select(F.col("lookup").alias("vec_id"), F.posexplode("voxels").alias("at", "value")).select("vec_id", "at", F.round("value", 6).alias("value"))
 
 
 @register("frequency_filter")
