@@ -1,12 +1,16 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Base signals come from each text alone.  The method then counts, per host, in how many distinct texts each normalised
-line stands.  A line above ``line_limit`` is boilerplate: it is removed from every text of that host but one, the text
-with the smallest id (so one document of a large group of copies keeps its lines, and exact copies count as one text).
+Base signals come from each text alone.  The method then counts, per host, in how many distinct documents each
+normalised line stands.  A line above ``line_limit`` is boilerplate: it is removed from every document of that host.
 A document left with under ``min_left_share`` of its words, or under ``min_left_words``, is depleted and rejected.
 
-Null text counts as empty (and fails the base rule); a null host is a host of its own.  Repeated rows, also with equal
-ids, are judged alike.  An empty table gives an empty result.  Only the named columns are read.
+So a group of more than ``line_limit`` copies is boilerplate as a whole and goes.  Where a later step is to choose one
+document of each group, ``count_copies=False`` counts texts: exact copies are one document, and the text with the
+smallest id keeps the line.
+
+Null text counts as empty (and fails the base rule); a null host is a host of its own.  Rows with equal ids are one
+document, those without an id one per text; repeated rows are judged alike, each on its own words.  An empty table gives
+an empty result.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -70,21 +74,21 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("__host"), text.alias("__text"), F.md5(text).alias("__md5"))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, __host, __md5, the raw line, its key."""
+def _lines(texts: DataFrame, *also: str) -> DataFrame:
+    """Every line with a word: __host, __l (the raw line), __line (its key) and the columns ``also``."""
     return (
-        texts.select("doc_id", "__host", "__md5", F.explode(F.split("__text", "\n")).alias("__l"))
+        texts.select("__host", *also, F.explode(F.split("__text", "\n")).alias("__l"))
         .filter(_has_word(F.col("__l")))
         .withColumn("__line", line_key(F.col("__host"), F.col("__l")))
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, count_copies: bool = True) -> DataFrame:
     """For each distinct text that loses lines: __vhost, __vmd5, keys of its removed lines, their words.
 
     A first pass counts occurrences by key, summed in each task before the exchange; lines that don't occur more often
-    than the limit can't stand in more texts.  The rest, settled and counted, is broadcast if it is small and joined by
-    its key otherwise; only its lines go on to the exact count of distinct texts.
+    than the limit can't stand in more documents.  The rest, settled and counted, is broadcast if it is small and joined by
+    its key otherwise; only its lines go on to the exact count.
     """
     texts = _texts(docs, id_col, text_col, host_col)
     def small(df: DataFrame) -> DataFrame:
@@ -93,27 +97,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = settle(_lines(texts).groupBy("__line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_limit).select("__line"))
     bounded = often.count() <= BROADCAST_ROWS
     words = F.size(F.array_remove(F.split(_flat(F.col("__l")), " "), "")).cast("long")
-    lines = (
-        _lines(texts)
+    # the row's number keeps the words of repeated rows apart
+    rows = settle(
+        _lines(texts.withColumn("__row", F.monotonically_increasing_id()), "doc_id", "__md5", "__row")
         .join(small(often), "__line")
         .withColumn("__words", words)
-        # copies of a text must not add up: one of them is enough
-        .groupBy("__line", "__host", "__md5", "doc_id")
+        .groupBy("__line", "__host", "__md5", "doc_id", "__row")
         .agg(F.sum("__words").alias("__words"))
-        .groupBy("__line", "__host", "__md5")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("__words").alias("__words"))
-    )
-    lines = settle(lines)
-    frequent = (
-        lines.groupBy("__line")
-        .agg(F.count(F.lit(1)).alias("n_texts"), F.min(F.struct("doc_id", "__md5")).alias("__keeper"))
-        .filter(F.col("n_texts") > line_limit)
-        .select("__line", F.col("__keeper.__md5").alias("__kmd5"))
     )
+    if count_copies:
+        document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("__md5")))
+        frequent = rows.groupBy("__line").agg(F.count_distinct(document).alias("n")).filter(F.col("n") > line_limit).select("__line")
+        lost = rows.join(small(frequent), "__line").groupBy("__line", "__host", "__md5").agg(F.max("__words").alias("__words"))
+    else:
+        by_text = rows.groupBy("__line", "__host", "__md5").agg(F.min("doc_id").alias("doc_id"), F.max("__words").alias("__words"))
+        frequent = (
+            by_text.groupBy("__line")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "__md5")).alias("__keeper"))
+            .filter(F.col("n") > line_limit)
+            .select("__line", F.col("__keeper.__md5").alias("__kmd5"))
+        )
+        lost = by_text.join(small(frequent), "__line").filter(F.col("__md5") != F.col("__kmd5"))
     return (
-        lines.join(small(frequent), "__line")
-        .filter(F.col("__md5") != F.col("__kmd5"))
-        .groupBy(F.col("__host").alias("__vhost"), F.col("__md5").alias("__vmd5"))
+        lost.groupBy(F.col("__host").alias("__vhost"), F.col("__md5").alias("__vmd5"))
         .agg(F.collect_set("__line").alias("__removed"), F.sum("__words").alias("removed_words"))
     )
 
@@ -126,6 +132,7 @@ def quality(
     line_limit: int = LINE_LIMIT,
     min_left_share: float = MIN_LEFT_SHARE,
     min_left_words: int = MIN_LEFT_WORDS,
+    count_copies: bool = True,
 ) -> DataFrame:
     """Per row: id, base signals, base_failed, removed_words (boilerplate), kept."""
     text = F.col("__text")
@@ -141,7 +148,7 @@ def quality(
         .select("doc_id", "__host", "__md5", "n_symbols", "n_dup_lines", F.expr(_WORD_SIGNALS).alias("__s"))
         .select("doc_id", "__host", "__md5", "__s.n_words", "__s.word_chars", "n_symbols", "n_dup_lines", "__s.n_repeat_words")
     )
-    removed = removed_lines(docs, id_col, text_col, host_col, line_limit).drop("__removed")
+    removed = removed_lines(docs, id_col, text_col, host_col, line_limit, count_copies).drop("__removed")
     judged = signals.join(removed, F.col("__host").eqNullSafe(F.col("__vhost")) & (F.col("__md5") == F.col("__vmd5")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -161,10 +168,11 @@ def quality_filtered(
     line_limit: int = LINE_LIMIT,
     min_left_share: float = MIN_LEFT_SHARE,
     min_left_words: int = MIN_LEFT_WORDS,
+    count_copies: bool = True,
 ) -> DataFrame:
     """The rows that pass, all columns, with boilerplate lines cut from their texts (and ``chars_col`` set anew)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    removed = settle(removed_lines(docs, id_col, text_col, host_col, line_limit))
+    removed = settle(removed_lines(docs, id_col, text_col, host_col, line_limit, count_copies))
     if removed.count() <= BROADCAST_TEXTS:  # then the texts needn't be shuffled
         removed = F.broadcast(removed)
     kept_lines = F.filter(F.split(text, "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__removed"), line_key(F.col(host_col), x))))
@@ -188,27 +196,27 @@ def quality_filtered(
 
 
 def oracle(line_limit: int = LINE_LIMIT, min_left_share: float = MIN_LEFT_SHARE, min_left_words: int = MIN_LEFT_WORDS) -> str:
-    """DuckDB SQL with the rows of ``quality`` over ``documents``."""
+    """DuckDB SQL with the rows of ``quality`` over ``documents`` (copies counted)."""
     word = r"[^\x20\x09-\x0D]+"
     flat = r"regexp_replace({}, '[\x20\x09-\x0D]+', ' ', 'g')"
     return f"""
-WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
-l AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT doc_id, host, t, line, len(regexp_extract_all(line, '{word}')) AS n,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+l AS (SELECT rid, doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT rid, doc_id, host, t, line, len(regexp_extract_all(line, '{word}')) AS n,
          trim(regexp_replace(lower({flat.format('line')}), '[0-9]', '0', 'g')) AS norm
        FROM l WHERE regexp_matches(line, '{word}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i+{REPEAT_WINDOW - 1}], ' ') AS w FROM d, unnest(range(1, greatest(len(ws) - {REPEAT_WINDOW - 2}, 1))) AS r(i)),
-rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, range({REPEAT_WINDOW}) AS g(k) GROUP BY doc_id),
-perdoc AS (SELECT doc_id, host, t, norm, sum(n) AS n FROM lw GROUP BY ALL),
-pertext AS (SELECT host, t, norm, min(doc_id) AS doc_id, max(n) AS n FROM perdoc GROUP BY host, t, norm),
-freq AS (SELECT host, norm, count(*) AS n_texts, arg_min(t, doc_id) AS keeper FROM pertext GROUP BY host, norm HAVING count(*) > {line_limit}),
-rem AS (SELECT p.host, p.t, sum(p.n) AS removed_words FROM pertext p JOIN freq f ON p.host IS NOT DISTINCT FROM f.host AND p.norm = f.norm AND p.t <> f.keeper GROUP BY p.host, p.t),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY rid),
+wd AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+win AS (SELECT rid, i, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER o" for k in range(1, REPEAT_WINDOW))}) AS w FROM wd
+        WINDOW o AS (PARTITION BY rid ORDER BY i) QUALIFY lead(w, {REPEAT_WINDOW - 1}) OVER o IS NOT NULL),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, w) > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM rep, range({REPEAT_WINDOW}) AS g(k) GROUP BY rid),
+freq AS (SELECT host, norm FROM lw GROUP BY host, norm HAVING count(DISTINCT {{'id': doc_id, 'text': CASE WHEN doc_id IS NULL THEN t END}}) > {line_limit}),
+rem AS (SELECT rid, sum(n) AS removed_words FROM lw JOIN freq f ON lw.host IS NOT DISTINCT FROM f.host AND lw.norm = f.norm GROUP BY rid),
 s AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(d.t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
         length(regexp_replace(d.t, '[^{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
-      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN rem r ON d.host IS NOT DISTINCT FROM r.host AND d.t = r.t),
+      FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN rem USING (rid)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, removed_words::BIGINT AS removed_words,

@@ -1,3 +1,5 @@
+import re
+
 from lumenframe.llm import linefreq as L
 
 from .util import duck, table
@@ -30,29 +32,53 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "extra", "extra") for r in rows], SCHEMA)
 
 
+def judged(rows):
+    """Every row as a list whose nulls sort."""
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
 def test_matches_sql_at_small_limits(spark):
-    unique = [r for i, r in enumerate(ROWS) if r not in ROWS[:i]]
-    docs = frame(spark, unique)
-    for limit, share, words in ((2, 0.6, 5), (1, 0.9, 40), (100, 0.3, 5)):
-        got = sorted(map(tuple, L.quality(docs, line_limit=limit, min_left_share=share, min_left_words=words).collect()))
-        want = sorted(duck(L.oracle(limit, share, words), documents=table(docs)))
-        assert got == want
-    removed = {r.doc_id: r.removed_words for r in L.quality(docs, line_limit=2).collect()}
-    assert removed[2] == 0 and removed[3] == 10  # the smallest id keeps the line
+    docs = frame(spark, [*ROWS, (None, BODY[0] + "\n" + BOILER, "h"), (None, "", None)])
+    for limit, share, words in ((2, 0.6, 5), (4, 0.6, 5), (1, 0.9, 40), (100, 0.3, 5)):
+        got = judged(L.quality(docs, line_limit=limit, min_left_share=share, min_left_words=words).collect())
+        assert got == judged(duck(L.oracle(limit, share, words), documents=table(docs)))
+
+
+def norm(line):
+    return " ".join(re.sub("[0-9]", "0", line.lower()).split())
+
+
+def test_documents_against_brute_force(spark):
+    docs = frame(spark, ROWS)
+    holders = {}
+    for i, text, host in ROWS:
+        for line in (text or "").split("\n"):
+            holders.setdefault((host, norm(line)), set()).add(i)
+    for limit in (2, 5, 6):
+        want = sorted((i, sum(len(x.split()) for x in (t or "").split("\n") if len(holders[h, norm(x)]) > limit and norm(x))) for i, t, h in ROWS)
+        assert sorted((r.doc_id, r.removed_words) for r in L.quality(docs, line_limit=limit).collect()) == want
+    assert any(n for _, n in want) is False  # six documents of the host hold the line, so none is above six
+    copies = frame(spark, [(k, BODY[0], "h") for k in range(5)])
+    assert not any(r.kept for r in L.quality(copies, line_limit=4).collect())
+    assert all(r.kept for r in L.quality(copies, line_limit=5).collect())
+    assert all(r.kept for r in L.quality(copies, line_limit=4, count_copies=False).collect())
 
 
 def test_repeated_rows_and_filter(spark):
     docs = frame(spark, ROWS)
-    rows = L.quality(docs, line_limit=2).collect()
+    rows = L.quality(docs, line_limit=2, count_copies=False).collect()
     assert len(rows) == len(ROWS)
-    twice = [tuple(r) for r in rows if r.doc_id == 6]
-    assert len(twice) == 2 and twice[0] == twice[1]
-    kept = sorted(r.doc_id for r in rows if r.kept)
-    out = L.quality_filtered(docs, line_limit=2)
-    assert out.columns == docs.columns
-    texts = {r.doc_id: r.text for r in out.collect()}
-    assert sorted(texts) == kept
-    assert texts[2] == ROWS[2][1] and texts[4] == BODY[2]
+    removed = {r.doc_id: r.removed_words for r in rows}
+    assert removed[2] == 0 and removed[3] == 10 and removed[6] == 40  # the smallest id keeps the line
+    for copies in (False, True):
+        rows = L.quality(docs, line_limit=2, count_copies=copies).collect()
+        twice = [tuple(r) for r in rows if r.doc_id == 6]
+        assert len(twice) == 2 and twice[0] == twice[1]
+        out = L.quality_filtered(docs, line_limit=2, count_copies=copies)
+        assert out.columns == docs.columns
+        texts = {r.doc_id: r.text for r in out.collect()}
+        assert sorted(texts) == sorted(r.doc_id for r in rows if r.kept)
+        assert texts[2] == (BODY[0] if copies else ROWS[2][1]) and texts[4] == BODY[2]
 
 
 def test_empty_table(spark):
