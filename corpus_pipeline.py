@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes it as Parquet and reads it again as
 the docs of the next stage.
 
-1. quality_rules: documents that the rules reject go; boilerplate lines are cut from the others.
+1. quality_rules: documents that the rules reject go; boilerplate lines are cut from the others.  Exact copies count as
+   one document here and one text keeps a frequent line, so that the next stage still finds one document of each group.
 2. near_duplicates: one document of each near-duplicate group stays (the smallest id).
 3. secret_scans: secrets in the texts are replaced by their kind.
 4. source_mix: documents are repeated or left out so that sources meet their target weights.
@@ -24,7 +25,7 @@ from lumenframe.llm.tables import bound_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_filtered(docs)
+    return quality_filtered(docs, count_copies=False)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
