@@ -100,11 +100,22 @@ def remove_equal(a: DataFrame, b: DataFrame) -> DataFrame:
 def remove_keys(a: DataFrame, keys: DataFrame, needed: tuple[str, ...] = ()) -> DataFrame:
     """The tree without the paths (and whole branches) in ``keys`` (path); needed ones stay."""
     gone = keys.select(F.lower("path").alias("__gone")).distinct()
-    hit = (F.col("path_lc") == F.col("__gone")) | F.startswith(F.col("path_lc"), F.concat("__gone", F.lit("/")))
-    kept = [n.lower() for n in needed]
-    free = ~F.col("path_lc").isin(kept) if kept else F.lit(True)
-    # keys are named by a caller, so they are few
-    return a.join(F.broadcast(gone), hit & free, "left_anti")
+    parts = F.split("path_lc", "/")
+    branches = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    # of each path its branches are looked up, so keys of any number are joined by value
+    hit = a.select("path_lc").distinct().select(F.col("path_lc").alias("__hit"), F.explode(branches).alias("__gone")).join(gone, "__gone", "left_semi")
+    if needed:
+        hit = hit.filter(~F.col("__hit").isin([n.lower() for n in needed]))
+    return a.join(hit.select("__hit").distinct(), F.col("path_lc") == F.col("__hit"), "left_anti")
+
+
+def require(props: DataFrame, owners: DataFrame, names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Move leaves to other paths (``names``: old to new): the new tree, and (owner, path) of each old leaf that an owner lacks or has empty."""
+    gaps = missing(props, owners, tuple(names))
+    out = props
+    for old, new in names.items():
+        out = rename(out, old, new)
+    return out, gaps
 
 
 def find(props: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def formats_for(name: str, suffix: str = "", dialect: str = "") -> list[Format]:
 
 
 def decode_file(name: str, data: bytes, suffix: str = "", dialect: str = "") -> tuple[list[Chunk], str | None]:
-    """Chunks of a file, or the reason why there are none; archives are opened."""
+    """Chunks of a file and the reason why there are none; of an archive, its readable members and the reasons of the others."""
     if not suffix and archive.is_archive(name):
         try:
             chunks, reasons = [], []
@@ -69,7 +70,7 @@ def decode_file(name: str, data: bytes, suffix: str = "", dialect: str = "") ->
                 chunks += got
                 if why:
                     reasons.append(why)
-            return chunks, None if chunks else "; ".join(reasons) or "the archive is empty"
+            return chunks, "; ".join(reasons) or (None if chunks else "the archive is empty")
         except FormatError as e:
             return [], f"{name}: {e}"
     reasons = []
@@ -82,20 +83,30 @@ def decode_file(name: str, data: bytes, suffix: str = "", dialect: str = "") ->
 
 
 RESULT = SCHEMA + ", error string"
+#: Voxels of an Arrow batch, about; a larger chunk is a batch of its own.
+BATCH_VOXELS = 1 << 22
 
 
 def scan(spark: SparkSession, paths: list[str] | str, suffix: str = "", dialect: str = "") -> DataFrame:
-    """Chunks of files and of the files directly in folders, one row each; a file that no format reads gives an error row."""
+    """Chunks of files and of the files directly in folders, one row each; what no format reads (a file, members of an archive) gives an error row."""
     # whole files stand in a row, so a batch holds few
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = RESULT_ARROW
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 chunks, error = decode_file(path, content.as_py(), suffix, dialect)
-                rows = [(*c.row(c.props.get("source", path), k), None) for k, c in enumerate(chunks)] or [(path, 0, *[None] * (len(schema) - 3), error)]
-                yield pa.RecordBatch.from_pylist([_named(schema, r) for r in rows], schema=schema)
+                batch, voxels = [], 0
+                for k, c in enumerate(chunks):
+                    if batch and voxels + c.voxels.size > BATCH_VOXELS:
+                        yield _arrow(batch)
+                        batch, voxels = [], 0
+                    batch.append((c.head(c.props.get("source", path), k), c.voxels, None))
+                    voxels += c.voxels.size
+                if error:
+                    batch.append(((path, len(chunks), *[None] * (len(RESULT_ARROW) - 4)), None, error))
+                if batch:
+                    yield _arrow(batch)
 
     return files.mapInArrow(run, RESULT)
 
@@ -108,6 +119,17 @@ def _arrow_schema() -> pa.Schema:
 
 
 RESULT_ARROW = _arrow_schema()
+HEAD_ARROW = pa.schema(list(RESULT_ARROW)[:-2])
+
+
+def _arrow(rows: list[tuple[tuple, np.ndarray | None, str | None]]) -> pa.RecordBatch:
+    """(head, voxels, error) of each row as a batch; voxels go from their arrays to Arrow without Python numbers."""
+    heads = pa.RecordBatch.from_pylist([_named(HEAD_ARROW, h) for h, _, _ in rows], schema=HEAD_ARROW)
+    flat = [np.asarray(v, np.float64).reshape(-1) for _, v, _ in rows if v is not None]
+    ends = np.cumsum([0 if v is None else v.size for _, v, _ in rows], dtype=np.int32)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([v is None for _, v, _ in rows] + [False]))
+    voxels = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0)))
+    return pa.RecordBatch.from_arrays([*heads.columns, voxels.cast(RESULT_ARROW.field("voxels").type), pa.array([e for _, _, e in rows], pa.string())], schema=RESULT_ARROW)
 
 
 def _named(schema: pa.Schema, row: tuple) -> dict:
@@ -178,7 +200,10 @@ def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str =
 
 
 class ChunkSource(DataSource):
-    """``spark.read.format("chunks").option("dialect", ...).load(path)`` for local or mounted folders."""
+    """``spark.read.format("chunks").option("dialect", ...).load(path)`` for local or mounted folders.
+
+    A file, or a member of an archive, that no format reads ends the query, unless the option ``ignoreErrors`` is true.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -205,7 +230,7 @@ class _ChunkReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, "rb") as f:
             chunks, error = decode_file(partition.value, f.read(), self.options.get("suffix", ""), self.options.get("dialect", ""))
-        if error:
+        if error and self.options.get("ignoreErrors", "false").lower() != "true":
             raise FormatError(error)
         for k, c in enumerate(chunks):
             yield c.row(partition.value, k)

@@ -40,13 +40,17 @@ class Chunk:
     repetitionTime: float | None = None
     props: dict[str, str] = field(default_factory=dict)
 
-    def row(self, source: str, part: int) -> tuple:
+    def head(self, source: str, part: int) -> tuple:
+        """The row without its voxels."""
         v = lambda x: None if x is None else tuple(float(k) for k in x)
         return (
             source, part, self.type_id, tuple(int(d) for d in self.dims), self.sequenceNumber, self.acquisitionNumber, self.acquisitionTime,
-            *[v(getattr(self, n)) for n in VECTORS], self.repetitionTime, self.props, self.voxels.astype(float).tolist(),
+            *[v(getattr(self, n)) for n in VECTORS], self.repetitionTime, self.props,
         )
 
+    def row(self, source: str, part: int) -> tuple:
+        return (*self.head(source, part), self.voxels.astype(float).tolist())
+
 
 def chunk_of(row) -> Chunk:
     """A chunk from a row of the schema."""

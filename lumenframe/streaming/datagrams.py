@@ -70,7 +70,7 @@ def reassemble(datagrams: DataFrame, timeout_ms: int | None = 60_000) -> DataFra
             state.remove()
             yield pd.DataFrame(out, columns=names)
             return
-        open_record = tuple(state.get) if state.exists else None
+        open_record = (*state.get[:5], bytearray(state.get[5])) if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for payload in rows["payload"]:
             payload = bytes(payload)
@@ -81,15 +81,15 @@ def reassemble(datagrams: DataFrame, timeout_ms: int | None = 60_000) -> DataFra
                 if payload.startswith(HEADER):
                     f = parse_header(payload)
                     number = lambda k, d: int(f[k]) if f.get(k, "").lstrip("-").isdigit() else d  # noqa: E731, B023
-                    open_record = (number("acquisition", 0), number("columns", 0), number("rows", 0), number("images", 1), number("data_size_in_bytes", 0), b"")
+                    open_record = (number("acquisition", 0), number("columns", 0), number("rows", 0), number("images", 1), number("data_size_in_bytes", 0), bytearray())
                 continue
             if open_record:
-                open_record = (*open_record[:5], bytes(open_record[5]) + payload)
+                open_record[5].extend(payload)  # grows in place, so many parts cost no more than their bytes
                 if len(open_record[5]) >= open_record[4]:
                     out.append(emit(sender, open_record, True))
                     open_record = None
         if open_record:
-            state.update(open_record)
+            state.update((*open_record[:5], bytes(open_record[5])))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
         elif state.exists:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
-from lumenframe.operators import assemble, diff, filters, image, props
+from lumenframe.operators import assemble, diff, filters, image, props, steps
 from lumenframe.plans.bindings import dims
 from lumenframe.sources import null
 
@@ -173,3 +173,33 @@ def test_data_set_difference(spark):
     assert sorted(map(tuple, m.collect())) == [(0, 10), (2, 11)]
     assert sorted(map(tuple, diff.unmatched(left, right, m).collect())) == [("left", 1), ("right", 12)]
     assert diff.nth(left, 1).first().image_id == 1
+
+
+def test_removed_keys_take_their_branches(spark):
+    a = tree(spark, [("Test1", "s32bit", "1"), ("sub/Test2", "string", "x"), ("sub/deep/Name", "string", "n"), ("subway", "string", "s"), ("other/sub", "string", "o")])
+    gone = lambda keys, needed=(): sorted(r.path for r in props.remove_keys(a, spark.createDataFrame([(k,) for k in keys], "path string"), needed).collect())
+    assert gone(["SUB"]) == ["Test1", "other/sub", "subway"]
+    assert gone(["sub/deep", "test1", None]) == ["other/sub", "sub/Test2", "subway"]
+    assert gone(["sub", "test1"], ("Test1", "sub/deep/name")) == ["Test1", "other/sub", "sub/deep/Name", "subway"]
+    assert len(gone([])) == 5
+
+
+def test_required_leaves(spark):
+    a = tree(spark, [("Test1", "s32bit", "1"), ("Test5", "string", None)])
+    out, gaps = props.require(a, a, {"test1": "moved", "gone": "elsewhere"})
+    assert sorted(r.path for r in out.collect()) == ["Test5", "moved"] and [r.path for r in gaps.collect()] == ["gone"]
+
+
+def test_steps(spark):
+    d, other = spark.range(6), spark.range(3)
+    seen = []
+    step = steps.Step(
+        "among", lambda df, p, i: (df.filter(F.col("id") >= p["least"]).join(i["mask"], "id"), {"least": p["least"]}),
+        {"least": steps.REQUIRED, "unused": 1}, ("mask",), lambda p, _: "least is negative" if p["least"] < 0 else None,
+    )
+    out, results = step.run(d, {"least": 1}, {"mask": other}, lambda *x: seen.append(x))
+    assert sorted(r.id for r in out.collect()) == [1, 2] and results == {"least": 1} and seen == [("among", "started"), ("among", "finished")]
+    assert d.transform(step.transform({"mask": other}, least=2)).count() == 1
+    for given, inputs, word in (({}, {"mask": other}, "without"), ({"least": 1}, {}, "not given"), ({"least": 1, "x": 2}, {"mask": other}, "unknown"), ({"least": -1}, {"mask": other}, "negative")):
+        with pytest.raises(steps.StepError, match=word):
+            step.run(d, given, inputs)

@@ -177,3 +177,24 @@ def test_datagrams_are_received_in_order():
     reader.socket.close()
     assert D.parse_header(b"<data_block_header>\n a = 1 \nb=x y\n") == {"a": "1", "b": "x y"}
     assert F is not None
+
+
+def test_unreadable_members_and_batches(spark, tmp_path):
+    with tarfile.open(f"{tmp_path}/x.tar", "w") as t:
+        for name, body in (("a.raw", b"abcd"), ("bad.raw", b"abc"), ("c.raw", bytes(range(16)))):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    rows = sorted(load.scan(spark, str(tmp_path)).collect(), key=lambda r: r.part)
+    assert [r.voxels for r in rows] == [[97.0, 98.0, 99.0, 100.0], [float(k) for k in range(16)], None]
+    assert [r.error is None for r in rows] == [True, True, False] and "bad.raw" in rows[2].error
+    assert load.load(spark, str(tmp_path)).count() == 2 and load.failures(spark, str(tmp_path)).count() == 1
+
+
+def test_voxels_as_arrow():
+    head = Chunk(np.arange(4, dtype="i2"), (4, 1, 1, 1), "s16bit", props={"k": "v"}).head("s", 0)
+    none = (("s", 1, *[None] * (len(head) - 2)), None, "why")
+    empty = (head, np.zeros(0, "u1"), None)
+    got = load._arrow([none, (head, np.arange(4, dtype="i2"), None), empty, none]).to_pylist()
+    assert [r["voxels"] for r in got] == [None, [0.0, 1.0, 2.0, 3.0], [], None] and [r["error"] for r in got] == ["why", None, None, "why"]
+    assert load._arrow([none]).to_pylist()[0]["voxels"] is None and dict(got[1]["props"]) == {"k": "v"}
