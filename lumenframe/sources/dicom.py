@@ -53,7 +53,7 @@ def tags(data: bytes) -> tuple[dict[str, str], bytes]:
             size = struct.calcsize(NUMERIC[vr])
             out[named] = "\\".join(f"{v:g}" if isinstance(v, float) else str(v) for v in struct.unpack(f"<{n // size}{NUMERIC[vr]}", body[: n // size * size]))
         elif vr in LONG:
-            out[named] = body[:64].hex()
+            out[named] = body.hex()
         else:
             out[named] = body.decode("latin-1").rstrip("\0 ")
         if (group, element) == (2, 0x10):

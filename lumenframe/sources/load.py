@@ -218,7 +218,7 @@ class ChunkSource(DataSource):
 
 class _ChunkReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
+        self.options = {k.lower(): v for k, v in options.items()}  # Spark hands names in lower case
 
     def partitions(self) -> list[InputPartition]:
         from pathlib import Path
@@ -230,7 +230,7 @@ class _ChunkReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, "rb") as f:
             chunks, error = decode_file(partition.value, f.read(), self.options.get("suffix", ""), self.options.get("dialect", ""))
-        if error and self.options.get("ignoreErrors", "false").lower() != "true":
+        if error and self.options.get("ignoreerrors", "false").lower() != "true":
             raise FormatError(error)
         for k, c in enumerate(chunks):
             yield c.row(partition.value, k)

@@ -117,7 +117,7 @@ class _DatagramReader(SimpleDataSourceStreamReader):
     """Datagrams can't be asked for again, so what was received is kept until its batch is committed."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.options, self.socket, self.kept, self.next = options, None, {}, 0
+        self.options, self.socket, self.kept, self.next = {k.lower(): v for k, v in options.items()}, None, {}, 0
 
     def initialOffset(self) -> dict:
         return {"seq": 0}
@@ -128,7 +128,7 @@ class _DatagramReader(SimpleDataSourceStreamReader):
             self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
             self.socket.bind((self.options.get("host", "127.0.0.1"), int(self.options.get("port", PORT))))
             self.socket.setblocking(False)
-        for _ in range(int(self.options.get("maxDatagrams", "10000"))):
+        for _ in range(int(self.options.get("maxdatagrams", "10000"))):
             try:
                 payload, address = self.socket.recvfrom(MOST_BYTES)
             except BlockingIOError:

@@ -189,6 +189,17 @@ def test_unreadable_members_and_batches(spark, tmp_path):
     assert [r.voxels for r in rows] == [[97.0, 98.0, 99.0, 100.0], [float(k) for k in range(16)], None]
     assert [r.error is None for r in rows] == [True, True, False] and "bad.raw" in rows[2].error
     assert load.load(spark, str(tmp_path)).count() == 2 and load.failures(spark, str(tmp_path)).count() == 1
+    spark.dataSource.register(load.ChunkSource)
+    source = spark.read.format("chunks")
+    assert source.option("ignoreErrors", "true").load(str(tmp_path)).count() == 2
+    with pytest.raises(Exception, match="bad.raw"):
+        source.option("ignoreErrors", "false").load(str(tmp_path)).collect()
+
+
+def test_long_dicom_values_are_whole():
+    body = bytes(range(200))
+    got, _ = dicom.tags(bytes(128) + b"DICM" + element(0x0029, 0x1010, b"OB", body) + element(0x0010, 0x0010, b"PN", b"name"))
+    assert got["(0029,1010)"] == body.hex()
 
 
 def test_voxels_as_arrow():
