@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chroma, circulant, crf, lattice, linefreq, mixing, packing, template, urltree
+from lumenframe.llm import blockmax, chroma, circulant, crf, lattice, linefreq, mixing, packing, smallworld, template, urltree, veccodes
 from lumenframe.llm.secrets import scan_secrets
 from lumenframe.llm.tables import bound_batches, settle
 
@@ -76,9 +76,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_small_world_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smallworld.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chroma_fingerprints, op2_source_mix, op3_url_templates, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chroma_fingerprints, op2_source_mix, op3_url_templates, op4_circulant_minhash, op5_toxic_spans, op6_line_frequency, op7_secret_scan, op8_template_extraction, op9_subword_lattice, op10_best_fit_packing, op11_small_world_graphs, op12_block_max_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_circulant_minhash": circulant.oracle(), "op6_line_frequency": linefreq.oracle()}
+    return {"op4_circulant_minhash": circulant.oracle(), "op6_line_frequency": linefreq.oracle(), "op12_block_max_search": blockmax.oracle(), "op13_vector_codes": veccodes.oracle()}
