@@ -140,6 +140,7 @@ def link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndar
     extra = np.full((len(ends), min(int(count.max(initial=0)), most)), -1, np.int64)
     fits = place < extra.shape[1]
     extra[at[fits], place[fits]] = source[fits]
+    extra[(links[ends][:, :, None] == extra[:, None, :]).any(axis=1)] = -1  # nodes of one block may have chosen each other
     both = np.concatenate([links[ends], extra], axis=1)
     near = np.full(both.shape, -np.inf, np.float32)
     row, column = np.nonzero(both >= 0)
