@@ -33,12 +33,60 @@ def max_bytes(chunks: DataFrame, group: str = "image_id") -> DataFrame:
     return chunks.groupBy(group).agg(F.max(size).alias("bytes"))
 
 
-def converted(chunks: DataFrame, target: str, mode: str = "autoscale", group: str = "image_id", source: str = "double") -> DataFrame:
-    """Chunks in one type, with one scaling for the whole image (from the range of all its chunks)."""
-    ranges = chunks.select(group, S.array_range(F.col("voxels")).alias("r")).groupBy(group).agg(F.min("r.low").alias("__lo"), F.max("r.high").alias("__hi"))
+def _dynamic_scaling(low: Column, high: Column, source: Column, target: str, mode: str) -> Column:
+    """The scaling into ``target`` for a source type that each row names: whole numbers and real ones differ in whether they may be enlarged."""
+    whole = source.isin([n for n in NUMBERS if of(n).is_integer])
+    kinds = [S.scaling(low, high, k, target, mode) for k in ("s32bit" if target != "s32bit" else "s16bit", "double" if target != "double" else "float")]
+    return F.when(whole, kinds[0]).otherwise(kinds[1])
+
+
+def conversion(chunks: DataFrame, target: str | None = None, mode: str = "autoscale", group: str = "image_id", order: str = "lookup") -> DataFrame:
+    """(group, target, low, high, source, scale, offset, error): what it takes to bring each image into one type.
+
+    Ranges and first places are taken by (image, type), so an image is a few short rows from then on.  They tell the range of all chunks, the types of its
+    ends, and the first chunk that isn't of the target type, whose type decides the scaling.  Without ``target`` images go to their major type: their
+    only one, or that of one end which holds the other; if neither does, ``error`` says so.  An image wholly of the target type has scale 1 and offset 0.
+    """
+    place = F.col(order) if order in chunks.columns else F.lit(0)
+    rows = chunks.select(group, "type_id", place.alias("at"), S.array_range(F.col("voxels")).alias("r"))  # chunks without a finite voxel have a type but no range
+    by_type = rows.groupBy(group, "type_id").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"), F.min("at").alias("at"))
+    end = lambda n: F.when(F.col(n).isNotNull(), F.struct(n, "type_id"))
+    d = by_type.groupBy(group).agg(
+        F.min("low").alias("low"), F.min_by("type_id", end("low")).alias("low_type"), F.max("high").alias("high"), F.max_by("type_id", end("high")).alias("high_type"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "type_id"))), lambda x: x["type_id"]).alias("types"),
+    )
+    if target is None:
+        major = S.major_type(F.col("low"), F.col("low_type"), F.col("high"), F.col("high_type"), NUMBERS)
+        d = d.withColumn("target", F.when((F.size("types") == 1) | F.col("low").isNull(), F.get("types", F.lit(0))).otherwise(major))
+    else:
+        d = d.withColumn("target", F.lit(target))
+    d = d.withColumn("source", F.get(F.filter("types", lambda x: x != F.col("target")), F.lit(0)))
+    s = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"))
+    for name in NUMBERS if target is None else [target]:
+        s = F.when((F.col("target") == name) & F.col("source").isNotNull() & F.col("low").isNotNull(), _dynamic_scaling(F.col("low"), F.col("high"), F.col("source"), name, mode)).otherwise(s)
+    error = F.when(F.col("target").isNull(), F.concat(F.lit("no type of "), F.array_join(F.array_sort("types"), ", "), F.lit(" holds both ends")))
+    return d.withColumn("s", F.when(error.isNull(), s)).select(group, "target", "low", "high", "source", "s.scale", "s.offset", error.alias("error"))
+
+
+def converted(chunks: DataFrame, target: str | None, mode: str = "autoscale", group: str = "image_id") -> DataFrame:
+    """Chunks in one type (without ``target`` the image's major type), with one scaling for the whole image.
+
+    Chunks of the target type are passed on untouched, whatever the mode.  Chunks of an image without a major type stay as they are.
+    """
+    made = conversion(chunks, target, mode, group).select(group, F.col("target").alias("__t"), F.col("scale").alias("__s"), F.col("offset").alias("__o"))
     # one short row per image; the chunks don't move unless it is large
-    d = chunks.join(ranges, group).withColumn("__s", S.scaling(F.col("__lo"), F.col("__hi"), source, target, mode))
-    return d.withColumns({"voxels": S.convert_array(F.col("voxels"), target, F.col("__s.scale"), F.col("__s.offset")), "type_id": F.lit(target)}).drop("__lo", "__hi", "__s")
+    d = chunks.join(made, group)
+    out = F.col("voxels")
+    element = chunks.schema["voxels"].dataType.elementType.simpleString()
+    if target is not None:  # one carrier for the whole column: that of the target
+        fits = S.convert_array(F.col("voxels"), target)
+        moved = S.convert_array(F.col("voxels"), target, F.col("__s"), F.col("__o"))
+        out = F.when(F.col("type_id") == F.col("__t"), fits).otherwise(moved)
+    else:  # images of several types in one column keep its carrier
+        for name in NUMBERS:
+            moved = F.transform(S.convert_array(F.col("voxels"), name, F.col("__s"), F.col("__o")), lambda x: x.cast(element))
+            out = F.when((F.col("__t") == name) & (F.col("type_id") != name), moved).otherwise(out)
+    return d.withColumns({"voxels": out, "type_id": F.coalesce("__t", "type_id")}).drop("__t", "__s", "__o")
 
 
 def chunk_with_image(chunks: DataFrame, common: DataFrame, names: list[str]) -> DataFrame:
@@ -85,7 +133,7 @@ def auto_splice(chunks: DataFrame, stride: int = 1) -> DataFrame:
     """The highest dimension cut apart: a chunk per part, its origin moved along and its acquisition number raised."""
     d = chunks.withColumn("__top", A.relevant_dims(F.col("dims")))
     dims = F.col("dims")
-    count = F.when(F.col("__top") == 4, dims["t"]).when(F.col("__top") == 3, dims["s"]).when(F.col("__top") == 2, dims["r"]).otherwise(dims["c"])
+    count = splice_parts(dims)
     less = F.struct(*[F.when(F.col("__top") == k + 1, 1).otherwise(dims[a]).alias(a) for k, a in enumerate(A.AXES)])
     block = (F.size("voxels") / count).cast("int")
     d = d.select("*", F.posexplode(A.splice(F.col("voxels"), block)).alias("__i", "__v"))
@@ -100,6 +148,30 @@ def auto_splice(chunks: DataFrame, stride: int = 1) -> DataFrame:
     return d.withColumns({"voxels": F.col("__v"), "dims": less, "indexOrigin": moved, "acquisitionNumber": F.col("acquisitionNumber") + F.lit(stride) * F.col("__i")}).drop("__top", "__i", "__v")
 
 
+def splice_parts(dims: Column) -> Column:
+    """Into how many chunks the highest dimension is cut."""
+    top = A.relevant_dims(dims)
+    return F.when(top == 4, dims["t"]).when(top == 3, dims["s"]).when(top == 2, dims["r"]).otherwise(dims["c"])
+
+
+def splice_properties(tree: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The property tree of spliced chunks: (owner, part, path, idx, type, value), and (owner, path, length, parts) of the lists that were dropped.
+
+    ``parts`` says for each owner into how many chunks it is cut.  Every chunk gets all single values; a list is dealt out in equal runs, one to a chunk, if its
+    length is a multiple of the number of chunks, and dropped else.  Each list value goes to one chunk; only single values are repeated.
+    """
+    counted = tree.join(parts.select("owner", F.col("parts").alias("__n")), "owner")
+    length = F.max(F.col("idx") + 1).over(Window.partitionBy("owner", "path_lc"))
+    d = counted.withColumn("__len", length)
+    is_list, fits = F.col("__len") > 1, F.col("__len") % F.col("__n") == 0
+    run = F.floor(F.col("__len") / F.col("__n")).cast("int")
+    all_parts = F.sequence(F.lit(0), F.col("__n").cast("int") - 1)
+    dealt = d.filter(~is_list | fits).withColumn("part", F.explode(F.when(is_list, F.array(F.floor(F.col("idx") / run).cast("int"))).otherwise(all_parts)))
+    dealt = dealt.withColumn("idx", F.when(is_list, F.col("idx") % run).otherwise(F.col("idx")).cast("int"))
+    dropped = d.filter(is_list & ~fits & (F.col("idx") == 0)).select("owner", "path", F.col("__len").alias("length"), F.col("__n").alias("parts"))
+    return dealt.select("owner", "part", "path", "path_lc", "idx", "type", "value"), dropped
+
+
 def splice_down_to(chunks: DataFrame, dim: int) -> DataFrame:
     """Chunks of at most ``dim`` dimensions (all with as many as the first to begin with are cut alike)."""
     d, stride = chunks, 1
@@ -119,6 +191,28 @@ def flipped_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("__last", last).withColumn("lookup", F.col("__last") - F.col("lookup")).drop("__last")
 
 
+def swapped_properties(chunks: DataFrame, images: DataFrame, axis: str, carried: tuple[str, ...] = ("voxels",)) -> DataFrame:
+    """Chunks along one axis of the image exchange their properties, first with last, and keep what is ``carried``.
+
+    Only for axes above the chunks' own dimensions, where an image has more than one chunk; others keep their place.  The mirrored place follows
+    from the image's and the chunk's dims, so chunks meet properties by (image_id, lookup).  A chunk without a partner keeps its own.
+    """
+    k = A.AXES.index(axis)
+    sizes = images.select("image_id", F.col("dims").alias("__image"))
+    d = chunks.join(sizes, "image_id")
+    along = [F.floor(F.col("__image")[a] / F.col("dims")[a]).cast("long") for a in A.AXES]
+    below = F.lit(1).cast("long")
+    for n in along[:k]:
+        below = below * n
+    here = F.floor(F.col("lookup") / below).cast("long") % along[k]
+    mirrored = F.col("lookup") + below * (along[k] - 1 - 2 * here)
+    names = [c for c in chunks.columns if c not in ("image_id", "lookup", *carried)]
+    moved = d.select("image_id", mirrored.alias("lookup"), F.struct(*names).alias("__moved"))
+    both = chunks.join(moved, ["image_id", "lookup"], "left")
+    given = F.col("__moved").isNotNull()
+    return both.select(*[F.when(given, F.col("__moved")[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in chunks.columns])
+
+
 def size_text(dims: Column) -> Column:
     return F.concat_ws("x", *[dims[a].cast("string") for a in A.AXES])
 

@@ -29,16 +29,17 @@ def _stride(b: str) -> str:
     return f"CASE WHEN n >= 4 * {b} THEN CASE WHEN o[{b} + 1] = o[1] THEN {b} ELSE coalesce({near}, n // ts) END WHEN n % {b} <> 0 THEN n - n % {b} ELSE n // ts END"
 
 
-def _shape() -> str:
+def shape_sql(below: int = 0) -> str:
+    """Shape of the images whose chunks of one voxel are laid along the dimensions from ``below`` on."""
     d = f"SELECT image_id, count(*) AS n, max(depth) AS ts, list(z ORDER BY lookup) AS o, 4 - (max(depth) > 1)::INTEGER AS sd FROM ({LOOKUP}) GROUP BY image_id"
     size = "1"
     for i, a in enumerate("crst"):
-        d = f"SELECT *, CASE WHEN {i} < sd THEN ({_stride(size)}) // ({size}) ELSE 1 END::BIGINT AS n_{a} FROM ({d})"
+        d = f"SELECT *, CASE WHEN {i} >= {below} AND {i} < sd THEN ({_stride(size)}) // ({size}) ELSE 1 END::BIGINT AS n_{a} FROM ({d})"
         size = f"({size} * n_{a})" if i else "n_c"
     return f"SELECT image_id, n_c::INTEGER AS c, n_r::INTEGER AS r, n_s::INTEGER AS s, CASE WHEN ts > 1 THEN ts ELSE n_t END::INTEGER AS t, n AS chunk_count, ts AS timesteps, n_c * n_r * n_s * CASE WHEN ts > 1 THEN ts ELSE n_t END = n AS clean FROM ({d})"
 
 
-@register("assemble_images", _shape())
+@register("assemble_images", shape_sql())
 def assemble_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = AS.assemble(event_chunks(spark, sf_dir)).images
     return i.select("image_id", "dims.*", "chunk_count", "timesteps", "clean")

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lumenframe.plans import files, registry, scalars, trees, values  # noqa: F401
+from lumenframe.plans import files, registry, scalars, structures, trees, values  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
