@@ -17,6 +17,7 @@ Rows with equal ids count as separate documents.  An empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ SHARD_SLOTS = 4096
 TASK_SHARDS = 256
 #: Rows of sources that are broadcast at most.
 BROADCAST_SOURCES = 100_000
-#: Draws from more slots than this are split in proportion first (the sampler's own limit is 10**9).
+#: The random generator's limit of slots in one draw; draws from more are made here.
 MOST_DRAWN = 10**9 - 1
 MAX_REPEATS = 3
 SEED = 20240501
@@ -93,15 +94,51 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _ln_factorial_ratio(n: float, k: float) -> float:
+    """ln((n + k)! / n!), by differences of Stirling's series for large n, so that the terms that cancel are never formed."""
+    if min(n, n + k) < 1000:
+        return math.lgamma(n + k + 1) - math.lgamma(n + 1)
+    step = math.log1p(k / n)
+    return k * math.log(n) - k + (n + k + 0.5) * step + (1 / (n + k) - 1 / n) / 12
+
+
+def hypergeometric(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """How many of ``drawn`` from good + bad are good, of any size.
+
+    Within the generator's limit by the generator, else by ratio of uniforms under a hat around the mode: a point is taken with exactly the odds of
+    its probability to the mode's, so the draw has the same distribution on both sides of the limit.
+    """
+    if max(good, bad, drawn) <= MOST_DRAWN and good + bad <= MOST_DRAWN:
+        return int(rng.hypergeometric(good, bad, drawn)) if good + bad else 0
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    middle = drawn * (good / total) + 0.5
+    spread = math.sqrt(drawn * (good / total) * (bad / total) * ((total - drawn) / (total - 1)) + 0.5)
+    # half width and shift of the hat that covers every distribution with log-concave odds
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u = 1 - rng.random()
+        x = math.floor(middle + width * (rng.random() - 0.5) / u)
+        if low <= x <= high:
+            k = x - mode
+            odds = -sum(_ln_factorial_ratio(n, j) for n, j in ((mode, k), (good - mode, -k), (drawn - mode, -k), (bad - drawn + mode, k)))
+            if 2 * math.log(u) <= odds:
+                return x
+
+
 def _half(left: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
-    """Of ``left`` slots by source, ``want`` drawn without putting back (in proportion, if they are too many to draw)."""
-    total = int(left.sum())
-    if total <= MOST_DRAWN:
+    """Of ``left`` slots by source, ``want`` drawn without putting back, source by source from what the ones before left over."""
+    rest = int(left.sum())
+    if rest <= MOST_DRAWN:
         return rng.multivariate_hypergeometric(left, want, method="marginals")
-    exact = [divmod(int(n) * want, total) for n in left]
-    out = np.array([q for q, _ in exact], np.int64)
-    for k in sorted(range(len(exact)), key=lambda k: -exact[k][1])[: want - int(out.sum())]:
-        out[k] += 1
+    out = np.zeros(len(left), np.int64)
+    for i, n in enumerate(left.tolist()):
+        rest -= n
+        out[i] = hypergeometric(n, rest, want, rng)
+        want -= int(out[i])
     return out
 
 

@@ -61,6 +61,36 @@ def test_draws_beyond_the_sampler_and_without_slots(monkeypatch):
     assert n > 4096 and all(abs(int(M.shard_draw(big, k, n)[0].sum()) - 4096) <= 1 for k in (0, 1, n // 2, n - 1))
 
 
+def test_large_draws_have_the_right_distribution(monkeypatch):
+    """The own sampler against exact probabilities where the generator could draw too, and moments where it can't."""
+    from math import comb
+
+    monkeypatch.setattr(M, "MOST_DRAWN", 0)
+    rng = np.random.default_rng(1)
+    for good, bad, drawn in ((30, 70, 20), (3, 500, 40), (400, 5, 300), (1, 1, 1), (50, 50, 100)):
+        low, high = max(0, drawn - bad), min(good, drawn)
+        want = {k: comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn) for k in range(low, high + 1)}
+        n = 6000
+        got = {}
+        for _ in range(n):
+            k = M.hypergeometric(good, bad, drawn, rng)
+            got[k] = got.get(k, 0) + 1
+        assert set(got) <= set(want)
+        # chi-square over the values that are expected often enough
+        cells = [(got.get(k, 0), n * p) for k, p in want.items() if n * p >= 10]
+        assert sum((o - e) ** 2 / e for o, e in cells) < 3 * len(cells) + 20
+    monkeypatch.undo()
+    slots = [10**9, 3 * 10**9, 50]  # beyond the generator's limit
+    got = np.array([M._half(np.array(slots), 2 * 10**9, np.random.default_rng(s)) for s in range(400)], float)
+    total, half = sum(slots), 2 * 10**9
+    for i, n in enumerate(slots):
+        p = n / total
+        variance = half * p * (1 - p) * (total - half) / (total - 1)
+        assert abs(got[:, i].mean() - half * p) < 5 * (variance / 400) ** 0.5
+        assert 0.7 < got[:, i].var() / variance < 1.35
+    assert (got.sum(axis=1) == half).all()
+
+
 def test_shards_are_multinomial_draws():
     """Means and variances of a shard's counts over many seeds."""
     slots = [3000, 1000, 6000]
