@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenframe.sources import archive, dicom, nifti, png, raw, vista
 from lumenframe.sources.model import SCHEMA, Chunk, FormatError, chunk_of
@@ -44,6 +43,8 @@ register_format(Format("dicom", ("dcm", "ima"), lambda d, dialect, _: dicom.deco
 def _one_png(chunks: list[Chunk]) -> bytes:
     if len(chunks) != 1 or chunks[0].dims[2] * chunks[0].dims[3] != 1:
         raise FormatError("a PNG file holds one slice; name chunks one by one, or take png.slices")
+    if chunks[0].type_id not in ("u8bit", "u16bit", "color24", "color48"):
+        raise FormatError(f"a PNG file holds no {chunks[0].type_id}")
     return png.encode(chunks[0])
 
 
@@ -167,12 +168,29 @@ def load_process(spark: SparkSession, command: list[str], suffix: str = "", dial
     return load(spark, [x.strip() for x in out.splitlines() if x.strip()], suffix, dialect)
 
 
-def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str = "lookup") -> DataFrame:
-    """One file per name from its chunks in order; (file_name, bytes, error) per file.
+def encode_file(name: str, chunks: list[Chunk], formats: tuple[str, ...] = ()) -> tuple[bytes | None, str | None, list[str]]:
+    """The bytes of a file, the format that made them, and the reasons of those that refused before.
 
-    ``folder`` is one that all executors share.  An image's chunks meet in one task, as its file is one piece.
+    The formats of the suffix that write are tried in turn, or the named ``formats`` whatever the suffix.  If all refuse there are reasons only.
     """
-    schema = "file_name string, bytes long, error string"
+    packed = name.rsplit(".", 1)[0] if name.rsplit(".", 1)[-1].lower() in archive.COMPRESSED else name
+    known = {f.name: f for group in REGISTRY.values() for f in group}
+    encoders = [known[n] for n in formats if n in known and known[n].encode] if formats else [f for f in formats_for(packed) if f.encode]
+    reasons = []
+    for f in encoders:
+        try:
+            return archive.compress(name, f.encode(chunks)), f.name, reasons
+        except (FormatError, ValueError, IndexError, KeyError, OverflowError, TypeError) as e:
+            reasons.append(f"{f.name}: {e}")
+    return None, None, reasons or ["no format writes this suffix"]
+
+
+def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str = "lookup", formats: tuple[str, ...] = ()) -> DataFrame:
+    """One file per name from its chunks in order; (file_name, bytes, error, format, refused) per file.
+
+    The first format that takes the chunks writes them; ``refused`` has the reasons of those before it.  ``folder`` is one that all executors share.  An image's chunks meet in one task, as its file is one piece.
+    """
+    schema = "file_name string, bytes long, error string, format string, refused string"
 
     def run(key, rows):
         import os
@@ -181,12 +199,10 @@ def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str =
 
         own = [chunk_of(r) for r in rows.sort_values(order).to_dict("records")]
         target, error, size = str(key[0]), None, 0
-        packed = target.rsplit(".", 1)[0] if target.rsplit(".", 1)[-1].lower() in archive.COMPRESSED else target
+        data, used, reasons = encode_file(target, own, formats)
         try:
-            encoders = [f for f in formats_for(packed) if f.encode]
-            if not encoders:
-                raise FormatError("no format writes this suffix")
-            data = archive.compress(target, encoders[0].encode(own))
+            if data is None:
+                raise FormatError("; ".join(reasons))
             temporary = os.path.join(folder, f".{os.path.basename(target)}.part")
             with open(temporary, "wb") as f:
                 f.write(data)
@@ -194,43 +210,14 @@ def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str =
             size = len(data)
         except (FormatError, OSError) as e:
             error = str(e)
-        return pd.DataFrame({"file_name": [target], "bytes": [size], "error": [error]})
+        return pd.DataFrame({"file_name": [target], "bytes": [size], "error": [error], "format": [used], "refused": ["; ".join(reasons) or None]})
 
     return chunks.groupBy(name).applyInPandas(run, schema)
 
 
-class ChunkSource(DataSource):
-    """``spark.read.format("chunks").option("dialect", ...).load(path)`` for local or mounted folders.
-
-    A file, or a member of an archive, that no format reads ends the query, unless the option ``ignoreErrors`` is true.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "chunks"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ChunkReader(dict(self.options))
-
-
-class _ChunkReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = {k.lower(): v for k, v in options.items()}  # Spark hands names in lower case
-
-    def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        path = Path(self.options["path"])
-        files = sorted(f for f in path.iterdir() if f.is_file()) if path.is_dir() else [path]
-        return [InputPartition(str(f)) for f in files]
+def __getattr__(name: str):
+    if name == "ChunkSource":  # its module needs this one
+        from lumenframe.sources.sink import ChunkSource
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            chunks, error = decode_file(partition.value, f.read(), self.options.get("suffix", ""), self.options.get("dialect", ""))
-        if error and self.options.get("ignoreerrors", "false").lower() != "true":
-            raise FormatError(error)
-        for k, c in enumerate(chunks):
-            yield c.row(partition.value, k)
+        return ChunkSource
+    raise AttributeError(name)

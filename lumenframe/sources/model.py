@@ -40,6 +40,13 @@ class Chunk:
     repetitionTime: float | None = None
     props: dict[str, str] = field(default_factory=dict)
 
+    def usual(self) -> Chunk:
+        """With the usual geometry where a vector is missing."""
+        for name in ("indexOrigin", "rowVec", "columnVec", "voxelSize"):
+            if getattr(self, name) is None:
+                setattr(self, name, Chunk.__dataclass_fields__[name].default)
+        return self
+
     def head(self, source: str, part: int) -> tuple:
         """The row without its voxels."""
         v = lambda x: None if x is None else tuple(float(k) for k in x)
