@@ -87,7 +87,7 @@ def _leaves(d: DataFrame, list_branches: tuple[str, ...]) -> DataFrame:
     items = F.try_variant_get(v, "$", "array<variant>")
     by_volume = F.exists(F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p.isin(*list_branches)) if list_branches else F.lit(False)
     plain = kind.rlike("|".join(r for r, _ in _LISTS))
-    dealt = _is(kind, "ARRAY") & (by_volume | ~F.coalesce(plain, F.lit(False)))
+    dealt = _is(kind, "ARRAY") & (by_volume | ~F.coalesce(plain, F.lit(False)) | (F.size(items) == 0))
     d = d.select("owner", "path", F.posexplode(F.when(dealt, items).otherwise(F.array(v))).alias("idx", "v"))
     v, kind = F.col("v"), F.col("kind")
     d = d.withColumn("kind", _type(F.col("v")))
