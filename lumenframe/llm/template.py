@@ -18,8 +18,9 @@ Per host, over all of its pages:
    Element, class, id and role names only weigh that text: ``NAME_WEIGHT`` times more in a main element, as many times
    less in a menu, header, form, advert and the like.
 6. The main text is what the region's slots hold, in order, without elements inside the region that are menus, forms, reader
-   comments and so on by name.  Template text in the region is left out, unless the region is an article or main element, of which nothing
-   is dropped that merely repeats (copies of an article may stand on most pages of a small host).
+   comments and so on by name.  Template text is left out of every region, whatever its element.  Where that would leave less than
+   ``SLOT_SHARE`` of the region's text, the page's text itself stands in order on most pages of its host (copies of one article): such a page keeps the
+   region whole.
 
 Pages of hosts without a template, and pages that lack their template's region, are judged by their own elements and names alone: the article or
 main element; a region named so that holds half of the text; else all that isn't side text.
@@ -54,6 +55,8 @@ MAX_BROKEN = 0.05
 NAME_WEIGHT = 4.0
 #: Share of the text around it that an element without a main name must hold to be entered.
 BULK = 0.9
+#: Share of the main region's text that its slots must hold to be the main text alone; with less the page is a copy of others of its host.
+SLOT_SHARE = 0.25
 #: Template tokens that are broadcast at most; beyond that pages are joined to them by host.
 BROADCAST_TOKENS = 200_000
 
@@ -573,9 +576,12 @@ def main_text(page: Page, entries: Entry | None = None, region: int | None = Non
         at = next((i for i, k in enumerate(page.keys) if k == key), -1)
     if at < 0:
         return page_text(page)
-    end, whole = page.info[at] >> _FLAGS, bool(page.info[at] & (ARTICLE | MAIN_ELEMENT))
+    end = page.info[at] >> _FLAGS
     signed = lambda k: k - (1 << 64) if k >> 63 else k
-    return "\n\n".join(b.text for b, i in zip(page.blocks, page.places) if at < i < end and b.side_at <= at and (whole or signed(page.keys[i]) not in entries))
+    region_text = [(b.text, signed(page.keys[i]) in entries) for b, i in zip(page.blocks, page.places) if at < i < end and b.side_at <= at]
+    slots = [text for text, repeats in region_text if not repeats]
+    enough = sum(map(len, slots)) >= SLOT_SHARE * sum(len(text) for text, _ in region_text)
+    return "\n\n".join(slots if enough else [text for text, _ in region_text])
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -205,3 +205,46 @@ def test_deep_and_long_pages_take_linear_time(spark):
 )
 def test_names_do_not_drop_the_article(html, want):
     assert T.main_text(T.parse(html), set()) == want
+
+
+def brute_text(pages, region):
+    """Text in ``region`` (a path) that is in no valid class; all of it on pages of which less than a quarter would stay."""
+    template = {k for order in brute_template(pages) for k in order}
+    out = []
+    for h in pages:
+        page = T.parse(h)
+        at = page.keys.index(T.path_key(*region))
+        end = page.info[at] >> 8
+        own = [(b.text, signed(page.keys[i]) in template) for b, i in zip(page.blocks, page.places) if at < i < end]
+        slots = [t for t, fixed in own if not fixed]
+        out.append("\n\n".join(slots if 4 * sum(map(len, slots)) >= sum(len(t) for t, _ in own) else [t for t, _ in own]))
+    return out
+
+
+@pytest.mark.parametrize("element", ["center", "article", "main"])
+@pytest.mark.parametrize("seed", range(3))
+def test_text_of_slots_matches_brute_force(spark, seed, element):
+    """No names or roles anywhere, and menus that differ by page; template text goes from an article or main element as from any other."""
+    rnd = random.Random(seed)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    pages, want = [], []
+    for _ in range(8):
+        links = "".join(f"<td>{words(1)}" for _ in range(rnd.randrange(2, 6)))
+        title, paras = words(6), [words(rnd.randrange(60, 90)) for _ in range(rnd.randrange(2, 5))]
+        aside = f"<p>{words(40)}" if rnd.random() < 0.4 else ""
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        pages.append(f"<body><table><tr>{links}</table><{element}><h2>{title}</h2><i>Read this with care</i>{body}{aside}<ul><li>Send to a friend<li>Print</ul></{element}><dl><dt>All rights<dd>{words(2)}</dl></body>")
+        want.append("\n\n".join([title, *paras, *([aside[3:]] if aside else [])]))
+    got = extracted(spark, pages)
+    assert got == brute_text(pages, ["body", element]) == want
+
+
+def test_copies_of_one_article_stay_whole(spark):
+    text = [" ".join(f"w{k}" for k in range(j * 50, j * 50 + 50)) for j in range(3)]
+    copy = "".join(f"<p>{t}</p>" for t in text)
+    pages = [f"<body><article>{copy}<p>Print</p></article><p>n{i}</p></body>" for i in range(4)] + ["<body><article><p>another one " + "x " * 80 + "</p><p>Print</p></article><p>n9</p></body>"]
+    got = extracted(spark, pages)
+    assert got[:4] == ["\n\n".join(text)] * 4  # their text crosses the classes of the paragraphs around it, so it is no template
+    assert got[4] == ("another one " + "x " * 80).strip()
+    # on a host of copies alone all is template: the region stays whole
+    assert extracted(spark, pages[:4]) == ["\n\n".join([*text, "Print"])] * 4
