@@ -19,8 +19,8 @@ Per host, over all of its pages:
    less in a menu, header, form, advert and the like.
 6. The main text is what the region's slots hold, in order, without elements inside the region that are menus, forms, reader
    comments and so on by name.  Template text is left out of every region, whatever its element.  Where that would leave less than
-   ``SLOT_SHARE`` of the region's text, the page's text itself stands in order on most pages of its host (copies of one article): such a page keeps the
-   region whole.
+   ``SLOT_SHARE`` of the region's text, the page's text itself stands in order on most pages of its host (copies of one article): such a page is
+   judged alone.
 
 Pages of hosts without a template, and pages that lack their template's region, are judged by their own elements and names alone: the article or
 main element; a region named so that holds half of the text; else all that isn't side text.
@@ -581,7 +581,7 @@ def main_text(page: Page, entries: Entry | None = None, region: int | None = Non
     region_text = [(b.text, signed(page.keys[i]) in entries) for b, i in zip(page.blocks, page.places) if at < i < end and b.side_at <= at]
     slots = [text for text, repeats in region_text if not repeats]
     enough = sum(map(len, slots)) >= SLOT_SHARE * sum(len(text) for text, _ in region_text)
-    return "\n\n".join(slots if enough else [text for text, _ in region_text])
+    return "\n\n".join(slots) if enough else page_text(page)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
