@@ -58,3 +58,20 @@ def unique_names(df: DataFrame, name: str, order: list[str], suffixes: list[str]
     stem, suffix = split_suffix(F.col(name), suffixes or [])
     number = F.lpad(rank.cast("string"), F.length(count.cast("string")), "0")
     return df.withColumns({"__n": count, "__number": number}).withColumn(out, F.when(F.col("__n") > 1, F.concat(stem, F.lit("_"), F.col("__number"), suffix)).otherwise(F.col(name))).drop("__n", "__number")
+
+
+def numbered(df: DataFrame, runs: list[Column], order: list[Column], out: str) -> DataFrame:
+    """Add ``out``: the place of each row, from 1, in the order of ``order``.
+
+    ``runs`` are values that never fall in that order; rows are ranked inside their run and only the runs' sizes are added up in one place.
+    """
+    names = [f"__r{i}" for i in range(len(runs))]
+    d = df.withColumns(dict(zip(names, runs, strict=True)))
+    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(*[F.col(n).alias(f"{n}_") for n in names], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    placed = d.withColumn("__place", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).join(starts, on)
+    return placed.withColumn(out, (F.col("__start") + F.col("__place")).cast("long")).select(*df.columns, out)

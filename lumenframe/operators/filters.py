@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.arrays import AXES, bind
+from lumenframe.operators.steps import REQUIRED, Step
 
 FWHM_PER_SIGMA = 2 * math.sqrt(2 * math.log(2))
 
@@ -67,6 +68,30 @@ def gauss(chunks: DataFrame, sigma: float | None = None, fwhm: float | None = No
     return d
 
 
+def _one_width(parameters: dict, _: dict) -> str | None:
+    given = [k for k in ("sigma", "fwhm") if parameters[k] is not None]
+    if len(given) != 1:
+        return "exactly one of sigma and fwhm is needed"
+    if parameters[given[0]] <= 0:
+        return f"{given[0]} must be above 0"
+    return None if set(parameters["axes"]) <= set(AXES) else f"axes are some of {', '.join(AXES)}"
+
+
+#: The Gauss filter as a step with checked parameters.
+GAUSS = Step("gauss", lambda d, p, _: (gauss(d, p["sigma"], p["fwhm"], p["axes"], p["spacing"]), {"sigma": p["sigma"] if p["sigma"] is not None else fwhm_to_sigma(p["fwhm"])}), {"sigma": None, "fwhm": None, "axes": "crs", "spacing": None}, valid=_one_width)
+
+
+def _weighted(d: DataFrame, parameters: dict, inputs: dict[str, DataFrame]) -> DataFrame:
+    key = parameters["by"]
+    weights = inputs["weights"].select(F.col(key).alias("__key"), F.col("weight").cast("double").alias("__weight"))
+    joined = d.join(weights, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("voxels", F.transform("voxels", lambda x: x * F.coalesce("__weight", F.lit(1.0)))).drop("__key", "__weight")
+
+
+#: Voxels times the weight that the input ``weights`` (key, weight) has for their key; 1 where it has none.
+WEIGHTED = Step("weighted", _weighted, {"by": REQUIRED}, labels=("weights",))
+
+
 def band_response(n: int, step: float, low: float | None, high: float | None, steepness: float, stop: bool = False) -> np.ndarray:
     """Gain at the frequencies of a real transform: sigmoid edges at ``low`` (high pass) and ``high`` (low pass), in 1 / unit of step."""
     f = np.fft.rfftfreq(n, step)

@@ -368,3 +368,31 @@ def predicate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = walk.owners(tree, walk.is_list().all()).withColumnRenamed("holds", "all_lists")
     n = walk.leaves(tree, walk.is_list()).groupBy("owner").agg(F.count(F.lit(1)).cast("int").alias("leaves"))
     return some.join(every, "owner").join(n, "owner")
+
+
+@register(
+    "splice_down",
+    """SELECT vec_id, vec_id * 100 + t + s AS number, round(1 + s * 2.0::DOUBLE, 6) AS z, 4 AS voxels, embedding[t * 16 + s * 4 + 1]::DOUBLE AS first
+    FROM embeddings, range(4) AS g(t), range(4) AS h(s)""",
+)
+def splice_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of four dimensions cut down to slices."""
+    e = read(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("vec_id") * 100).alias("acquisitionNumber"), dims(2, 2, 4, 4).alias("dims"), F.transform("embedding", lambda x: x.cast("double")).alias("voxels"),
+        G.struct(G.vector(1, 1, 1)).alias("indexOrigin"), G.struct(G.vector(1, 0, 0)).alias("rowVec"), G.struct(G.vector(0, 1, 0)).alias("columnVec"), G.struct(G.vector(1, 1, 1)).alias("voxelSize"), G.struct(G.vector(1, 1, 1)).alias("voxelGap"),
+    )
+    d = image.splice_down_to(e, 2)
+    return d.select("vec_id", F.col("acquisitionNumber").alias("number"), F.round("indexOrigin.z", 6).alias("z"), F.size("voxels").alias("voxels"), F.get("voxels", F.lit(0)).alias("first"))
+
+
+@register(
+    "props_required",
+    f"""SELECT owner, CASE path WHEN 'Sub/k' THEN 'Deep/number' ELSE path END AS path, 'leaf' AS what FROM ({tree_sql(0)})
+    UNION ALL SELECT owner, 'Sub/k', 'lacking' FROM ({tree_sql(0)}) GROUP BY owner HAVING NOT bool_or(path = 'Sub/k' AND value IS NOT NULL)
+    UNION ALL SELECT DISTINCT owner, 'gone', 'lacking' FROM ({tree_sql(0)})""",
+)
+def props_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves moved to the names that a format asks for, and those that owners lack."""
+    tree = event_tree(spark, sf_dir, False)
+    out, gaps = props.require(tree, tree, {"Sub/k": "Deep/number", "gone": "here"})
+    return out.select("owner", "path", F.lit("leaf").alias("what")).unionAll(gaps.select("owner", "path", F.lit("lacking")))

@@ -342,10 +342,35 @@ def gauss_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lookup").alias("vec_id"), F.posexplode("voxels").alias("at", "value")).select("vec_id", "at", F.round("value", 6).alias("value"))
 
 
-@register("frequency_filter")
+def _frequency_sql(step: float, low: float, high: float, steepness: float = 1000.0) -> str:
+    """The filter as a Fourier sum, written out: mirrored tails, gain of every frequency, and the middle third back."""
+    edge = lambda x: f"1 / (1 + exp(greatest(-700.0, least(700.0, {x}))))"
+    series = "SELECT label::BIGINT AS image_id, list(embedding[1]::DOUBLE ORDER BY vec_id) AS v, list(vec_id ORDER BY vec_id) AS times, count(*)::INTEGER AS n FROM embeddings GROUP BY label"
+    padded = f"SELECT image_id, times, n, 3 * n AS m, mean, list_concat(list_concat(list_reverse(x), x), list_reverse(x)) AS p FROM (SELECT *, list_transform(v, lambda y: y - mean) AS x FROM (SELECT *, list_avg(v) AS mean FROM ({series})))"
+    angle = "2 * pi() * ((k * i) % m) / m"
+    waves = f"SELECT image_id, k, list_sum(list_transform(range(m), lambda i: p[i + 1] * cos({angle}))) AS re, -list_sum(list_transform(range(m), lambda i: p[i + 1] * sin({angle}))) AS im, k / (m * {step}::DOUBLE) AS f, CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS w FROM (SELECT *, unnest(range(m // 2 + 1)) AS k FROM ({padded}))"
+    gains = f"SELECT image_id, list(k ORDER BY k) AS ks, list(w * re * {edge(f'-(f - {low}) * {steepness}')} * {edge(f'(f - {high}) * {steepness}')} ORDER BY k) AS a, list(w * im * {edge(f'-(f - {low}) * {steepness}')} * {edge(f'(f - {high}) * {steepness}')} ORDER BY k) AS b FROM ({waves}) GROUP BY image_id"
+    angle = "2 * pi() * ((k * (n + j)) % m) / m"
+    return f"""SELECT image_id, times[j + 1] AS time, round(mean + list_sum(list_transform(ks, lambda k: a[k + 1] * cos({angle}) - b[k + 1] * sin({angle}))) / m, 6) + 0 AS filtered
+    FROM (SELECT s.*, g.ks, g.a, g.b, unnest(range(s.n)) AS j FROM ({padded}) s JOIN ({gains}) g USING (image_id))"""
+
+
+@register("frequency_filter", _frequency_sql(2.0, 0.01, 0.1))
 def frequency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = vector_chunks(spark, sf_dir).select("image_id", F.col("lookup").alias("time"), F.get("voxels", F.lit(0)).alias("value"))
-    return filters.frequency_filter(d, ["image_id"], "time", "value", 2.0, low=0.01, high=0.1)
+    return filters.frequency_filter(d, ["image_id"], "time", "value", 2.0, low=0.01, high=0.1).withColumn("filtered", F.round("filtered", 6) + 0)
+
+
+_WEIGHTED = f"SELECT vec_id, i::INT AS \"at\", round(v[i + 1] * w, 6) + 0 AS value FROM ({_GAUSSED}), range(64) AS g(i), (SELECT vec_id AS id, 1.0 / (1 + label) AS w FROM embeddings) x WHERE x.id = vec_id"
+
+
+@register("filter_steps", _WEIGHTED)
+def filter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Gauss step, then a step with a further input by label: a weight for each image."""
+    chunks = vector_chunks(spark, sf_dir)
+    weights = chunks.select("image_id").distinct().withColumn("weight", 1.0 / (1 + F.col("image_id")))
+    d = chunks.transform(filters.GAUSS.transform(fwhm=2.0, axes="cr")).transform(filters.WEIGHTED.transform({"weights": weights}, by="image_id"))
+    return d.select(F.col("lookup").alias("vec_id"), F.posexplode("voxels").alias("at", "value")).select("vec_id", "at", (F.round("value", 6) + 0).alias("value"))
 
 
 ANGLE = "l_linenumber * 0.4"
