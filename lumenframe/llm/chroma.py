@@ -1,7 +1,7 @@
 """Chroma audio fingerprints and the alignment of recordings.
 
 1. Frames of ``FRAME`` samples, ``HOP`` apart, give the energy of the twelve pitch classes (Hann window, Fourier bins
-   assigned to their nearest semitone), smoothed over five frames and normalised.
+   assigned to their nearest semitone), smoothed over three frames and normalised.
 2. An integral image over (frame, pitch class) makes every box sum four look-ups.  Sixteen filters, each the
    log ratio of two groups of boxes, slide over it; a filter's value is put into one of four ranges (two Gray-coded bits),
    and the bits of a position are packed into one integer.  Filters are dealt out by a rule, and the limits of their ranges are the
@@ -10,7 +10,7 @@
    with the ``DOUBTS`` least sure bits of both flipped in every combination; every hit votes for the pair's offset.  (Single integers have chance hits that
    grow with the square of the recordings; two have next to none.)  Each offset with ``MIN_VOTES`` votes, or one vote for
    every four keys of the shorter fingerprint if that is less, is verified: the share of differing bits over the whole aligned
-   stretch is ``MAX_BIT_ERROR`` at most.  Of a pair's offsets that pass, the one with most votes aligns it (the nearest to 0 of equals).
+   stretch is at most ``MAX_BIT_ERROR``, and less for short stretches, four standard deviations under the errors of unrelated ones (about 3 false alarms in 100,000 offsets).  Of a pair's offsets that pass, the one with most votes aligns it (the nearest to 0 of equals).
 
 Integers over silence say nothing and are not looked up.  A fingerprint of a single integer matches equal ones only (as members of its class).  Null or short recordings (under ``FRAME`` samples, or fewer
 frames than the widest filter) have an empty fingerprint and no class, and match nothing.  Every row is returned as a member, repeated ones and those
@@ -33,9 +33,12 @@ from lumenframe.llm.tables import settle
 RATE, FRAME, HOP = 4000, 1024, 512
 LOWEST, HIGHEST = 65.0, 1950.0
 WIDTH = 16
-#: Five frames under a Hann window.
-SMOOTHING = tuple(np.hanning(7)[1:-1].tolist())
+#: Weights of the frame before, the frame, and the frame after.
+SMOOTHING = (1.0, 2.0, 1.0)
 MIN_VOTES, MAX_BIT_ERROR = 2, 0.35
+#: Bit errors of unrelated stretches of n integers lie about a half with a deviation of about DEVIATION / sqrt(n): the limit stays SURE deviations below, but
+#: needn't go under LEAST_ERROR, as every pair that is tried has equal keys already.
+DEVIATION, SURE, LEAST_ERROR = 0.18, 4, 0.1
 QUERY_STEP = 20
 
 SHAPES = ("all", "halves_pitch", "halves_time", "cross", "thirds_pitch", "thirds_time")
@@ -72,8 +75,9 @@ def raw_chroma(samples: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: i
 
 
 def normalised(raw: np.ndarray, frame: int = FRAME) -> np.ndarray:
-    """Smoothed over five frames and scaled to length ``SCALE``, in whole numbers; silent frames are all zero."""
-    padded = np.pad(raw.astype(float), ((2, 2), (0, 0)))
+    """Smoothed over three frames and scaled to length ``SCALE``, in whole numbers; silent frames are all zero."""
+    half = len(SMOOTHING) // 2
+    padded = np.pad(raw.astype(float), ((half, half), (0, 0)))
     smooth = sum(w * padded[k : k + len(raw)] for k, w in enumerate(SMOOTHING))
     norm = np.sqrt((smooth**2).sum(axis=1, keepdims=True))
     return np.round(SCALE * np.where(norm > 1e-6 * frame, smooth / np.maximum(norm, 1e-300), 0.0)).astype(np.int64)
@@ -228,6 +232,11 @@ def fingerprints(recordings: DataFrame, id_cols: list[str], audio_col: str, ener
     return recordings.select(*[F.col(c).cast("long").alias(c) for c in ids], F.col(audio_col).alias("audio")).mapInArrow(run, schema)
 
 
+def error_limit(overlap: int, most: float = MAX_BIT_ERROR) -> float:
+    """The largest share of differing bits of an alignment over ``overlap`` integers."""
+    return min(most, max(LEAST_ERROR, 0.5 - SURE * DEVIATION / overlap**0.5))
+
+
 def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
     """Members and matches over settled ``prints`` (id columns, items, silent, doubts).
 
@@ -262,7 +271,7 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES, max_b
         F.zip_with(F.slice("q_items", F.col("start") + 1, F.col("overlap")), F.slice("r_items", F.col("start") + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")),
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
-    checked = placed.select("q", "r", "offset", "votes", "overlap", F.size("q_items").cast("long").alias("n_items"), (bits / (2.0 * len(FILTERS) * F.col("overlap"))).alias("bit_error")).filter(F.col("bit_error") <= max_bit_error)
+    checked = placed.select("q", "r", "offset", "votes", "overlap", F.size("q_items").cast("long").alias("n_items"), (bits / (2.0 * len(FILTERS) * F.col("overlap"))).alias("bit_error")).filter(F.col("bit_error") <= F.least(F.lit(max_bit_error), F.greatest(F.lit(LEAST_ERROR), 0.5 - SURE * DEVIATION / F.sqrt("overlap"))))
     best = checked.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset", "overlap", "n_items", "bit_error")).alias("b")).select("q", "r", "b.*")
     none = {"match_id": "string", "offset": "long", "votes": "long", "overlap": "long", "bit_error": "double"}
     return members.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}).unionByName(
