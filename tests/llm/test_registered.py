@@ -73,8 +73,8 @@ rules(host, path) AS (VALUES ('com', '/en/'), ('example.com', '/en/7'), ('net',
 fit AS (SELECT page_id, arg_max(r.host || r.path, len(r.host || r.path)) AS rule FROM h JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY page_id)
 SELECT h.page_id, h.host, h.path, fit.rule FROM h LEFT JOIN fit USING (page_id)""",
     "op7_secret_scan": r"""
-SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), x -> len(x) >= 6))::BIGINT AS n_assign,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), x -> len(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), x -> len(x) >= 24))::BIGINT AS n_hex FROM documents""",
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 24))::BIGINT AS n_hex FROM documents""",
 }
 
 
