@@ -213,6 +213,67 @@ def swapped_properties(chunks: DataFrame, images: DataFrame, axis: str, carried:
     return both.select(*[F.when(given, F.col("__moved")[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in chunks.columns])
 
 
+#: What a program calls the axes: image dimensions, and scanner axes of which each image has its own dimension.
+DIMENSIONS = {"row": 0, "column": 1, "slice": 2, "c": 0, "r": 1, "s": 2, "t": 3}
+SCANNER_AXES = ("x", "y", "z")
+
+
+def _slice_direction(columns: list[str]) -> Column:
+    made = G.cross(F.col("rowVec"), F.col("columnVec"))
+    return G.struct(G.each(lambda own, other: F.coalesce(own, other), F.col("sliceVec"), made)) if "sliceVec" in columns else G.struct(made)
+
+
+def dimension_along(along: str, columns: list[str]) -> Column:
+    """The image dimension (0 to 3) of an axis by name."""
+    if along in DIMENSIONS:
+        return F.lit(DIMENSIONS[along])
+    if along not in SCANNER_AXES:
+        raise ValueError(f"an axis is one of {', '.join([*DIMENSIONS, *SCANNER_AXES])}")
+    return G.image_dimension_of_axis(F.col("rowVec"), F.col("columnVec"), _slice_direction(columns), along)
+
+
+def mirrored_space(rows: DataFrame, dimension: Column, center: bool = False) -> DataFrame:
+    """Chunks or images with physical space mirrored about its origin in component ``dimension`` (0 to 2), or about their own center along direction ``dimension``."""
+    d = rows.withColumns({"__k": dimension, "sliceVec": _slice_direction(rows.columns)})
+    sign = [F.when(F.col("__k") == k, -1.0).otherwise(1.0) for k in range(3)]
+    zero = F.lit(0.0)
+    t = tuple(G.vector(*[sign[i] if i == j else zero for j in range(3)]) for i in range(3))
+    axes = G.from_columns(F.col("rowVec"), F.col("columnVec"), F.col("sliceVec"))
+    if center:
+        gap = F.col("voxelGap") if "voxelGap" in rows.columns else None
+        step = G.add(F.col("voxelSize"), G.each(lambda g: F.coalesce(g, zero), gap)) if gap is not None else F.col("voxelSize")
+        origin, turned = G.transform_about_center(t, F.col("indexOrigin"), axes, tuple(F.col("dims")[a] for a in "crs"), step)
+    else:
+        origin, turned = G.transform_about_origin(t, F.col("indexOrigin"), axes)
+    row, column, slice_ = G.transposed(turned)
+    return d.withColumns({"indexOrigin": G.struct(origin), "rowVec": G.struct(row), "columnVec": G.struct(column), "sliceVec": G.struct(slice_)}).drop("__k")
+
+
+def flipped_along(chunks: DataFrame, images: DataFrame, along: str, what: str = "both", center: bool = False) -> DataFrame:
+    """Images flipped along an axis: their voxels (``image``), their place in space (``space``), or both.
+
+    Inside chunks voxels change places; above the chunks' dimensions chunks exchange properties.
+    """
+    if what not in ("image", "space", "both"):
+        raise ValueError("what is image, space or both")
+    d = chunks.withColumn("__axis", dimension_along(along, chunks.columns))
+    if what != "space":
+        inside = A.relevant_dims(F.col("dims")) > F.col("__axis")
+        voxels = F.col("voxels")
+        for k, a in enumerate(A.AXES):
+            voxels = F.when(F.col("__axis") == k, A.flip(F.col("voxels"), F.col("dims"), a)).otherwise(voxels)
+        carried = tuple(c for c in ("voxels", "type_id") if c in chunks.columns)
+        parts = [d.filter(inside).withColumn("voxels", voxels)]
+        for k in [DIMENSIONS[along]] if along in DIMENSIONS else range(3):
+            parts.append(swapped_properties(d.filter(~inside & (F.col("__axis") == k)), images, A.AXES[k], carried))
+        d = parts[0]
+        for p in parts[1:]:
+            d = d.unionByName(p)
+    if what != "image":
+        d = mirrored_space(d, F.col("__axis"), center)
+    return d.drop("__axis")
+
+
 def size_text(dims: Column) -> Column:
     return F.concat_ws("x", *[dims[a].cast("string") for a in A.AXES])
 

@@ -396,3 +396,21 @@ def props_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = event_tree(spark, sf_dir, False)
     out, gaps = props.require(tree, tree, {"Sub/k": "Deep/number", "gone": "here"})
     return out.select("owner", "path", F.lit("leaf").alias("what")).unionAll(gaps.select("owner", "path", F.lit("lacking")))
+
+
+@register(
+    "flip_both",
+    """SELECT vec_id, embedding[(vec_id % 64 // 4) * 4 + 4 - vec_id % 4]::DOUBLE AS voxel, -(vec_id % 5)::DOUBLE + 0 AS x, (vec_id % 7)::DOUBLE AS y, 1.0::DOUBLE AS row_y, -1.0::DOUBLE AS column_x,
+      (vec_id % 7 + 3 * 2.0)::DOUBLE AS centered_y, -1.0::DOUBLE AS centered_row FROM embeddings""",
+)
+def flip_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels and space flipped along y, which is dimension 0 of these chunks; about the origin (component 0), and about the chunk's center (direction 0)."""
+    e = read(spark, sf_dir, "embeddings")
+    c = e.select(
+        F.col("vec_id").alias("image_id"), F.lit(0).cast("long").alias("lookup"), dims(4, 4, 4, 1).alias("dims"), G.struct(G.vector((F.col("vec_id") % 5).cast("double"), (F.col("vec_id") % 7).cast("double"), 1)).alias("indexOrigin"),
+        G.struct(G.vector(0, 1, 0)).alias("rowVec"), G.struct(G.vector(1, 0, 0)).alias("columnVec"), G.struct(G.vector(0, 0, 1)).alias("sliceVec"), G.struct(G.vector(2.0, 1.0, 1.0)).alias("voxelSize"), F.transform("embedding", lambda v: v.cast("double")).alias("voxels"),
+    )
+    d = image.flipped_along(c, c.select("image_id", "dims"), "y")
+    about = image.mirrored_space(c, F.lit(0), center=True).select("image_id", F.col("indexOrigin.y").alias("centered_y"), F.col("rowVec.y").alias("centered_row"))
+    here = F.get("voxels", (F.col("image_id") % 64).cast("int"))
+    return d.select("image_id", here.alias("voxel"), (F.col("indexOrigin.x") + 0).alias("x"), F.col("indexOrigin.y").alias("y"), F.col("rowVec.y").alias("row_y"), F.col("columnVec.x").alias("column_x")).join(about, "image_id").withColumnRenamed("image_id", "vec_id")

@@ -7,6 +7,7 @@ dialect; of several that fit, the first that doesn't fail wins.  Files are read
 from __future__ import annotations
 
 import subprocess
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -112,6 +113,21 @@ def scan(spark: SparkSession, paths: list[str] | str, suffix: str = "", dialect:
     return files.mapInArrow(run, RESULT)
 
 
+def load_raw(spark: SparkSession, paths: list[str] | str, type_id: str = "u8bit", dims: tuple[int, ...] | None = None, offset: int = 0, swap: bool = False, voxel_size: tuple[float, float, float] | None = None, origin: tuple[float, float, float] | None = None) -> DataFrame:
+    """A chunk per raw file, with ``arrival``.  Without ``dims`` a file must be a square; one that doesn't fit ends the query."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                c = raw.decode(content.as_py(), type_id, dims, offset, swap)[0]
+                c.voxelSize, c.indexOrigin = voxel_size or c.voxelSize, origin or c.indexOrigin
+                yield _arrow([(c.head(path, 0), c.voxels, None)])
+
+    d = files.mapInArrow(run, RESULT).drop("error")
+    return d.withColumn("arrival", F.concat("source", F.lit("#"), F.lpad(F.col("part").cast("string"), 9, "0")))
+
+
 def _arrow_schema() -> pa.Schema:
     vector = pa.struct([(k, pa.float64()) for k in "xyz"])
     fields = [("source", pa.string()), ("part", pa.int32()), ("type_id", pa.string()), ("dims", pa.struct([(k, pa.int32()) for k in "crst"])), ("sequenceNumber", pa.int32()), ("acquisitionNumber", pa.int64()), ("acquisitionTime", pa.float64())]
@@ -155,8 +171,11 @@ def failures(spark: SparkSession, paths: list[str] | str, suffix: str = "", dial
 
 
 def load_list(spark: SparkSession, list_file: str, suffix: str = "", dialect: str = "") -> DataFrame:
-    """Chunks of the files that are named in a text file, one a line (names come to the driver; files don't)."""
-    names = [r[0].strip() for r in spark.read.text(list_file).collect() if r[0].strip()]
+    """Chunks of the files that are named in a text file, one a line, or in the standard input (``-``).  Names come to the driver; files don't."""
+    if list_file == "-":
+        names = [x.strip() for x in sys.stdin if x.strip()]
+    else:
+        names = [r[0].strip() for r in spark.read.text(list_file).toLocalIterator() if r[0].strip()]
     return load(spark, names, suffix, dialect)
 
 

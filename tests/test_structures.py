@@ -345,3 +345,50 @@ def test_feed_geometry():
     assert g["InPlanePhaseEncodingDirection"] == "ROW" and g["rowVec"] == (0, 1, 0) and g["columnVec"] == (0, 0, -1) and g["sliceVec"] == (1, 0, 0)
     assert g["voxelSize"] == (2, 4, 3) and g["voxelGap"] == (0, 0, 1) and g["indexOrigin"] == (1, -9, 21)
     assert R.geometry({}, 1, 1, 1)["InPlanePhaseEncodingDirection"] == "ROW"
+
+
+def test_program_options(spark, tmp_path, capsys):
+    from lumenframe.plans import programs
+    from lumenframe.sources import nifti, raw
+    from lumenframe.sources.model import Chunk
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    for s in range(3):
+        c = Chunk(np.arange(4, dtype="u1") + 10 * s, (2, 2, 1, 1), "u8bit", indexOrigin=(1.0, 2.0, float(s)), acquisitionNumber=s)
+        (tmp_path / "in" / f"s{s}.nii").write_bytes(nifti.encode([c]))
+    where = ["--in", str(tmp_path / "in"), "--out", str(tmp_path / "out")]
+    read = lambda n: nifti.decode((tmp_path / "out" / n).read_bytes())[0]
+    # above the chunks' dimensions properties are exchanged, so that slices come in the other order
+    assert programs.main(["flip", *where, "--along", "slice", "--name", "a.nii"], spark) == 0
+    assert read("a.nii").voxels.tolist() == [20, 21, 22, 23, 10, 11, 12, 13, 0, 1, 2, 3]
+    assert programs.main(["flip", *where, "--along", "row", "--flip", "space", "--name", "b.img", "--wf", "nii"], spark) == 0
+    got = read("b.nii")
+    assert got.voxels[0] == 0 and got.indexOrigin[0] == -1.0 and got.rowVec[0] == -1.0
+    assert programs.main(["flip", *where, "--along", "x", "--flip", "both", "--center", "--name", "c.nii", "--wformats", "png", "nifti"], spark) == 0
+    got = read("c.nii")
+    assert got.voxels[0] == 1 and got.indexOrigin[0] == 2.0 and got.rowVec[0] == -1.0
+    assert programs.main(["dump", "--in", str(tmp_path / "in")], spark) == 0
+    text = capsys.readouterr().out
+    assert "2x2x3x1" in text and "voxelGap" in text
+    (tmp_path / "raw").mkdir()
+    data = raw.encode([Chunk(np.arange(12, dtype="i2"), (3, 2, 2, 1), "s16bit")], swap=True)
+    (tmp_path / "raw" / "x.raw").write_bytes(b"head" + data)
+    options = ["--rawdims", "3", "2", "2", "--read-repn", "s16bit", "--offset", "4", "--byteswap", "--voxel", "1", "2", "3", "--origin", "4", "5", "6"]
+    assert programs.main(["raw", "--in", str(tmp_path / "raw"), "--out", str(tmp_path / "out"), "--name", "r.nii", *options], spark) == 0
+    got = read("r.nii")
+    assert got.voxels.tolist() == list(range(12)) and got.voxelSize == (1, 2, 3) and got.indexOrigin == (4, 5, 6)
+    assert programs.main(["dump", "--help-io"], spark) == 0 and "nifti: nii" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        programs.main(["dump"], spark)
+
+
+def test_names_from_standard_input(spark, tmp_path, monkeypatch):
+    import io
+
+    from lumenframe.sources import nifti
+    from lumenframe.sources.model import Chunk
+
+    (tmp_path / "a.nii").write_bytes(nifti.encode([Chunk(np.zeros(4), (2, 2, 1, 1), "double")]))
+    monkeypatch.setattr(sys, "stdin", io.StringIO(f"{tmp_path}/a.nii\n\n"))
+    assert load.load_list(spark, "-").count() == 1
