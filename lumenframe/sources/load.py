@@ -6,16 +6,20 @@ dialect; of several that fit, the first that doesn't fail wins.  Files are read
 
 from __future__ import annotations
 
+import importlib.util
 import subprocess
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.arrays import splice
+from lumenframe.functions.names import split_suffix
 from lumenframe.sources import archive, dicom, nifti, png, raw, vista
 from lumenframe.sources.model import SCHEMA, Chunk, FormatError, chunk_of
 
@@ -53,6 +57,41 @@ register_format(Format("png", ("png",), lambda d, dialect, name: png.decode(d, d
 register_format(Format("nifti", ("nii",), lambda d, dialect, _: nifti.decode(d, dialect), ("slices", "fsl", "spm"), nifti.encode))
 
 
+#: Modules of formats found by ``discover``; tasks import them when they need them.
+DISCOVERED: list[str] = []
+_imported: set[str] = set()
+
+
+def _known_modules(names: tuple[str, ...]) -> None:
+    for name in names:
+        if name not in _imported:
+            register_format(importlib.import_module(name).factory())
+            _imported.add(name)
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "*_format.py") -> dict[str, str]:
+    """Formats of the modules in a folder: each has a ``factory()`` that gives its ``Format``.
+
+    The modules are sent to the executors.  Returns the reason for every module that couldn't be used; the others are known from now on.
+    """
+    failed = {}
+    for f in sorted(Path(folder).glob(pattern)):
+        try:
+            if f.stem not in sys.modules:
+                spec = importlib.util.spec_from_file_location(f.stem, f)
+                sys.modules[f.stem] = importlib.util.module_from_spec(spec)
+                spec.loader.exec_module(sys.modules[f.stem])
+            _known_modules((f.stem,))
+        except Exception as e:  # noqa: BLE001  a foreign module may fail in any way; it is reported
+            sys.modules.pop(f.stem, None)
+            failed[f.name] = f"{type(e).__name__}: {e}"
+            continue
+        spark.sparkContext.addPyFile(str(f))
+        if f.stem not in DISCOVERED:
+            DISCOVERED.append(f.stem)
+    return failed
+
+
 def formats_for(name: str, suffix: str = "", dialect: str = "") -> list[Format]:
     """Formats of a file, longest suffix first; those without the dialect are left out if one is asked for."""
     low, found = (suffix or name).lower().lstrip("."), []
@@ -91,10 +130,12 @@ BATCH_VOXELS = 1 << 22
 
 def scan(spark: SparkSession, paths: list[str] | str, suffix: str = "", dialect: str = "") -> DataFrame:
     """Chunks of files and of the files directly in folders, one row each; what no format reads (a file, members of an archive) gives an error row."""
+    modules = tuple(DISCOVERED)
     # whole files stand in a row, so a batch holds few
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _known_modules(modules)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 chunks, error = decode_file(path, content.as_py(), suffix, dialect)
@@ -204,18 +245,40 @@ def encode_file(name: str, chunks: list[Chunk], formats: tuple[str, ...] = ()) -
     return None, None, reasons or ["no format writes this suffix"]
 
 
+def sliced(chunks: DataFrame, name: str = "file_name", order: str = "lookup", middle: bool = False) -> DataFrame:
+    """A chunk per slice, each with a file name of its own: ``name_001.png``, ...; with ``middle`` the middle slice of every file only, under its name.
+
+    For formats that hold one slice.  Numbers run through the chunks of a file in order and are as wide as the last one.
+    """
+    stem, suffix = split_suffix(F.col(name), [])
+    per = (F.col("dims")["s"] * F.col("dims")["t"]).cast("long")
+    chunks_of = Window.partitionBy(name)
+    d = chunks.withColumns({"__before": F.coalesce(F.sum(per).over(chunks_of.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum(per).over(chunks_of)})
+    block = F.col("dims")["c"] * F.col("dims")["r"]
+    d = d.select("*", F.posexplode(splice(F.col("voxels"), block)).alias("__i", "__v")).withColumn("__n", F.col("__before") + F.col("__i"))
+    if middle:
+        d, label = d.filter(F.col("__n") == F.floor(F.col("__all") / 2)), F.col(name)
+    else:
+        label = F.concat(stem, F.lit("_"), F.lpad((F.col("__n") + 1).cast("string"), F.length(F.col("__all").cast("string")), "0"), suffix)
+    one = F.lit(1)
+    flat = F.struct(F.col("dims")["c"].alias("c"), F.col("dims")["r"].alias("r"), one.alias("s"), one.alias("t"))
+    return d.withColumns({name: label, "dims": flat, "voxels": F.col("__v"), order: F.col("__n")}).drop("__before", "__all", "__i", "__v", "__n")
+
+
 def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str = "lookup", formats: tuple[str, ...] = ()) -> DataFrame:
     """One file per name from its chunks in order; (file_name, bytes, error, format, refused) per file.
 
     The first format that takes the chunks writes them; ``refused`` has the reasons of those before it.  ``folder`` is one that all executors share.  An image's chunks meet in one task, as its file is one piece.
     """
     schema = "file_name string, bytes long, error string, format string, refused string"
+    modules = tuple(DISCOVERED)
 
     def run(key, rows):
         import os
 
         import pandas as pd
 
+        _known_modules(modules)
         own = [chunk_of(r) for r in rows.sort_values(order).to_dict("records")]
         target, error, size = str(key[0]), None, 0
         data, used, reasons = encode_file(target, own, formats)

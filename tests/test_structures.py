@@ -392,3 +392,35 @@ def test_names_from_standard_input(spark, tmp_path, monkeypatch):
     (tmp_path / "a.nii").write_bytes(nifti.encode([Chunk(np.zeros(4), (2, 2, 1, 1), "double")]))
     monkeypatch.setattr(sys, "stdin", io.StringIO(f"{tmp_path}/a.nii\n\n"))
     assert load.load_list(spark, "-").count() == 1
+
+
+def test_formats_are_discovered(spark, tmp_path):
+    (tmp_path / "mods").mkdir()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "mods" / "plain_format.py").write_text(textwrap.dedent("""
+        import numpy as np
+        from lumenframe.sources.load import Format
+        from lumenframe.sources.model import Chunk
+
+        def decode(data, dialect, name):
+            v = np.array([float(x) for x in data.split()])
+            return [Chunk(v, (len(v), 1, 1, 1), "double")]
+
+        def factory():
+            return Format("plain", ("pln",), decode)
+    """))
+    (tmp_path / "mods" / "broken_format.py").write_text("raise RuntimeError('no')")
+    (tmp_path / "mods" / "other.py").write_text("raise RuntimeError('not looked at')")
+    assert load.discover(spark, str(tmp_path / "mods")) == {"broken_format.py": "RuntimeError: no"}
+    (tmp_path / "in" / "a.pln").write_text("1 2 3.5")
+    assert load.load(spark, str(tmp_path / "in")).first().voxels == [1.0, 2.0, 3.5]
+
+
+def test_slices_get_files_of_their_own(spark, tmp_path):
+    c = spark.createDataFrame([("v.png", k, [float(10 * k + i) for i in range(12)]) for k in range(4)], "file_name string, lookup long, voxels array<double>")
+    c = c.select("*", F.lit("u8bit").alias("type_id"), dims(2, 2, 3, 1).alias("dims"), F.lit(0).alias("sequenceNumber"), F.lit(0).cast("long").alias("acquisitionNumber"))
+    got = {r.file_name: r.voxels for r in load.sliced(c).collect()}
+    assert len(got) == 12 and got["v_01.png"] == [0, 1, 2, 3] and got["v_05.png"] == [14, 15, 16, 17] and got["v_12.png"] == [38, 39, 40, 41]
+    assert {r.file_name: r.voxels for r in load.sliced(c, middle=True).collect()} == {"v.png": [20, 21, 22, 23]}
+    sink.write_chunks(load.sliced(c), str(tmp_path / "out"))
+    assert len(os.listdir(tmp_path / "out")) == 12
