@@ -5,7 +5,7 @@ first and last three bytes of that form, all A-Z lower-cased; neighbouring state
 
 Fit, on a bounded sample of labelled documents on the driver (``SAMPLE_DOCS`` per class, whole
 texts): words that stand in toxic documents far more often than in others are the labelled
-tokens; the field is fitted on the windows that hold one and a window drawn from each text, by
+tokens; the field is fitted on all words of these texts, in chains of ``WINDOW`` words, by
 gradient steps on its likelihood; a logistic
 regression on summed marginals maps texts to scores, weighted to the classes' shares among all labels.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import arrowtext as A
 
 SAMPLE_DOCS = 2500
+#: Words of a chain in the fit; scoring takes texts whole.
 WINDOW = 64
 STEPS = 150
 #: A word is a labelled token from these log odds on, in at least this share (and number) of toxic documents.
@@ -174,21 +175,17 @@ def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, class_weights: tu
     place = np.minimum(np.searchsorted(clean, words), len(clean) - 1)
     odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((np.where(clean[place] == words, in_clean[place], 0) + 0.5) / (n0 + 1))
     lexicon = words[(in_toxic >= max(LEAST_DOCS, LEAST_SHARE * n1)) & (odds >= LEAST_LOG_ODDS)]
-    # windows of whole texts: all that hold a labelled token, and one of each text, drawn over its whole length
-    drawn, most = np.random.default_rng(41).integers(0, np.maximum(1, -(-n_words // WINDOW))), int(n_words.max()) // WINDOW + 1
-    used: list[tuple] = []
+    # every word of every text, in runs of WINDOW words: a run is one chain
+    keys = np.unique(np.concatenate([np.unique(f) for _, f, _ in runs()]))
+    places, tags, lengths = [], [], []
     for i, f, first in runs():
-        doc = np.repeat(np.arange(i, i + len(first) - 1), np.diff(first))
-        y = np.isin(f[0], lexicon) & toxic[doc]
-        window = (np.arange(len(doc)) - first[doc - i]) // WINDOW
-        group = doc * most + window
-        use = np.isin(group, np.unique(group[y])) | (window == drawn[doc])
-        used.append((f[:, use], y[use], group[use]))
-    fu, yu, gu = (np.concatenate(x, axis=-1) for x in zip(*used))
-    del used
-    lengths = np.diff(np.append(np.flatnonzero(np.append(True, gu[1:] != gu[:-1])), len(gu)))
-    keys, at = np.unique(fu, return_inverse=True)
-    at = at.reshape(fu.shape)
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        places.append(np.searchsorted(keys, f).astype(np.int32))
+        tags.append(np.isin(f[0], lexicon) & toxic[i + doc])
+        starts = np.flatnonzero((np.arange(len(doc)) - first[doc]) % WINDOW == 0)
+        lengths.append(np.diff(np.append(starts, len(doc))))
+    at, yu, lengths = np.concatenate(places, axis=1), np.concatenate(tags), np.concatenate(lengths)
+    del places, tags
     weights, bias, trans = np.zeros(len(keys)), np.log((yu.sum() + 1) / (len(yu) + 2)), np.zeros((2, 2))
     grad2 = [np.full(len(keys), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     joined = np.ones(len(yu), bool)
@@ -197,11 +194,11 @@ def fit(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, class_weights: tu
     steps_seen = np.zeros((2, 2))
     np.add.at(steps_seen, (yu[inner - 1].astype(int), yu[inner].astype(int)), 1)
     for _ in range(steps):
-        e = bias + weights[at].sum(axis=0)
+        e = bias + weights[at[0]] + weights[at[1]] + weights[at[2]]
         m, ahead, back = forward_backward(e, lengths, trans)
         pair = _pair_counts(e, trans, ahead, back, inner)
         d = yu - m
-        g = np.bincount(at.ravel(), weights=np.tile(d, 3), minlength=len(keys)) - 0.05 * weights
+        g = sum(np.bincount(row, weights=d, minlength=len(keys)) for row in at) - 0.05 * weights
         gb, gt = d.sum(), steps_seen - pair - 0.05 * trans
         grad2[0] += g**2
         grad2[1] += gb**2
@@ -235,9 +232,11 @@ def _chunked(data, offsets, starts, ends, first):
 def _pair_counts(e: np.ndarray, trans: np.ndarray, ahead: np.ndarray, back: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Expected transitions into the words ``inner``: forward message of the word before, transition, word, backward message."""
     a, psi = np.exp(trans), np.exp(np.clip(e[inner], -30, 30))
-    left, right = np.stack([1 - ahead[inner - 1], ahead[inner - 1]]), np.stack([1 - back[inner], back[inner] * psi])
-    both = left[:, None] * a[:, :, None] * right[None]
-    return (both / both.sum(axis=(0, 1))).sum(axis=2)
+    l1, r1, r0 = ahead[inner - 1], back[inner] * psi, 1 - back[inner]
+    l0 = 1 - l1
+    whole = l0 * (a[0, 0] * r0 + a[0, 1] * r1) + l1 * (a[1, 0] * r0 + a[1, 1] * r1)
+    l0, l1 = l0 / whole, l1 / whole
+    return a * np.array([[l0 @ r0, l0 @ r1], [l1 @ r0, l1 @ r1]])
 
 
 SCHEMA = "doc_id long, score double, predicted int, toxic_words double, spans string"
