@@ -13,7 +13,7 @@ from lumenframe.operators import image, nested, props, walk
 from lumenframe.plans.bindings import dims, event_chunks, event_tree, read
 from lumenframe.plans.registry import register
 from lumenframe.plans.trees import LOOKUP, PLACE, shape_sql, tree_sql
-from lumenframe.plans.values import RANGES, scale_sql
+from lumenframe.plans.values import scale_sql
 
 PLACED_NEEDS = ("indexOrigin", "voxelSize", "rowVec", "columnVec")
 _KEYS = "CASE WHEN user_id % 3 = 0 AND event_id % 11 <> 0 THEN (value > 25)::INTEGER::VARCHAR END AS a, CASE WHEN user_id % 3 < 2 THEN (value > 60)::INTEGER::VARCHAR END AS b, CASE WHEN event_id % 5 <> 0 THEN (value > 40)::INTEGER::VARCHAR END AS c"
@@ -41,7 +41,6 @@ def assemble_fallback_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("arrival", "image_id", F.col("__by").alias("sorted_by"), "rectangular")
 
 
-FACTS = "seq, event_type, value, (seq % 7)::VARCHAR AS coil"
 _WIDE = f"SELECT l.*, e.event_type, (l.seq % 7)::VARCHAR AS coil FROM ({LOOKUP}) l JOIN events e ON e.event_id = l.arrival"
 _SAME = "CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END"
 
@@ -213,11 +212,11 @@ def major_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 64-bit numbers far beyond 2**53, colours and complex numbers, in chunks of 4 x 2
 _I = "list_transform(range(8), lambda i: {})"
-_FLIPPED = "list_transform(range(8), lambda i: v[(i // 4) * 4 + 4 - i % 4])"
+_FLIPPED = "list_transform(range(8), lambda i: ({})[(i // 4) * 4 + 4 - i % 4])"
 
 
 def _typed_sql() -> str:
-    text = lambda body, one: f"'8#' || array_to_string(list_transform(list_transform([{_FLIPPED}], lambda w: w)[1], lambda y: {one}), '|')".replace("v[", f"({_I.format(body)})[")
+    text = lambda body, one: f"'8#' || array_to_string(list_transform({_FLIPPED.format(_I.format(body))}, lambda y: {one}), '|')"
     s64, u64, grey = "1152921504606846976 + vec_id * 64 + i", "9223372036854775808::UBIGINT + vec_id::UBIGINT * 64 + i::UBIGINT", "(vec_id + i) % 200"
     channel = lambda k: f"({grey} + {k})"
     color = f"'{{' || {channel(0)} || ',' || {channel(1)} || ',' || {channel(2)} || '}}'"
