@@ -191,11 +191,12 @@ def flipped_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("__last", last).withColumn("lookup", F.col("__last") - F.col("lookup")).drop("__last")
 
 
-def swapped_properties(chunks: DataFrame, images: DataFrame, axis: str, carried: tuple[str, ...] = ("voxels",)) -> DataFrame:
+def swapped_properties(chunks: DataFrame, images: DataFrame, axis: str, carried: tuple[str, ...] = ("voxels",), unpaired: bool = True) -> DataFrame:
     """Chunks along one axis of the image exchange their properties, first with last, and keep what is ``carried``.
 
     Only for axes above the chunks' own dimensions, where an image has more than one chunk; others keep their place.  The mirrored place follows
-    from the image's and the chunk's dims, so chunks meet properties by (image_id, lookup).  A chunk without a partner keeps its own.
+    from the image's and the chunk's dims, so chunks meet properties by (image_id, lookup).  A chunk without a partner keeps its own, or is left out if
+    ``unpaired`` is false.
     """
     k = A.AXES.index(axis)
     sizes = images.select("image_id", F.col("dims").alias("__image"))
@@ -208,7 +209,7 @@ def swapped_properties(chunks: DataFrame, images: DataFrame, axis: str, carried:
     mirrored = F.col("lookup") + below * (along[k] - 1 - 2 * here)
     names = [c for c in chunks.columns if c not in ("image_id", "lookup", *carried)]
     moved = d.select("image_id", mirrored.alias("lookup"), F.struct(*names).alias("__moved"))
-    both = chunks.join(moved, ["image_id", "lookup"], "left")
+    both = chunks.join(moved, ["image_id", "lookup"], "left" if unpaired else "inner")
     given = F.col("__moved").isNotNull()
     return both.select(*[F.when(given, F.col("__moved")[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in chunks.columns])
 

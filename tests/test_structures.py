@@ -15,6 +15,7 @@ from lumenframe.functions import geometry as G
 from lumenframe.functions import matrices as M
 from lumenframe.operators import assemble as AS
 from lumenframe.operators import image, nested, props, walk
+from lumenframe.plans import registry, structures  # noqa: F401
 from lumenframe.plans.bindings import dims
 from lumenframe.sources import load, sink
 from lumenframe.streaming import records as R
@@ -91,6 +92,18 @@ def test_swap_needs_a_partner(spark):
     assert got == {0: (40, 0.0), 1: (10, 1.0), 2: (20, 2.0), 3: (30, 3.0), 4: (0, 4.0)}  # the partner of chunk 1 isn't there
 
 
+@pytest.mark.parametrize("axis", ["r", "s", "t"])
+def test_swap_queries_on_an_image_that_lacks_chunks(spark, tmp_path, axis):
+    import duckdb
+
+    e = spark.range(0, 33).select(F.col("id").alias("vec_id"), F.array(*[F.col("id").cast("float") + k for k in range(64)]).alias("embedding"), (F.col("id") % 10).cast("int").alias("label"))
+    e.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    name = f"swap_properties_{axis}"
+    want = duckdb.execute(registry.oracle_sql()[name].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    got = registry.queries()[name](spark, str(tmp_path)).select("image_id", "lookup", "number", "label", "first").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and 20 <= len(want) < 33
+
+
 def test_conversion_leaves_chunks_of_the_type(spark):
     rows = [(1, 0, "u8bit", [1.0, 250.0]), (1, 1, "float", [-1.0, 2.0]), (2, 0, "u8bit", [3.0, 4.0]), (3, 0, "float", [float("nan")]), (3, 1, "u8bit", [7.0])]
     c = spark.createDataFrame(rows, "image_id long, lookup long, type_id string, voxels array<double>")
@@ -150,6 +163,14 @@ def test_nested_documents(spark):
     assert empty.count() == 0 and empty.columns == list(props.COLUMNS)
 
 
+def test_nested_documents_stay_in_their_rows(spark):
+    wide = '{"list":[%s],"A.b":1,"a":{"B":2,"c":3},"a.C":4}' % ",".join('{"k":%d}' % i for i in range(300))
+    tree, _ = nested.from_nested_json(spark.createDataFrame([(1, wide), (2, '{"a.C":5}')], "id long, text string"), "id", "text", separator=".")
+    got = sorted((r.owner, r.path, r.value) for r in tree.collect())
+    assert got == sorted([(1, f"list[{i}]/k", str(i)) for i in range(300)] + [(1, "A/b", "1"), (1, "a/C", "4"), (2, "a/C", "5")])
+    assert "Exchange" not in tree._jdf.queryExecution().executedPlan().toString()  # leaves aren't shuffled
+
+
 def test_matrices(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(3, 5)), rng.normal(size=(5, 2))
