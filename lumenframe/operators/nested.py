@@ -11,7 +11,7 @@ move, and documents of any number are independent of each other; a document's le
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.arrays import bind
@@ -21,16 +21,9 @@ from lumenframe.operators import props
 LIST_BRANCHES = ("samples", "slices")
 
 
-def nesting(json: Column) -> Column:
-    """Depth of brackets and braces outside of strings."""
-    marks = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}\[\]]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(state: Column, mark: Column) -> Column:
-        now = state["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    return F.aggregate(F.split(marks, ""), start, step)["most"]
+def most_levels(json: Column) -> Column:
+    """No document is deeper than it has opening brackets and braces."""
+    return F.length(json) - F.length(F.translate(json, "{[", ""))
 
 
 def _type(v: Column) -> Column:
@@ -46,35 +39,53 @@ def _entries(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _open(v: Column) -> Column:
-    """1 for an object, 2 for a list with an object in it, else 0.  Found once, when a value comes out of its parent."""
-    has_object = F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda e: _entries(e).isNotNull())
-    return F.when(_entries(v).isNotNull(), 1).when(has_object, 2).otherwise(0)
+def _items(v: Column) -> Column:
+    """The elements of a list; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
 
+#: A value with its path; its entries or elements, if it is to be opened further.  They are read once, when the value comes out of its parent.
+_ROWS = "array<struct<path:string,v:variant,entries:map<string,variant>,items:array<variant>>>"
 
-_ROWS = "array<struct<path:string,v:variant,open:int>>"
+
+def _row(path: Column, v: Column) -> Column:
+    """Objects are opened, and lists with an object in them."""
+    listed = F.when(F.exists(_items(v), lambda e: _entries(e).isNotNull()), _items(v))
+    return F.struct(path.alias("path"), v.alias("v"), _entries(v).alias("entries"), listed.alias("items"))
 
 
 def _below(o: Column, separator: str | None) -> Column:
     """The entries of an object, or of a list with objects in it."""
     name = (lambda key: F.replace(key, F.lit(separator), F.lit("/"))) if separator else (lambda key: key)
     under = lambda key: F.when(o["path"] == "", key).otherwise(F.concat(o["path"], F.lit("/"), key))
-    row = lambda p, x: F.struct(p.alias("path"), x.alias("v"), _open(x).alias("open"))
-    entries = F.transform(F.map_entries(_entries(o["v"])), lambda e: row(under(name(e["key"])), e["value"]))
-    numbered = F.transform(F.try_variant_get(o["v"], "$", "array<variant>"), lambda e, i: row(F.concat(o["path"], F.lit("["), i.cast("string"), F.lit("]")), e))
-    return F.when(o["open"] == 1, entries).otherwise(numbered)
+    entries = F.transform(F.map_entries(o["entries"]), lambda e: _row(under(name(e["key"])), e["value"]))
+    numbered = F.transform(o["items"], lambda e, i: _row(F.concat(o["path"], F.lit("["), i.cast("string"), F.lit("]")), e))
+    return F.when(o["entries"].isNotNull(), entries).otherwise(numbered)
 
 
 def _walked(v: Column, depth: Column, separator: str | None) -> Column:
-    """(path, v, open) of all values that aren't opened further.  As many rounds as the document is deep; each looks at open values only."""
-    start = F.struct(F.array(F.struct(F.lit("").alias("path"), v.alias("v"), F.lit(1).alias("open"))).alias("open"), F.array().cast(_ROWS).alias("done"))
+    """(path, v) of all values that aren't opened further.  As many rounds as the document is deep; each looks at open values only, and those after the last do nothing."""
+    first = F.struct(F.lit("").alias("path"), v.alias("v"), _entries(v).alias("entries"), F.lit(None).cast("array<variant>").alias("items"))
+    start = F.struct(F.array(first).cast(_ROWS).alias("new"), F.array().cast(_ROWS).alias("done"))
+    opened = lambda x: x["entries"].isNotNull() | x["items"].isNotNull()
 
     def round_(state: Column, _: Column) -> Column:
-        new = F.flatten(F.transform(state["open"], lambda o: _below(o, separator)))
-        split = lambda n: F.struct(F.filter(n, lambda x: x["open"] > 0).alias("open"), F.concat(state["done"], F.filter(n, lambda x: x["open"] == 0)).alias("done"))
-        return bind(new, split)
+        new = F.flatten(F.transform(F.filter(state["new"], opened), lambda o: _below(o, separator)))
+        done = F.concat(state["done"], F.filter(state["new"], lambda x: ~opened(x)))
+        return F.when(F.size(state["new"]) > 0, F.struct(new.alias("new"), done.alias("done"))).otherwise(state)
+
+    done = F.aggregate(F.when(depth > 0, F.sequence(F.lit(0), depth)).otherwise(F.array().cast("array<int>")), start, round_)["done"]
+    return F.transform(done, lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v")))
+
 
-    return F.aggregate(F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), start, round_)["done"]
+def _first_of_name(leaves: Column) -> Column:
+    """Of a document's leaves whose paths differ by case only, those of the first path.  Mostly there are none, then nothing is sorted."""
+    lower = F.transform(leaves, lambda x: F.lower(x["path"]))
+    named = F.array_sort(F.array_distinct(F.transform(leaves, lambda x: F.struct(F.lower(x["path"]).alias("lower"), x["path"].alias("path")))))
+    later = bind(named, lambda n: F.transform(F.filter(n, lambda x, i: (i > 0) & (F.get(n, i - 1)["lower"] == x["lower"])), lambda x: x["path"]))
+    kept = bind(later, lambda gone: F.filter(leaves, lambda x: ~F.array_contains(gone, x["path"])))
+    one_each = F.size(F.array_distinct(lower)) == F.size(F.array_distinct(F.transform(leaves, lambda x: x["path"])))
+    return F.when(one_each, leaves).otherwise(kept)
 
 
 #: Types of lists that are one property.
@@ -84,7 +95,7 @@ _LISTS = ((r"^ARRAY<(BIGINT|VOID)>$", "list_int"), (r"^ARRAY<(DOUBLE|FLOAT|DECIM
 def _leaves(d: DataFrame, list_branches: tuple[str, ...]) -> DataFrame:
     d = d.withColumn("kind", _type(F.col("v")))
     v, kind = F.col("v"), F.col("kind")
-    items = F.try_variant_get(v, "$", "array<variant>")
+    items = _items(v)
     by_volume = F.exists(F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p.isin(*list_branches)) if list_branches else F.lit(False)
     plain = kind.rlike("|".join(r for r, _ in _LISTS))
     dealt = _is(kind, "ARRAY") & (by_volume | ~F.coalesce(plain, F.lit(False)) | (F.size(items) == 0))
@@ -102,13 +113,12 @@ def _leaves(d: DataFrame, list_branches: tuple[str, ...]) -> DataFrame:
 def from_nested_json(rows: DataFrame, owner: str, json: str, separator: str | None = None, list_branches: tuple[str, ...] = LIST_BRANCHES) -> tuple[DataFrame, DataFrame]:
     """The property tree of a JSON document per row, and the owners whose text is no JSON object.
 
-    Paths that differ by case only, or become the same by the separator, are one property: that of the first key in the order of code points.
+    Paths of a document that differ by case only, or do so by the separator, are one property: that of the first path in the order of code points.  This is
+    settled in the document's row, so leaves never move.
     """
     docs = rows.select(F.col(owner).alias("owner"), F.col(json).alias("json")).withColumn("v", F.try_parse_json("json"))
     sound = F.col("json").isNotNull() & F.coalesce(_entries(F.col("v")).isNotNull(), F.lit(False))
     refused = docs.filter(F.col("json").isNotNull() & ~sound).select("owner")
-    leaves = F.explode(_walked(F.col("v"), nesting(F.col("json")), separator)).alias("e")
+    leaves = F.explode(bind(_walked(F.col("v"), most_levels(F.col("json")), separator), _first_of_name)).alias("e")
     d = docs.filter(sound).select("owner", leaves).select("owner", "e.path", "e.v")
-    tree = _leaves(d, tuple(b.lower() for b in list_branches))
-    first = F.min("path").over(Window.partitionBy("owner", "path_lc"))
-    return tree.withColumn("__first", first).filter(F.col("path") == F.col("__first")).select(*props.COLUMNS), refused
+    return _leaves(d, tuple(b.lower() for b in list_branches)).select(*props.COLUMNS), refused
