@@ -7,6 +7,7 @@ dialect; of several that fit, the first that doesn't fail wins.  Files are read
 from __future__ import annotations
 
 import importlib.util
+import os
 import subprocess
 import sys
 from collections.abc import Callable, Iterator
@@ -273,15 +274,10 @@ def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str =
     schema = "file_name string, bytes long, error string, format string, refused string"
     modules = tuple(DISCOVERED)
 
-    def run(key, rows):
-        import os
-
-        import pandas as pd
-
-        _known_modules(modules)
-        own = [chunk_of(r) for r in rows.sort_values(order).to_dict("records")]
-        target, error, size = str(key[0]), None, 0
-        data, used, reasons = encode_file(target, own, formats)
+    def saved(target: str, held: list[tuple[object, Chunk]]) -> tuple:
+        held.sort(key=lambda x: (x[0] is None or x[0] != x[0], 0 if x[0] is None else x[0]))  # without a place: last
+        error, size = None, 0
+        data, used, reasons = encode_file(target, [c for _, c in held], formats)
         try:
             if data is None:
                 raise FormatError("; ".join(reasons))
@@ -292,9 +288,33 @@ def write(chunks: DataFrame, folder: str, name: str = "file_name", order: str =
             size = len(data)
         except (FormatError, OSError) as e:
             error = str(e)
-        return pd.DataFrame({"file_name": [target], "bytes": [size], "error": [error], "format": [used], "refused": ["; ".join(reasons) or None]})
+        return target, size, error, used, "; ".join(reasons) or None
 
-    return chunks.groupBy(name).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One file after another: only the chunks of one file are held, and what was written goes out with its batch."""
+        _known_modules(modules)
+        fields = ("file_name", "bytes", "error", "format", "refused")
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        out = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=fields)
+        current, held = None, []
+        for b in batches:
+            done = []
+            names, places, voxels = b.column(name).to_pylist(), b.column(order).to_pylist(), b.column("voxels")
+            heads = b.drop_columns(["voxels"]).to_pylist()
+            for i, target in enumerate(names):
+                target = str(target)
+                if held and target != current:
+                    done.append(saved(current, held))
+                    held = []
+                v = voxels[i].values
+                current = target
+                held.append((places[i], chunk_of(heads[i] | {"voxels": None if v is None else v.to_numpy(zero_copy_only=False)})))
+            if done:
+                yield out(done)
+        if held:
+            yield out([saved(current, held)])
+
+    return chunks.repartition(F.col(name)).sortWithinPartitions(name).mapInArrow(run, schema)
 
 
 def __getattr__(name: str):

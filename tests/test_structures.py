@@ -49,6 +49,11 @@ def test_first_chunk_decides_the_sorting(spark):
     assert [(x.arrival, x.reason) for x in r.rejected.collect()] == [(8, "no property to sort by")]
 
 
+def test_headers_are_dealt_finer_than_the_session_says(spark):
+    c = AS.assemble(headers(spark, [(i, i, 0.0, i, 1, "x") for i in range(200)], "a long, b long, c string"), secondary="a", needed=NEEDED).chunks
+    assert c.count() == 200 and c.rdd.getNumPartitions() == AS.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_reindex_carries_properties_and_geometry(spark):
     rows = [(i, 1, float(i * 3), i, 7, "same" if i < 4 else None) for i in range(5)] + [(10, 2, 0.0, 1, 1, "only")]
     chunks = headers(spark, rows).withColumn("props", F.create_map(F.lit("k"), F.lit("v"), F.lit("n"), F.col("arrival").cast("string")))
@@ -171,6 +176,27 @@ def test_nested_documents_stay_in_their_rows(spark):
     assert "Exchange" not in tree._jdf.queryExecution().executedPlan().toString()  # leaves aren't shuffled
 
 
+def test_files_are_written_in_batches(spark, tmp_path):
+    rows = [(f"f{i % 5}.nii" if i < 15 else f"g{i}.png", -i) for i in range(40)]
+    d = spark.createDataFrame(rows, "file_name string, lookup int").select(
+        "file_name", "lookup", F.lit("u8bit").alias("type_id"), dims(2, 2, 1, 1).alias("dims"), F.lit(None).cast("int").alias("sequenceNumber"), F.lit(1).cast("long").alias("acquisitionNumber"), F.lit(None).cast("double").alias("acquisitionTime"),
+        *[G.struct(G.vector(*v)).alias(n) for n, v in (("indexOrigin", (0, 0, 0)), ("rowVec", (1, 0, 0)), ("columnVec", (0, 1, 0)), ("sliceVec", (0, 0, 1)), ("voxelSize", (1, 1, 1)), ("voxelGap", (0, 0, 0)))],
+        F.lit(None).cast("double").alias("repetitionTime"), F.create_map().cast("map<string,string>").alias("props"), F.array_repeat(-F.col("lookup").cast("double"), 4).alias("voxels"),
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # files cross batches
+    try:
+        done = load.write(d, str(tmp_path))
+        assert "FlatMapGroups" not in done._jdf.queryExecution().executedPlan().toString()  # no table of its own for each file
+        got = {r.file_name: (r.bytes, r.error, r.format, r.refused) for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 30 and all(n > 0 and e is None and f == ("nifti" if k[0] == "f" else "png") and r is None for k, (n, e, f, r) in got.items())
+    for k in range(5):  # in the order of lookup: 10 + k, 5 + k, k
+        voxels = [v for x in load.decode_file(f"f{k}.nii", (tmp_path / f"f{k}.nii").read_bytes())[0] for v in x.voxels]
+        assert voxels == [10 + k] * 4 + [5 + k] * 4 + [k] * 4
+
+
 def test_matrices(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(3, 5)), rng.normal(size=(5, 2))
