@@ -22,6 +22,8 @@ from lumenframe.functions import geometry as G
 EQUALITY = ("sequenceNumber", "voxelSize", "rowVec", "columnVec", "sliceVec", "coilChannelMask", "echoNumbers", "coilString")
 #: Properties without which a chunk is dropped.
 NEEDED = ("indexOrigin", "acquisitionNumber", "voxelSize", "rowVec", "columnVec")
+#: Headers are dealt over so many times the session's partitions, as a task sorts its share several times over and holds two sorts of it at once.
+FINER = 4
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,8 @@ def placed(chunks: DataFrame, equality: tuple[str, ...] = EQUALITY, secondary: s
     names = _names(secondary)
     key = [F.col("dims"), *[F.col(n) for n in equality if n in chunks.columns], F.when(F.col("dims")["s"] > 1, F.col("indexOrigin"))]
     d = chunks.filter(valid_chunks(chunks, needed)).withColumns({"__key": F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]), "__p": projected_position(chunks)})
-    d = d.withColumn("__k", F.xxhash64("__key")).repartition("__k")  # the only exchange
+    parts = FINER * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.withColumn("__k", F.xxhash64("__key")).repartition(parts, "__k")  # the only exchange
     d = _sorted_by(d.withColumn("__g", F.min("arrival").over(Window.partitionBy("__k", "__key"))), names)
     d = d.withColumn("__v", F.struct(*[F.when(F.col("__by") == i, F.col(n)).alias(n) for i, n in enumerate(names)]) if len(names) > 1 else F.col(names[0]))
     d = d.withColumn("__dup", F.row_number().over(Window.partitionBy("__k", "__g", "__by", "__p", "__v").orderBy("arrival")))
