@@ -15,6 +15,8 @@ an empty result.  Only the named columns are read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ MIN_LEFT_SHARE = 0.3
 MIN_LEFT_WORDS = 5
 #: Keys of 8 bytes that are broadcast at most; more are joined by key.
 BROADCAST_ROWS = 200_000
-#: Texts that lose lines (a digest and some keys each) that are broadcast at most.
-BROADCAST_TEXTS = 50_000
+#: Frequent lines (a key and a digest each) that are looked up row by row at most; with more, texts are joined with their removed lines.
+LOOKUP_LINES = 50_000
 
 # Windows of eight word hashes; positions in windows found twice or more; the words that they cover.
 # An array of one element binds a value to a name, so that it is computed once.
@@ -83,47 +85,59 @@ def _lines(texts: DataFrame, *also: str) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, count_copies: bool = True) -> DataFrame:
-    """For each distinct text that loses lines: __vhost, __vmd5, keys of its removed lines, their words.
+def frequent_lines(texts: DataFrame, line_limit: int, count_copies: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (__line, __host, __md5, __words) of texts with lines that may be frequent, and the lines that are: __line, __kmd5 (the text that keeps it, or null).
 
     A first pass counts occurrences by key, summed in each task before the exchange; lines that don't occur more often
     than the limit can't stand in more documents.  The rest, settled and counted, is broadcast if it is small and joined by
     its key otherwise; only its lines go on to the exact count.
     """
-    texts = _texts(docs, id_col, text_col, host_col)
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if bounded else df
-
     often = settle(_lines(texts).groupBy("__line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_limit).select("__line"))
-    bounded = often.count() <= BROADCAST_ROWS
     words = F.size(F.array_remove(F.split(_flat(F.col("__l")), " "), "")).cast("long")
     # the row's number keeps the words of repeated rows apart
     rows = settle(
         _lines(texts.withColumn("__row", F.monotonically_increasing_id()), "doc_id", "__md5", "__row")
-        .join(small(often), "__line")
+        .join(_small(often), "__line")
         .withColumn("__words", words)
         .groupBy("__line", "__host", "__md5", "doc_id", "__row")
         .agg(F.sum("__words").alias("__words"))
     )
+    by_text = rows.groupBy("__line", "__host", "__md5").agg(F.min("doc_id").alias("doc_id"), F.max("__words").alias("__words"))
     if count_copies:
         document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("__md5")))
-        frequent = rows.groupBy("__line").agg(F.count_distinct(document).alias("n")).filter(F.col("n") > line_limit).select("__line")
-        lost = rows.join(small(frequent), "__line").groupBy("__line", "__host", "__md5").agg(F.max("__words").alias("__words"))
+        counted = rows.groupBy("__line").agg(F.count_distinct(document).alias("n"), F.lit(None).cast("string").alias("__kmd5"))
     else:
-        by_text = rows.groupBy("__line", "__host", "__md5").agg(F.min("doc_id").alias("doc_id"), F.max("__words").alias("__words"))
-        frequent = (
-            by_text.groupBy("__line")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "__md5")).alias("__keeper"))
-            .filter(F.col("n") > line_limit)
-            .select("__line", F.col("__keeper.__md5").alias("__kmd5"))
-        )
-        lost = by_text.join(small(frequent), "__line").filter(F.col("__md5") != F.col("__kmd5"))
+        keeper = F.min(F.struct("doc_id", "__md5"))["__md5"]
+        counted = by_text.groupBy("__line").agg(F.count(F.lit(1)).alias("n"), keeper.alias("__kmd5"))
+    return by_text, settle(counted.filter(F.col("n") > line_limit).select("__line", "__kmd5"))
+
+
+def _small(lines: DataFrame) -> DataFrame:
+    return F.broadcast(lines) if lines.count() <= BROADCAST_ROWS else lines
+
+
+def removed_lines(by_text: DataFrame, frequent: DataFrame) -> DataFrame:
+    """For each distinct text that loses lines: __vhost, __vmd5, keys of its removed lines, their words."""
+    lost = by_text.join(_small(frequent), "__line").filter(~F.col("__md5").eqNullSafe(F.col("__kmd5")))
     return (
         lost.groupBy(F.col("__host").alias("__vhost"), F.col("__md5").alias("__vmd5"))
         .agg(F.collect_set("__line").alias("__removed"), F.sum("__words").alias("removed_words"))
     )
 
 
+def _lookup(frequent: DataFrame, n: int) -> Column:
+    """The n frequent lines as a constant, an array of n buckets by key, so that a row finds a line without a join."""
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for line, keeper in frequent.toLocalIterator():
+        buckets[line % n].append({"line": line, "keeper": keeper})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<line: bigint, keeper: string>>>")
+
+
+def _once(value: Column, name: str, docs: DataFrame) -> DataFrame:
+    """``docs`` and the value, which filters after it don't compute anew."""
+    return docs.select("*", F.explode(F.array(value)).alias(name))
+
+
 def quality(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -148,7 +162,7 @@ def quality(
         .select("doc_id", "__host", "__md5", "n_symbols", "n_dup_lines", F.expr(_WORD_SIGNALS).alias("__s"))
         .select("doc_id", "__host", "__md5", "__s.n_words", "__s.word_chars", "n_symbols", "n_dup_lines", "__s.n_repeat_words")
     )
-    removed = removed_lines(docs, id_col, text_col, host_col, line_limit, count_copies).drop("__removed")
+    removed = removed_lines(*frequent_lines(_texts(docs, id_col, text_col, host_col), line_limit, count_copies)).drop("__removed")
     judged = signals.join(removed, F.col("__host").eqNullSafe(F.col("__vhost")) & (F.col("__md5") == F.col("__vmd5")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -170,25 +184,40 @@ def quality_filtered(
     min_left_words: int = MIN_LEFT_WORDS,
     count_copies: bool = True,
 ) -> DataFrame:
-    """The rows that pass, all columns, with boilerplate lines cut from their texts (and ``chars_col`` set anew)."""
+    """The rows that pass, all columns, with boilerplate lines cut from their texts (and ``chars_col`` set anew).
+
+    Texts stay where they are: frequent lines are looked up in each row.  Only if there are more than ``LOOKUP_LINES`` of
+    them, texts are joined with the lines that they lose.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    removed = settle(removed_lines(docs, id_col, text_col, host_col, line_limit, count_copies))
-    if removed.count() <= BROADCAST_TEXTS:  # then the texts needn't be shuffled
-        removed = F.broadcast(removed)
-    kept_lines = F.filter(F.split(text, "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__removed"), line_key(F.col(host_col), x))))
-    clean = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines, "\n"))
-    signals = (
-        docs.withColumns({"__md5": F.md5(text), "__flat": _flat(text)})
-        .withColumn("__s", F.expr(_WORD_SIGNALS))
-        .withColumns({"__n": F.col("__s.n_words"), "__r": F.col("__s.n_repeat_words")})
-        .filter((F.col("__n") >= MIN_WORDS) & (100 * F.col("__r") <= MAX_REPEAT_PERCENT * F.col("__n")))
-        .drop("__flat", "__s", "__r")
-        .join(removed, F.col(host_col).eqNullSafe(F.col("__vhost")) & (F.col("__md5") == F.col("__vmd5")), "left")
-    )
-    left = F.col("__n") - F.coalesce("removed_words", F.lit(0))
-    lost = F.col("__removed").isNotNull()
-    passed = signals.filter(~lost | ((left >= min_left_words) & (left >= min_left_share * F.col("__n"))))
-    new = {text_col: clean}
+    by_text, frequent = frequent_lines(_texts(docs, id_col, text_col, host_col), line_limit, count_copies)
+    n = frequent.count()
+    signals = _once(F.expr(_WORD_SIGNALS), "__s", docs.withColumns({"__md5": F.md5(text), "__flat": _flat(text)}))
+    signals = signals.filter((F.col("__s.n_words") >= MIN_WORDS) & (100 * F.col("__s.n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("__s.n_words"))).drop("__flat")
+    if 0 < n <= LOOKUP_LINES:
+        known = _lookup(frequent, n)
+        found = lambda t, k: F.exists(F.get(t, F.pmod(k, F.lit(n)).cast("int")), lambda e: (e["line"] == k) & ~e["keeper"].eqNullSafe(F.col("__md5")))
+        gone = lambda t, x: F.transform(F.array(line_key(F.col(host_col), x)), lambda k: found(t, k))[0]
+    else:
+        removed = removed_lines(by_text, frequent)
+        signals = signals.join(removed, F.col(host_col).eqNullSafe(F.col("__vhost")) & (F.col("__md5") == F.col("__vmd5")), "left")
+        known = F.col("__removed")
+        gone = lambda t, x: F.array_contains(t, line_key(F.col(host_col), x))
+    words = lambda a, e: a + F.size(F.array_remove(F.split(_flat(e["l"]), " "), ""))
+    marked = lambda t: F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("l"), (_has_word(x) & F.coalesce(gone(t, x), F.lit(False))).alias("cut")))
+    cut = F.transform(
+        F.transform(F.array(known), marked),
+        lambda m: F.struct(
+            F.exists(m, lambda e: e["cut"]).alias("lost"),
+            F.aggregate(F.filter(m, lambda e: e["cut"]), F.lit(0), words).alias("words"),
+            F.array_join(F.transform(F.filter(m, lambda e: ~e["cut"]), lambda e: e["l"]), "\n").alias("clean"),
+        ),
+    )[0]
+    judged = _once(cut, "__c", signals)
+    lost, clean = F.col("__c.lost"), F.col("__c.clean")
+    left = F.col("__s.n_words") - F.col("__c.words")
+    passed = judged.filter(~lost | ((left >= min_left_words) & (left >= min_left_share * F.col("__s.n_words"))))
+    new = {text_col: F.when(lost, clean).otherwise(F.col(text_col))}
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
         new[chars_col] = F.when(lost, F.length(clean).cast(kind)).otherwise(F.col(chars_col))

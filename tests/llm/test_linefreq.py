@@ -81,5 +81,25 @@ def test_repeated_rows_and_filter(spark):
         assert texts[2] == (BODY[0] if copies else ROWS[2][1]) and texts[4] == BODY[2]
 
 
+def test_filter_looks_lines_up_where_texts_are(spark, monkeypatch):
+    many = [(20 + k, f"{BODY[k % 8]} {k}\n" + "\n".join(f"{w} line of many" for w in BODY[k % 3].split()[:9]) + f"\n\n {BOILER}\n{BOILER}", "h" if k % 2 else None) for k in range(30)]
+    docs = frame(spark, [*ROWS, *many, (None, BODY[0] + "\n" + BOILER, "h")])
+    for copies in (False, True):
+        out = L.quality_filtered(docs, line_limit=2, count_copies=copies)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "from_json" not in plan  # the lines are a constant, read once
+        found = judged(out.collect())
+        with monkeypatch.context() as m:
+            m.setattr(L, "LOOKUP_LINES", 0)
+            joined = L.quality_filtered(docs, line_limit=2, count_copies=copies)
+            assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert found == judged(joined.collect())
+        rows = L.quality(docs, line_limit=2, count_copies=copies).filter("kept").collect()
+        text = {(i, t) for i, t, _ in [*ROWS, *many]}
+        cut = {r.doc_id: r.removed_words for r in rows if r.doc_id is not None}
+        assert sorted(r[0] for r in found if r[0] is not None) == sorted(r.doc_id for r in rows if r.doc_id is not None)
+        assert all(len(t.split()) - cut[i] == len(r[1].split()) for r in found for i, t in text if i == r[0])
+
+
 def test_empty_table(spark):
     assert L.quality(frame(spark, ROWS).limit(0)).collect() == []
