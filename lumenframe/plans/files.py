@@ -116,15 +116,15 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.when(F.col("event_id") % 7 == 0, F.array(header, part(0), part(1))).otherwise(F.array(header, *[part(k) for k in range(4)]))
     folder = own_folder(spark)
     sent = e.select("sender", F.posexplode(parts).alias("k", "payload"), "event_id").select("sender", (F.col("event_id") * 8 + F.col("k")).alias("seq"), "payload")
-    # three batches, cut in the middle of records; a sender's datagrams of a batch are in one file
+    # three deliveries, cut in the middle of records; each is a batch, as the stream takes all that came since it stopped
     last = e.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("n")).first()["n"] * 8 + 8
     cuts = [0, last // 3 | 1, last // 3 * 2 | 1, last]
     for low, high in zip(cuts, cuts[1:], strict=False):
-        sent.filter((F.col("seq") >= low) & (F.col("seq") < high)).repartition(2, "sender").write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("sender string, seq long, payload binary").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    with rocks_state(spark):
-        query = chunks(stream, timeout_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        sent.filter((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("sender string, seq long, payload binary").parquet(f"{folder}/in")
+        with rocks_state(spark):
+            query = chunks(stream, timeout_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
     done = spark.read.parquet(f"{folder}/out").filter("complete")
     return done.select(
         "source", "acquisitionNumber", "sequenceNumber", "dims.c", "dims.r", "dims.s", F.aggregate("voxels", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"), F.get("voxels", F.lit(6)).alias("second"),

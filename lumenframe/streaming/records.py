@@ -83,8 +83,8 @@ def geometry(f: dict[str, str], width: int, height: int, images: int) -> dict:
     if (plane, phase) not in DIRECTIONS or None in vectors.values():
         return out
     (row_of, row_sign), (column_of, column_sign) = DIRECTIONS[plane, phase]
-    row, column = np.multiply(vectors[row_of], row_sign), np.multiply(vectors[column_of], column_sign)
-    out |= {"rowVec": tuple(row.tolist()), "columnVec": tuple(column.tolist())}
+    row, column = (tuple(x * s for x, s in zip(vectors[k], sign, strict=True)) for k, sign in ((row_of, row_sign), (column_of, column_sign)))
+    out |= {"rowVec": row, "columnVec": column}
     # columns span the other field of view than their direction's name says
     across, down = fov[column_of], fov[row_of]
     out["voxelSize"] = (across / max(1, width), down / max(1, height), thick)
@@ -92,7 +92,7 @@ def geometry(f: dict[str, str], width: int, height: int, images: int) -> dict:
     if places:
         axis = SLICE_AXIS[plane]
         low, high = min(places, key=lambda p: p[axis]), max(places, key=lambda p: p[axis])
-        out["indexOrigin"] = tuple((np.array(low) - row * across / 2 - column * down / 2).tolist())
+        out["indexOrigin"] = tuple(x - r * across / 2 - c * down / 2 for x, r, c in zip(low, row, column, strict=True))
         if images > 1:
             out["voxelGap"] = (0.0, 0.0, math.dist(low, high) / (images - 1) - thick)
     return out
@@ -122,10 +122,12 @@ def chunk(f: dict[str, str], data: bytes | None, sender: str) -> tuple:
     return (*c.row(sender, 0), complete)
 
 
+_NAMES = [p.split()[0] for p in re.split(r",\s*(?![^<]*>)", OUT)]
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [p.split()[0] for p in re.split(r",\s*(?![^<]*>)", OUT)]
     plain = lambda v, n: dict(zip("crst" if n == "dims" else "xyz", v, strict=True)) if isinstance(v, tuple) else v
-    return pd.DataFrame([{n: plain(v, n) for n, v in zip(names, r, strict=True)} for r in rows], columns=names)
+    return pd.DataFrame([[plain(v, n) for n, v in zip(_NAMES, r, strict=True)] for r in rows], columns=_NAMES)
 
 
 class Assembler(StatefulProcessor):

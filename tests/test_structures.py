@@ -471,3 +471,15 @@ def test_slices_get_files_of_their_own(spark, tmp_path):
     assert {r.file_name: r.voxels for r in load.sliced(c, middle=True).collect()} == {"v.png": [20, 21, 22, 23]}
     sink.write_chunks(load.sliced(c), str(tmp_path / "out"))
     assert len(os.listdir(tmp_path / "out")) == 12
+
+
+def test_stream_deliveries_are_written_by_every_task(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lumenframe.plans import files
+
+    spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 5).alias("user_id")).repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(files, "own_folder", lambda _: str(tmp_path / "feed"))
+    rows = files.stream_chunks(spark, str(tmp_path)).collect()
+    assert sorted((r.source, r.acquisitionNumber, r.total) for r in rows) == sorted((str(k % 5), k, 12 * (k % 200) + 70) for k in range(600) if k % 7)
+    assert len(list((tmp_path / "feed/in").glob("*.parquet"))) > 3 * 2  # three deliveries
