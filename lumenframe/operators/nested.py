@@ -1,113 +1,163 @@
-"""Nested JSON documents as property trees, by walking variants from level to level inside each row.
+"""Nested JSON documents as property trees, a document's leaves dealt out from its own row.
 
 Objects are branches, their keys the parts of a path; a key may be cut into several parts at a separator.  A list of whole numbers, of
 numbers, or of texts is one property of a list type; under the branches named in ``list_branches`` (values by volume or by slice), and where a list is mixed or holds
 lists, it is a property with several values, told apart by ``idx``.  Objects in a list are branches ``name[0]``, ``name[1]``, ...  A null is an empty
 property; empty objects and lists have no leaf.
 
-The walk is one expression: rounds over the values still open, as many as the document is deep.  So depth has no bound, rows don't
-move, and documents of any number are independent of each other; a document's leaves stand in one row until they are dealt out.
+Spark decides which texts are JSON objects, and writes lists and numbers that aren't whole.  The walk down a document of any depth, which has no built-in function,
+is a small kernel on Arrow batches; rows don't move, and documents of any number are independent of each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json as J
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenframe.functions.arrays import bind
 from lumenframe.operators import props
 
 #: Branches whose lists are values by volume or slice.
 LIST_BRANCHES = ("samples", "slices")
-
-
-def most_levels(json: Column) -> Column:
-    """No document is deeper than it has opening brackets and braces."""
-    return F.length(json) - F.length(F.translate(json, "{[", ""))
-
-
-def _type(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is(kind: Column, start: str) -> Column:
-    return F.coalesce(F.startswith(kind, F.lit(start)), F.lit(False))
-
-
-def _entries(v: Column) -> Column:
-    """The top-level entries of an object; null for anything else.  (The schema of a variant would be that of its whole depth.)"""
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
-def _items(v: Column) -> Column:
-    """The elements of a list; null for anything else."""
-    return F.try_variant_get(v, "$", "array<variant>")
-
-
-#: A value with its path; its entries or elements, if it is to be opened further.  They are read once, when the value comes out of its parent.
-_ROWS = "array<struct<path:string,v:variant,entries:map<string,variant>,items:array<variant>>>"
-
-
-def _row(path: Column, v: Column) -> Column:
-    """Objects are opened, and lists with an object in them."""
-    listed = F.when(F.exists(_items(v), lambda e: _entries(e).isNotNull()), _items(v))
-    return F.struct(path.alias("path"), v.alias("v"), _entries(v).alias("entries"), listed.alias("items"))
-
-
-def _below(o: Column, separator: str | None) -> Column:
-    """The entries of an object, or of a list with objects in it."""
-    name = (lambda key: F.replace(key, F.lit(separator), F.lit("/"))) if separator else (lambda key: key)
-    under = lambda key: F.when(o["path"] == "", key).otherwise(F.concat(o["path"], F.lit("/"), key))
-    entries = F.transform(F.map_entries(o["entries"]), lambda e: _row(under(name(e["key"])), e["value"]))
-    numbered = F.transform(o["items"], lambda e, i: _row(F.concat(o["path"], F.lit("["), i.cast("string"), F.lit("]")), e))
-    return F.when(o["entries"].isNotNull(), entries).otherwise(numbered)
-
-
-def _walked(v: Column, depth: Column, separator: str | None) -> Column:
-    """(path, v) of all values that aren't opened further.  As many rounds as the document is deep; each looks at open values only, and those after the last do nothing."""
-    first = F.struct(F.lit("").alias("path"), v.alias("v"), _entries(v).alias("entries"), F.lit(None).cast("array<variant>").alias("items"))
-    start = F.struct(F.array(first).cast(_ROWS).alias("new"), F.array().cast(_ROWS).alias("done"))
-    opened = lambda x: x["entries"].isNotNull() | x["items"].isNotNull()
-
-    def round_(state: Column, _: Column) -> Column:
-        new = F.flatten(F.transform(F.filter(state["new"], opened), lambda o: _below(o, separator)))
-        done = F.concat(state["done"], F.filter(state["new"], lambda x: ~opened(x)))
-        return F.when(F.size(state["new"]) > 0, F.struct(new.alias("new"), done.alias("done"))).otherwise(state)
-
-    done = F.aggregate(F.when(depth > 0, F.sequence(F.lit(0), depth)).otherwise(F.array().cast("array<int>")), start, round_)["done"]
-    return F.transform(done, lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v")))
-
-
-def _first_of_name(leaves: Column) -> Column:
-    """Of a document's leaves whose paths differ by case only, those of the first path.  Mostly there are none, then nothing is sorted."""
-    lower = F.transform(leaves, lambda x: F.lower(x["path"]))
-    named = F.array_sort(F.array_distinct(F.transform(leaves, lambda x: F.struct(F.lower(x["path"]).alias("lower"), x["path"].alias("path")))))
-    later = bind(named, lambda n: F.transform(F.filter(n, lambda x, i: (i > 0) & (F.get(n, i - 1)["lower"] == x["lower"])), lambda x: x["path"]))
-    kept = bind(later, lambda gone: F.filter(leaves, lambda x: ~F.array_contains(gone, x["path"])))
-    one_each = F.size(F.array_distinct(lower)) == F.size(F.array_distinct(F.transform(leaves, lambda x: x["path"])))
-    return F.when(one_each, leaves).otherwise(kept)
-
-
-#: Types of lists that are one property.
-_LISTS = ((r"^ARRAY<(BIGINT|VOID)>$", "list_int"), (r"^ARRAY<(DOUBLE|FLOAT|DECIMAL\(\d+,\s?\d+\))>$", "list_double"), (r"^ARRAY<STRING>$", "list_string"))
-
-
-def _leaves(d: DataFrame, list_branches: tuple[str, ...]) -> DataFrame:
-    d = d.withColumn("kind", _type(F.col("v")))
-    v, kind = F.col("v"), F.col("kind")
-    items = _items(v)
-    by_volume = F.exists(F.slice(F.split(F.lower("path"), "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda p: p.isin(*list_branches)) if list_branches else F.lit(False)
-    plain = kind.rlike("|".join(r for r, _ in _LISTS))
-    dealt = _is(kind, "ARRAY") & (by_volume | ~F.coalesce(plain, F.lit(False)) | (F.size(items) == 0))
-    d = d.select("owner", "path", F.posexplode(F.when(dealt, items).otherwise(F.array(v))).alias("idx", "v"))
-    v, kind = F.col("v"), F.col("kind")
-    d = d.withColumn("kind", _type(F.col("v")))
-    number, real = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double")
-    out = F.when(kind == "BIGINT", F.when(number.between(-(1 << 31), (1 << 31) - 1), "s32bit").otherwise("s64bit")).when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "double").when(kind == "BOOLEAN", "boolean")
-    text = F.when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), real.cast("string")).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(v)).when(kind != "VOID", F.try_variant_get(v, "$", "string"))
-    for pattern, name in _LISTS:
-        out = out.when(kind.rlike(pattern), name)
-    return d.select("owner", "path", F.lower("path").alias("path_lc"), "idx", out.otherwise("string").alias("type"), text.alias("value"))
+#: Leaves in an Arrow batch that goes back, and those of one document more.
+BATCH = 1 << 15
+#: A leaf's type while its text is JSON of no list type; it becomes a string.
+_JSON = "json"
+
+
+class _Raw(str):
+    """Text as it stands in a document outside of its strings: a number that isn't whole, or a mark."""
+
+
+_DECODER = J.JSONDecoder(parse_float=_Raw, strict=False)
+_CONSTANTS = {None: "null", True: "true", False: "false"}
+_NESTED, _INT, _STR, _NUMBER = (frozenset(t) for t in ((list, dict), (int,), (str,), (int, _Raw)))
+
+
+def _parsed(data: bytes) -> dict:
+    """The object that Spark found at the start of a text."""
+    text = data.decode("utf-8", "replace")
+    return _DECODER.raw_decode(text, text.index("{"))[0]
+
+
+def _scalar_json(v: object) -> str:
+    t = type(v)
+    return str(v) if t is int else J.encoder.encode_basestring(v) if t is str else v if t is _Raw else _CONSTANTS[v]
+
+
+def _json(v: list) -> str:
+    """A list as JSON, its numbers as they were; without recursion, as lists may be deep."""
+    if _NESTED.isdisjoint(map(type, v)):
+        return "[" + ",".join(map(_scalar_json, v)) + "]"
+    out, todo = [], [v]
+    while todo:
+        x = todo.pop()
+        if type(x) is list:
+            out.append("[")
+            todo.append(_Raw("]"))
+            for i in range(len(x) - 1, -1, -1):
+                todo += (x[i], _Raw(",")) if i else (x[i],)
+        elif type(x) is dict:
+            out.append("{")
+            todo.append(_Raw("}"))
+            for i, (key, e) in enumerate(x.items()):
+                todo += (_Raw(","),) * (i > 0) + (e, _Raw(J.encoder.encode_basestring(key) + ":"))
+        else:
+            out.append(_scalar_json(x))
+    return "".join(out)
+
+
+def _list_type(v: list) -> str | None:
+    """The list type that holds all elements; nulls fit all of them."""
+    kinds = set(map(type, v))
+    kinds.discard(type(None))
+    if kinds <= _INT:
+        return "list_int" if all(x is None or -(1 << 63) <= x < 1 << 63 for x in v) else "list_double"
+    return "list_string" if kinds == _STR else "list_double" if kinds <= _NUMBER else None
+
+
+def _typed(v: object) -> tuple[str, str | None]:
+    """Type and text of a value."""
+    t = type(v)
+    if t is int:
+        return ("s32bit" if -(1 << 31) <= v < 1 << 31 else "s64bit" if -(1 << 63) <= v < 1 << 63 else "double"), str(v)
+    if t is str:
+        return "string", v
+    if t is _Raw:  # a decimal has no negative zero
+        return "double", "0.0" if not v.strip("-0.") and len(v.partition(".")[2]) <= 38 else v
+    if t is list:
+        return _list_type(v) or _JSON, _json(v)
+    return ("string", None) if v is None else ("boolean", _CONSTANTS[v])
+
+
+def document_leaves(document: dict, separator: str | None, list_branches: frozenset[str]) -> list[tuple[str, int, str, str | None]]:
+    """(path, idx, type, text) of a document's leaves."""
+    out, todo = [], [("", document)]
+    while todo:
+        above, opened = todo.pop()
+        named = type(opened) is dict
+        start, cut = above and named and above + "/" or above, named and separator
+        for name, v in opened.items() if named else [(f"[{i}]", x) for i, x in enumerate(opened)]:
+            path = start + (name.replace(separator, "/") if cut else name)
+            t = type(v)
+            if t is dict or t is list and dict in map(type, v):
+                todo.append((path, v))
+            elif t is not list:
+                out.append((path, 0, *_typed(v)))
+            elif v and (kind := _list_type(v)) and list_branches.isdisjoint(path.lower().split("/")[:-1]):
+                out.append((path, 0, kind, _json(v)))
+            else:
+                out += [(path, i, *_typed(x)) for i, x in enumerate(v)]
+    return out
+
+
+def _first_of_name(leaves: list[tuple]) -> list[tuple]:
+    """Of leaves whose paths differ by case only, those of the first path.  Mostly there are none, then nothing is sorted."""
+    paths = {x[0] for x in leaves}
+    if len({p.lower() for p in paths}) == len(paths):
+        return leaves
+    first = {p.lower(): p for p in sorted(paths, reverse=True)}
+    return [x for x in leaves if first[x[0].lower()] == x[0]]
+
+
+def _texts(values: Iterable[str | None]) -> pa.Array:
+    """Halves of a surrogate pair, which an escape may name alone, have no encoding; as in Spark they become question marks."""
+    values = list(values)
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+def _walked(docs: DataFrame, separator: str | None, list_branches: frozenset[str]) -> DataFrame:
+    """(owner, path, idx, type, text) of the leaves of all documents (owner, json as bytes); a null has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, rows, leaves = b.column("owner"), [], []
+
+            def out() -> pa.RecordBatch:
+                path, idx, kind, text = zip(*leaves)
+                return pa.RecordBatch.from_arrays([owners.take(pa.array(rows)), _texts(path), pa.array(idx, pa.int32()), pa.array(kind, pa.string()), _texts(text)], names=["owner", "path", "idx", "type", "text"])
+
+            for i, data in enumerate(b.column("json").to_pylist()):
+                if data is None:
+                    continue
+                found = _first_of_name(document_leaves(_parsed(data), separator, list_branches))
+                rows += [i] * len(found)
+                leaves += found
+                if len(leaves) >= BATCH:
+                    yield out()
+                    rows, leaves = [], []
+            if leaves:
+                yield out()
+
+    fields = [docs.schema["owner"], *[T.StructField(n, t) for n, t in (("path", T.StringType()), ("idx", T.IntegerType()), ("type", T.StringType()), ("text", T.StringType()))]]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def from_nested_json(rows: DataFrame, owner: str, json: str, separator: str | None = None, list_branches: tuple[str, ...] = LIST_BRANCHES) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +167,10 @@ def from_nested_json(rows: DataFrame, owner: str, json: str, separator: str | No
     settled in the document's row, so leaves never move.
     """
     docs = rows.select(F.col(owner).alias("owner"), F.col(json).alias("json")).withColumn("v", F.try_parse_json("json"))
-    sound = F.col("json").isNotNull() & F.coalesce(_entries(F.col("v")).isNotNull(), F.lit(False))
+    sound = F.try_variant_get("v", "$", "struct<>").isNotNull()  # an object of any keys
     refused = docs.filter(F.col("json").isNotNull() & ~sound).select("owner")
-    leaves = F.explode(bind(_walked(F.col("v"), most_levels(F.col("json")), separator), _first_of_name)).alias("e")
-    d = docs.filter(sound).select("owner", leaves).select("owner", "e.path", "e.v")
-    return _leaves(d, tuple(b.lower() for b in list_branches)).select(*props.COLUMNS), refused
+    d = _walked(docs.select("owner", F.when(sound, F.col("json").cast("binary")).alias("json")), separator, frozenset(b.lower() for b in list_branches))
+    kind, text = F.col("type"), F.col("text")
+    value = F.when(kind == "double", text.cast("double").cast("string")).when(kind.isin("list_double", "list_string", _JSON), F.to_json(F.parse_json(text))).otherwise(text)
+    tree = d.select("owner", "path", F.lower("path").alias("path_lc"), "idx", F.when(kind == _JSON, "string").otherwise(kind).alias("type"), value.alias("value"))
+    return tree.select(*props.COLUMNS), refused

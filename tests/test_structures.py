@@ -176,6 +176,44 @@ def test_nested_documents_stay_in_their_rows(spark):
     assert "Exchange" not in tree._jdf.queryExecution().executedPlan().toString()  # leaves aren't shuffled
 
 
+def test_nested_documents_keep_texts_and_numbers(spark):
+    docs = [
+        (1, '{"A":[],"a":1}'),  # an empty list is no leaf, so it hides none
+        (2, '{"zero":[-0.0,1],"z":-0.0,"ze":-0e0,"big":1e400,"long":9223372036854775808,"s":-2147483649,"small":0.0001,"huge":12345678901234567890123456789012345678901}'),
+        (3, '{"l":[2.50,1e2,null],"n":[1,null],"none":[null],"b":[true,null],"far":[9223372036854775808],"t":["\\u001f/\\"é",null],"o":[[{"z":1,"b":2.50}],3]}'),
+        (4, '{"":{"x":1},"half\\ud800":"\\udc00"} beyond'), (5, '{"q":%s1%s}' % ("[" * 900, "]" * 900)), (6, '{"x":{"A":1,"b":2},"X":{"a":3}}'), (7, '{"a":1,"a":2}'), (8, '{"a":NaN}'),
+    ]
+    rows = spark.createDataFrame(docs, "id long, text string")
+    broken = spark.range(9, 10).select("id", F.concat(F.encode(F.lit('{"k":"'), "utf-8"), F.unhex(F.lit("80ff")), F.encode(F.lit('"}'), "utf-8")).cast("string").alias("text"))
+    tree, refused = nested.from_nested_json(rows.union(broken), "id", "text", separator=".")
+    assert sorted(r.owner for r in refused.collect()) == [7, 8]
+    got = {}
+    for r in tree.collect():
+        got.setdefault(r.owner, []).append((r.path, r.idx, r.type, r.value))
+    assert got[1] == [("a", 0, "s32bit", "1")]
+    assert sorted(got[2]) == sorted([
+        ("zero", 0, "list_double", "[0,1]"), ("z", 0, "double", "0.0"), ("ze", 0, "double", "-0.0"), ("big", 0, "double", "Infinity"), ("long", 0, "double", "9.223372036854776E18"), ("s", 0, "s64bit", "-2147483649"),
+        ("small", 0, "double", "1.0E-4"), ("huge", 0, "double", "1.2345678901234568E40"),
+    ])
+    assert sorted(got[3], key=repr) == sorted([
+        ("l", 0, "list_double", "[2.5,100.0,null]"), ("n", 0, "list_int", "[1,null]"), ("none", 0, "list_int", "[null]"), ("b", 0, "boolean", "true"), ("b", 1, "string", None), ("far", 0, "list_double", "[9223372036854775808]"),
+        ("t", 0, "list_string", '["\\u001F/\\"é",null]'), ("o", 0, "string", '[{"b":2.5,"z":1}]'), ("o", 1, "s32bit", "3"),
+    ], key=repr)
+    assert sorted(got[4]) == [("half?", 0, "string", "?"), ("x", 0, "s32bit", "1")]
+    assert got[5] == [("q", 0, "string", "[" * 899 + "1" + "]" * 899)]
+    assert sorted(got[6]) == [("X/a", 0, "s32bit", "3"), ("x/b", 0, "s32bit", "2")]
+    assert got[9] == [("k", 0, "string", "\ufffd\ufffd")]
+
+
+def test_nested_documents_are_read_once_in_batches(spark):
+    many = spark.range(0, 3000, 1, 2).select("id", F.format_string('{"a":%d,"wide":[%s]}', "id", F.array_join(F.transform(F.sequence(F.lit(1), F.when(F.col("id") == 7, 40000).otherwise(20)), lambda i: F.format_string('{"k":%d}', i)), ",")).alias("text"))
+    tree, _ = nested.from_nested_json(many, "id", "text")
+    n = tree.groupBy("owner").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.sum(F.col("value").cast("long")).alias("sum"))
+    assert n.filter("n != if(owner = 7, 40001, 21) or paths != n or sum != owner + if(owner = 7, 800020000, 210)").count() == 0 and n.count() == 3000
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"wide":') == 1 and "aggregate(" not in plan  # texts are made once, and not walked by an expression
+
+
 def test_files_are_written_in_batches(spark, tmp_path):
     rows = [(f"f{i % 5}.nii" if i < 15 else f"g{i}.png", -i) for i in range(40)]
     d = spark.createDataFrame(rows, "file_name string, lookup int").select(
